@@ -1,0 +1,92 @@
+"""The whole job: identifiers and pages in, three loaded tables and their reports out."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagefacts import schema
+from pagefacts.functions.rules import PAGE_KINDS, PageKind
+from pagefacts.operators.crawl import KEY, effective_attempts, fetch_outcome, ok_pages
+from pagefacts.operators.extract import extract_errors, extract_facts
+from pagefacts.operators.report import report_lines
+from pagefacts.plans.staging import stage
+from pagefacts.sources.tables import create_tables, load_facts, load_ids, read_table, table_path
+
+
+def facts_from_pages(pages: DataFrame, kind: PageKind, ids: DataFrame) -> DataFrame:
+    """Facts of the listed identifiers.
+
+    Extraction comes first and needs no shuffle; the identifiers then select among
+    narrow fact rows, so no page is ever shuffled.
+    """
+    own = pages.where(F.col("page_kind") == kind.name)
+    return extract_facts(own, kind).join(ids.select("asin"), "asin", "left_semi")
+
+
+def facts_from_log(
+    log: DataFrame, kind: PageKind, *, keep: tuple[str, ...] = tuple(KEY), **options
+) -> DataFrame:
+    """Facts of the pages a crawl obtained: those of each identifier's settling attempt.
+
+    Which attempt settled is worked out on narrow rows; the pages go through
+    extraction in the scan and only their facts are joined to it.
+    """
+    own = log.where(F.col("page_kind") == kind.name)
+    attempts = effective_attempts(own, **options)
+    settling = attempts.where(F.col("class") == "ok").select(*KEY, "seq", "iteration")
+    facts = extract_facts(ok_pages(own), kind, keep=(*KEY, "seq"))
+    joined = facts.join(settling, [*KEY, "seq"])
+    return joined.select(*keep, "iteration", *kind.fields, "extract_errors")
+
+
+def crawl_outcome(log: DataFrame, **options) -> DataFrame:
+    """Outcome per identifier, straight from the log."""
+    on_request_error = options.get("on_request_error", "lost")
+    return fetch_outcome(effective_attempts(log, **options), on_request_error=on_request_error)
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """Where the job left its results; every member is a DataFrame over written tables."""
+
+    root: str
+    asins: DataFrame
+    product_info: DataFrame
+    product_reviews: DataFrame
+    extract_errors: DataFrame
+
+
+def build_tables(
+    spark: SparkSession,
+    ids: DataFrame,
+    pages: DataFrame,
+    root: str,
+    *,
+    recorded_at: Column | None = None,
+) -> Loaded:
+    """Replace the three tables under ``root`` with the given identifiers and their facts."""
+    create_tables(spark, root)
+    load_ids(ids, root, recorded_at)
+    asins = read_table(spark, root, "asins")
+    errors_path = table_path(root, "extract_errors")
+    spark.createDataFrame([], schema.EXTRACT_ERRORS).write.mode("overwrite").parquet(errors_path)
+    for kind in PAGE_KINDS:
+        # Loading and the error list both read the facts; the pages are decoded once.
+        facts = stage(facts_from_pages(pages, kind, asins), kind.table)
+        load_facts(facts, root, kind, recorded_at=recorded_at, checked=True)
+        extract_errors(facts, kind).write.mode("append").parquet(errors_path)
+    return Loaded(
+        root=root,
+        extract_errors=spark.read.schema(schema.EXTRACT_ERRORS).parquet(errors_path),
+        **{name: read_table(spark, root, name) for name in schema.TABLES},
+    )
+
+
+def write_reports(spark: SparkSession, root: str, target: str) -> None:
+    """One text report per table, written by the executors in order of the key."""
+    for name, columns in schema.TABLES.items():
+        lines = report_lines(read_table(spark, root, name), [columns[0].name])
+        lines.select("line").write.mode("overwrite").text(f"{target}/{name}")
