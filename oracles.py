@@ -235,7 +235,8 @@ FROM reviews AS r
 LEFT JOIN (SELECT info.* FROM info JOIN obtained USING (asin)) AS i USING (asin)""",
         # aggregations and windows
         "report_widths": f"""WITH {TITLES}, {_PAGE_CELLS}
-SELECT w_page_id AS page_id, w_url AS url, w_product_name AS product_name
+SELECT CAST(w_page_id AS INTEGER) AS page_id, CAST(w_url AS INTEGER) AS url,
+       CAST(w_product_name AS INTEGER) AS product_name
 FROM {_widths(["page_id", "url", "product_name"], "cells")}""",
         "iteration_summary": f"""WITH {EFFECTIVE}
 SELECT run_id, page_kind, iteration, count(*) AS n_ids,

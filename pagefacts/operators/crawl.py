@@ -18,6 +18,8 @@ from pagefacts.plans.staging import stage
 
 RUN = ["run_id", "page_kind"]
 KEY = [*RUN, "asin"]
+# The same key for grouping and sorting: identifiers differ most, so sorts decide on them first.
+_BY_ID = ["asin", *RUN]
 
 
 def usable(body: Column) -> Column:
@@ -44,7 +46,7 @@ def ok_pages(log: DataFrame) -> DataFrame:
 
 def attempt_iteration(log: DataFrame) -> DataFrame:
     """Number the attempts of each identifier: its n-th attempt was made in iteration n."""
-    return rank_in_group(log.select(*KEY, "seq"), KEY, "seq", "iteration")
+    return rank_in_group(log.select(*KEY, "seq"), _BY_ID, "seq", "iteration")
 
 
 def effective_attempts(
@@ -68,7 +70,7 @@ def effective_attempts(
     final = _is_final(F.col("class"))
     if on_request_error == "retry":
         final = final & (F.col("class") != "lost")
-    in_order = Window.partitionBy(*KEY).orderBy("seq")
+    in_order = Window.partitionBy(*_BY_ID).orderBy("seq")
     ended = F.max(final).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     return (
         attempts.withColumn("iteration", F.row_number().over(in_order))
@@ -100,7 +102,7 @@ def fetch_outcome(
     if on_request_error == "retry":
         final = final & (F.col("_last") != "lost")
     outcome = (
-        effective.groupBy(*KEY)
+        effective.groupBy(*_BY_ID)
         .agg(F.max_by("class", "iteration").alias("_last"), F.max("iteration").alias("attempts"))
         .select(*KEY, F.when(final, F.col("_last")).otherwise("unscraped").alias("outcome"), "attempts")
     )

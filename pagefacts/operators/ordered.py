@@ -1,10 +1,11 @@
-"""Ranks, running sums and dense ids over an order, without giving one group to one task.
-
-A plain window sends each group to a single task, so one identifier or one run that
-holds a third of the log would be sorted by one core. Here the order is cut into
-bands of about equal row counts over the whole input: a window runs inside each
-(group, band), the few band totals are accumulated per group, and both are joined.
-No task gets more than about one band's rows of any group, and nothing is dropped.
+"""Ranks, running sums and dense ids over an order, without giving one hot group to one task.
+
+A plain window sends each group to a single task, which is fine until one
+identifier or one run holds a large share of the log. Groups above a task's fair
+share are found first (a bounded sketch, no shuffle). Their order is cut into bands:
+the window runs inside each (group, band), the band totals are accumulated per
+group, and joined back. All other groups take the plain window in the same pass.
+Nothing is dropped, and without hot groups the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -18,28 +19,54 @@ from pyspark.sql import functions as F
 from pagefacts.plans.staging import stage
 
 _BAND = "_band"
-_MAX_BANDS = 2000
+# At most this many hot groups in at most this many bands: the broadcast of band
+# totals has no more rows than their product, whatever the size of the data.
+_MAX_HOT_GROUPS = 1000
+_MAX_BANDS = 256
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
+def hot_groups(df: DataFrame, groups: Sequence[str]) -> list[int]:
+    """Hashes of all groups with more than a task's fair share of the rows.
+
+    The frequent-items sketch may name a few others too; they are then split
+    without need, which changes no result.
+    """
+    hashed = df.select(F.xxhash64(*groups).alias("group"))
+    share = 1 / min(_partitions(df), _MAX_HOT_GROUPS)
+    return hashed.stat.freqItems(["group"], share).first()[0]
 
-def with_bands(df: DataFrame, order: str) -> DataFrame:
-    """Add a band number that grows with ``order``; about as many bands as shuffle partitions.
 
-    The cut points are fixed numbers in the plan, so every later use of the bands agrees.
-    Wherever they fall the results are the same; only the balance depends on them.
+def _with_bands(df: DataFrame, groups: Sequence[str], order: str, hot: list[int]) -> DataFrame:
+    """Add the band of each row of a hot group, NULL for other groups; bands grow with ``order``.
+
+    The cut points are numbers in the plan, so every use of the bands agrees. Where
+    they fall is a matter of balance only.
     """
-    bands = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _MAX_BANDS)
+    is_hot = F.xxhash64(*groups).isin(hot)
+    bands = min(_partitions(df), _MAX_BANDS)
     wanted = [i / bands for i in range(1, bands)]
-    cuts = sorted(set(df.approxQuantile(order, wanted, 1 / (4 * bands)))) if wanted else []
-    if not cuts:
-        return df.withColumn(_BAND, F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=order, outputCol=_BAND).transform(df)
+    cuts = df.where(is_hot).approxQuantile(order, wanted, 1 / (4 * bands)) if wanted else []
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(_BAND, F.when(is_hot, 0))
+    banded = Bucketizer(splits=splits, inputCol=order, outputCol="_every_band").transform(df)
+    return banded.withColumn(_BAND, F.when(is_hot, F.col("_every_band").cast("int"))).drop("_every_band")
 
 
 def _earlier(groups: Sequence[str]):
+    """All earlier bands of a group: a window over band totals, never over rows."""
     return Window.partitionBy(*groups).orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _join_totals(rows: DataFrame, totals: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows of other groups have no band and so no totals."""
+    return rows.join(F.broadcast(totals), [*groups, _BAND], "left")
+
+
 def rank_in_group(
     df: DataFrame, groups: Sequence[str], order: str, rank: str, size: str | None = None
 ) -> DataFrame:
@@ -48,21 +75,26 @@ def rank_in_group(
     ``order`` is numeric and unique within a group. The input is read more than
     once: it should be a table (or staged), not a heavy computation.
     """
-    banded = with_bands(df, order)
-    # Counted before the shuffle, so a hot group travels as one row per task and band.
-    totals = (
-        banded.groupBy(*groups, _BAND)
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(_earlier(groups)), F.lit(0)))
-    )
-    added = [(F.col("_before") + F.col("_local")).cast("int").alias(rank)]
+    hot = hot_groups(df, groups)
+    if not hot:
+        inside = Window.partitionBy(*groups)
+        added = [F.row_number().over(inside.orderBy(order)).alias(rank)]
+        if size:
+            added.append(F.count("*").over(inside).cast("int").alias(size))
+        return df.select("*", *added)
+
+    banded = _with_bands(df, groups, order, hot)
+    inside = Window.partitionBy(*groups, _BAND)
+    rows = banded.withColumn("_rank", F.row_number().over(inside.orderBy(order)))
+    # Counted before the shuffle: a hot group travels as one row per task and band.
+    totals = banded.where(F.col(_BAND).isNotNull()).groupBy(*groups, _BAND).agg(F.count("*").alias("_rows"))
+    totals = totals.withColumn("_before", F.sum("_rows").over(_earlier(groups)))
+    added = [(F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("int").alias(rank)]
     if size:
+        rows = rows.withColumn("_band_size", F.count("*").over(inside))
         totals = totals.withColumn("_size", F.sum("_rows").over(Window.partitionBy(*groups)))
-        added.append(F.col("_size").cast("int").alias(size))
-    local = banded.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*groups, _BAND).orderBy(order))
-    )
-    return local.join(totals.drop("_rows"), [*groups, _BAND]).select(*df.columns, *added)
+        added.append(F.coalesce("_size", "_band_size").cast("int").alias(size))
+    return _join_totals(rows, totals.drop("_rows"), groups).select(*df.columns, *added)
 
 
 def reflected_walk(
@@ -73,20 +105,33 @@ def reflected_walk(
     With S the running sum including the start, the level after a row is
     S - least(0, lowest S so far). Sum and lowest value both combine across bands.
     """
-    banded = with_bands(df.withColumn("_step", step), order)
-    inside = Window.partitionBy(*groups, _BAND).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = banded.withColumn("_sum", F.sum("_step").over(inside)).withColumn("_low", F.min("_sum").over(inside))
-    carried = (
-        # Same grouping as the window: no further shuffle for these totals.
-        local.groupBy(*groups, _BAND)
-        .agg(F.sum("_step").alias("_total"), F.min("_sum").alias("_band_low"))
-        .withColumn("_base", F.lit(start) + F.coalesce(F.sum("_total").over(_earlier(groups)), F.lit(0)))
-        .withColumn("_low_before", F.min(F.col("_base") + F.col("_band_low")).over(_earlier(groups)))
-        .select(*groups, _BAND, "_base", "_low_before")
-    )
-    height = F.col("_base") + F.col("_sum")
-    lowest = F.least(F.lit(0), F.col("_low_before"), F.col("_base") + F.col("_low"))
-    return local.join(carried, [*groups, _BAND]).select(*df.columns, (height - lowest).alias(level))
+    hot = hot_groups(df, groups)
+    stepped = df.withColumn("_step", step.cast("bigint"))
+    banded = _with_bands(stepped, groups, order, hot) if hot else stepped.withColumn(_BAND, F.lit(None))
+
+    def walked(rows, keys):
+        so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_sum", F.sum("_step").over(so_far)).withColumn(
+            "_low", F.min("_sum").over(so_far)
+        )
+
+    if not hot:
+        joined = walked(banded, groups).withColumn("_base", F.lit(start)).withColumn("_low_before", F.lit(0))
+    else:
+        keys = [*groups, _BAND]
+        totals = (
+            walked(banded.where(F.col(_BAND).isNotNull()), keys)
+            .groupBy(*keys)
+            .agg(F.sum("_step").alias("_total"), F.min("_sum").alias("_band_low"))
+            .withColumn("_base", F.lit(start) + F.coalesce(F.sum("_total").over(_earlier(groups)), F.lit(0)))
+            .withColumn("_low_before", F.min(F.col("_base") + F.col("_band_low")).over(_earlier(groups)))
+            .select(*keys, "_base", "_low_before")
+        )
+        joined = _join_totals(walked(banded, keys), totals, groups)
+    base = F.coalesce("_base", F.lit(start))
+    # least() passes over a missing value: the first band has nothing before it.
+    lowest = F.least(F.lit(0), "_low_before", base + F.col("_low"))
+    return joined.select(*df.columns, (base + F.col("_sum") - lowest).cast("bigint").alias(level))
 
 
 def with_dense_id(df: DataFrame, order: Sequence[str], *, name: str = "id", start: int = 1) -> DataFrame:

@@ -22,9 +22,7 @@ def column_name(qualified: Column) -> Column:
 def cell_text(column: Column, kind: T.DataType) -> Column:
     """A value as text; NULL is None, a time has either no fraction or six digits."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-        exact = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        text = F.when(F.endswith(exact, F.lit(".000000")), whole).otherwise(exact)
+        text = F.regexp_replace(F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.000000$", "")
     elif isinstance(kind, T.BooleanType):
         text = F.initcap(column.cast("string"))
     else:
@@ -36,14 +34,28 @@ def _texts(table: DataFrame, columns: Sequence[str]) -> list[Column]:
     return [cell_text(F.col(c), table.schema[c].dataType).alias(c) for c in columns]
 
 
-def _align(text: Column, width: Column, truncate_after: int) -> Column:
+def _align(text: Column, wide: Column, room: Column, truncate_after: int) -> Column:
     """Cut to the limit where the column is wider than it, then centre, odd space to the right."""
-    wide = width > truncate_after
+    too_long = wide & (F.length(text) > truncate_after)
     cut = F.concat(F.substring(text, 1, truncate_after), F.lit(_ELLIPSIS))
-    shown = F.when(wide & (F.length(text) > truncate_after), cut).otherwise(text)
-    room = F.when(wide, truncate_after + len(_ELLIPSIS)).otherwise(width)
-    left = F.floor((room - F.length(shown)) / 2).cast("int")
-    return F.rpad(F.lpad(shown, F.length(shown) + left, F.lit(" ")), room, F.lit(" "))
+    shown = F.when(too_long, cut).otherwise(text)
+    size = F.when(too_long, truncate_after + len(_ELLIPSIS)).otherwise(F.length(text))
+    left = F.repeat(F.lit(" "), F.shiftright(room - size, 1))
+    return F.rpad(F.concat(left, shown), room, F.lit(" "))
+
+
+def _layout(table: DataFrame, truncate_after: int) -> DataFrame:
+    """One row: for each column whether it is wider than the limit, and the room its cells take."""
+    columns = []
+    for name in table.columns:
+        wide = F.col(name) > truncate_after
+        room = F.when(wide, truncate_after + len(_ELLIPSIS)).otherwise(F.col(name))
+        columns += [wide.alias(f"_wide_{name}"), room.alias(f"_room_{name}")]
+    return report_widths(table).select(*columns)
+
+
+def _aligned(name: str, text: Column, truncate_after: int) -> Column:
+    return _align(text, F.col(f"_wide_{name}"), F.col(f"_room_{name}"), truncate_after)
 
 
 def report_widths(table: DataFrame) -> DataFrame:
@@ -58,28 +70,25 @@ def report_widths(table: DataFrame) -> DataFrame:
 def report_cells(table: DataFrame, *, keep: Sequence[str] = (), truncate_after: int = TRUNCATE_AFTER) -> DataFrame:
     """The table with every cell as aligned text; ``keep`` adds untouched columns as ``_key_<name>``.
 
-    The widths are one row whatever the table's size, so joining them is a broadcast of one row.
+    The layout is one row whatever the table's size, so joining it is a broadcast of one row.
     """
-    widths = report_widths(table).select(*[F.col(c).alias(f"_w_{c}") for c in table.columns])
     keys = [F.col(c).alias(f"_key_{c}") for c in keep]
     texts = table.select(*keys, *_texts(table, table.columns))
-    aligned = [_align(F.col(c), F.col(f"_w_{c}"), truncate_after).alias(c) for c in table.columns]
-    return texts.crossJoin(F.broadcast(widths)).select(*[f"_key_{c}" for c in keep], *aligned)
+    aligned = [_aligned(c, F.col(c), truncate_after).alias(c) for c in table.columns]
+    return texts.crossJoin(F.broadcast(_layout(table, truncate_after))).select(
+        *[f"_key_{c}" for c in keep], *aligned
+    )
 
 
 def report_lines(table: DataFrame, order: Sequence[str], *, truncate_after: int = TRUNCATE_AFTER) -> DataFrame:
     """The report as (section, line): 0 header, 1 rule, 2 the records in key order."""
-    header = [
-        _align(F.lit(c), F.col(c), truncate_after) for c in table.columns
-    ]
-    heading = report_widths(table).select(F.concat_ws(_SEPARATOR, *header).alias("line"))
+    header = [_aligned(c, F.lit(c), truncate_after) for c in table.columns]
+    heading = _layout(table, truncate_after).select(F.concat_ws(_SEPARATOR, *header).alias("line"))
     rule = F.regexp_replace(F.regexp_replace("line", "[^│]", "─"), "│", "┼")
+    head = heading.select(F.posexplode(F.array(F.col("line"), rule)).alias("section", "line"))
     keys = [f"_key_{c}" for c in order]
     body = report_cells(table, keep=order, truncate_after=truncate_after).select(
         F.lit(2).alias("section"), F.concat_ws(_SEPARATOR, *table.columns).alias("line"), *keys
     )
-    head = heading.select(
-        F.posexplode(F.array(F.col("line"), rule)).alias("section", "line")
-    )
     both = body.unionByName(head, allowMissingColumns=True)
     return both.orderBy("section", *keys).select("section", "line")

@@ -13,7 +13,7 @@ from pagefacts.operators.crawl import KEY, effective_attempts, fetch_outcome, ok
 from pagefacts.operators.extract import extract_errors, extract_facts
 from pagefacts.operators.report import report_lines
 from pagefacts.plans.staging import stage
-from pagefacts.sources.tables import create_tables, load_facts, load_ids, read_table, table_path
+from pagefacts.sources.tables import create_tables, empty_table, load_facts, load_ids, read_table, table_path
 
 
 def facts_from_pages(pages: DataFrame, kind: PageKind, ids: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def build_tables(
     load_ids(ids, root, recorded_at)
     asins = read_table(spark, root, "asins")
     errors_path = table_path(root, "extract_errors")
-    spark.createDataFrame([], schema.EXTRACT_ERRORS).write.mode("overwrite").parquet(errors_path)
+    empty_table(spark, schema.EXTRACT_ERRORS).write.mode("overwrite").parquet(errors_path)
     for kind in PAGE_KINDS:
         # Loading and the error list both read the facts; the pages are decoded once.
         facts = stage(facts_from_pages(pages, kind, asins), kind.table)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagefacts import schema
 from pagefacts.functions.rules import PageKind
@@ -20,7 +21,12 @@ def table_path(root: str, table: str) -> str:
 def create_tables(spark: SparkSession, root: str) -> None:
     """Create or replace the tables, empty, the parent first."""
     for name, columns in schema.TABLES.items():
-        spark.createDataFrame([], columns).write.mode("overwrite").parquet(table_path(root, name))
+        empty_table(spark, columns).write.mode("overwrite").parquet(table_path(root, name))
+
+
+def empty_table(spark: SparkSession, columns: T.StructType) -> DataFrame:
+    typed = [F.lit(None).cast(c.dataType).alias(c.name) for c in columns]
+    return spark.range(0, 0, 1, 1).select(*typed)
 
 
 def scan_table(spark: SparkSession, root: str, table: str) -> DataFrame:

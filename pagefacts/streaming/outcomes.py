@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
     attempts = classify(log).select(*KEY, "seq", "class")
     final = ("ok", "invalid", "lost")
     key = list(KEY)
+    columns = [*key, "outcome", "attempts"]
 
     # Both nested, so that they are shipped by value.
     def first_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,13 +43,12 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
         seen, settled = state.get if state.exists else (0, False)
         if settled:
             return
-        kept = None
+        # Only the smallest few stay in memory, however many chunks the group has.
+        kept = []
         for batch in batches:
-            batch = batch[["seq", "class"]]
-            both = batch if kept is None else pd.concat([kept, batch])
-            kept = both.nsmallest(max_iterations - seen, "seq")
+            kept = heapq.nsmallest(max_iterations - seen, chain(kept, zip(batch["seq"], batch["class"])))
         outcome = None
-        for cls in kept["class"]:
+        for _, cls in kept:
             seen += 1
             if cls in final:
                 outcome = cls
@@ -55,9 +57,7 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
             outcome = "unscraped"
         state.update((seen, outcome is not None))
         if outcome is not None:
-            yield pd.DataFrame(
-                {**{k: [v] for k, v in zip(key, group)}, "outcome": [outcome], "attempts": [seen]}
-            ).astype({"attempts": "int32"})
+            yield pd.DataFrame([(*group, outcome, seen)], columns=columns)
 
     return (
         attempts.mapInPandas(first_attempts, attempts.schema)
