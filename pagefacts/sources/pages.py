@@ -20,16 +20,23 @@ def snapshot(files: DataFrame, file_name: Column, text: Column, kinds=PAGE_KINDS
     )
 
 
+def scanned_file_name() -> Column:
+    """Plain name of the file a row was read from; Spark gives it percent-encoded, plus signs as they are."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def read_page_files(spark: SparkSession, folder: str, kinds=PAGE_KINDS) -> DataFrame:
-    """Cached pages of a folder, one file per page."""
+    """Cached pages of a folder, one file per page.
+
+    Spark passes over files of no bytes; a cached empty page still has its byte order mark.
+    """
     files = spark.read.text(folder, wholetext=True)
-    # A name in a file URI is percent-encoded where needed; the metadata column gives it plain.
-    return snapshot(files, F.col("_metadata.file_name"), F.col("value"), kinds)
+    return snapshot(files, scanned_file_name(), F.col("value"), kinds)
 
 
 def read_page_table(spark: SparkSession, path: str) -> DataFrame:
     """Page cache table; a filter on page_kind prunes folders."""
-    return spark.read.schema(schema.PAGE_SNAPSHOT).parquet(path)
+    return spark.read.schema(schema.PAGE_SNAPSHOT).parquet(path).select(*schema.PAGE_SNAPSHOT.names)
 
 
 def write_new_pages(pages: DataFrame, path: str, cached: DataFrame | None = None) -> None:

@@ -12,7 +12,7 @@ from pagefacts.functions.rules import PAGE_KINDS, PageKind
 from pagefacts.operators.crawl import usable
 from pagefacts.operators.extract import extract_errors, extract_facts
 from pagefacts.plans.staging import stage
-from pagefacts.sources.pages import snapshot
+from pagefacts.sources.pages import scanned_file_name, snapshot
 from pagefacts.sources.tables import numbered_facts, table_path
 
 
@@ -24,7 +24,7 @@ def page_table_stream(spark: SparkSession, path: str) -> DataFrame:
 def page_file_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Arriving page files, one page each."""
     files = spark.readStream.text(folder, wholetext=True)
-    return snapshot(files, F.col("_metadata.file_name"), F.col("value"))
+    return snapshot(files, scanned_file_name(), F.col("value"))
 
 
 def stream_facts(
