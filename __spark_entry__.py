@@ -243,7 +243,7 @@ def retry_worklist(spark, sf_dir):
 def product_360(spark, sf_dir):
     """All part identifiers, product facts from the pages the crawl obtained, review facts from snapshots."""
     log = given.fetch_log_with_pages(spark, sf_dir)
-    info = pipeline.facts_from_log(log, INFO, keep=("run_id", "asin")).drop("iteration")
+    info = pipeline.facts_from_log(log, INFO).select("run_id", "asin", *INFO.fields)
     reviews = extract.extract_facts(given.review_pages(spark, sf_dir), REVIEWS).withColumn("run_id", F.lit(""))
     return integrity.product_360(given.part_ids(spark, sf_dir), info, reviews, order="run_id")
 

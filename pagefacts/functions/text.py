@@ -41,12 +41,14 @@ def html_unescape(text: Column) -> Column:
     return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
-def capture(page: Column, patterns: Mapping[str, tuple[str, int]], *, decode: bool = True) -> Column:
+def capture(
+    page: Column, patterns: Mapping[str, tuple[str, int]], *, decode: bool = True, clean: bool = False
+) -> Column:
     """First match of each pattern in the page, as a struct of raw texts.
 
     ``patterns`` maps a field name to ``(pattern, target_group)``, groups counted
     from 0. A field is NULL when its pattern does not match, and ``''`` when it
-    matches an empty text.
+    matches an empty text. ``clean`` does what ``clean_page`` does, on the way.
 
     Decoding has to happen in Python, so the searches run in the same Arrow batch:
     only the short captured texts come back, never the decoded page.
@@ -60,6 +62,8 @@ def capture(page: Column, patterns: Mapping[str, tuple[str, int]], *, decode: bo
         found = [[] for _ in searches]
         for page in pages:
             text = page.as_py()
+            if text is not None and clean:
+                text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
             if text is not None and decode:
                 text = html.unescape(text)
             for values, (first_match, group) in zip(found, searches):

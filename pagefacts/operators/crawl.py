@@ -59,6 +59,15 @@ def effective_attempts(
 
     ``on_request_error="retry"`` tries an identifier again after an exception;
     the default gives it up.
+    """
+    attempts = classify(log).select(*KEY, "seq", "class")
+    return keep_effective(attempts, max_iterations=max_iterations, on_request_error=on_request_error)
+
+
+def keep_effective(
+    attempts: DataFrame, *, max_iterations: int = fixed.MAX_ITERATIONS, on_request_error: str = "lost"
+) -> DataFrame:
+    """``effective_attempts`` of classified attempts, whatever other columns they have.
 
     The iteration limit is part of the question, and Spark applies it before the
     shuffle (WindowGroupLimit): a hot identifier leaves each task with no more
@@ -66,7 +75,6 @@ def effective_attempts(
     """
     if on_request_error not in ("lost", "retry"):
         raise ValueError(f"on_request_error: {on_request_error!r}")
-    attempts = classify(log).select(*KEY, "seq", "class")
     final = _is_final(F.col("class"))
     if on_request_error == "retry":
         final = final & (F.col("class") != "lost")

@@ -4,14 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts.fixed_values import LISTING_NAME_WIDTH
 from pagefacts.functions.rules import ExtractRule, PageKind
 from pagefacts.functions.text import capture
 
-_ERROR = "array<struct<field:string,raw:string>>"
+_ERRORS = "array<struct<field:string,raw:string>>"
+
+
+def _captured(page: Column, rules: Sequence[ExtractRule], **options) -> Column:
+    return capture(page, {rule.name: (rule.pattern, rule.target_group) for rule in rules}, **options)
+
+
+def _values(raw: Column, rules: Sequence[ExtractRule], on_error: str) -> list[Column]:
+    """Value columns of captured texts, and the list of texts that did not convert."""
+    if on_error not in ("quarantine", "null", "fail"):
+        raise ValueError(f"on_error: {on_error!r}")
+    values, failed = [], []
+    for rule in rules:
+        text = raw.getField(rule.name)
+        value = rule.value(text)
+        if rule.convert is not None and on_error == "fail":
+            message = F.concat(F.lit(f"cannot convert {rule.name}: "), text)
+            value = F.when(rule.failed(text), F.raise_error(message)).otherwise(value)
+        elif rule.convert is not None:
+            error = F.struct(F.lit(rule.name).alias("field"), text.alias("raw"))
+            failed.append(F.when(rule.failed(text), error))
+        values.append(value.alias(rule.name))
+    if on_error == "quarantine":
+        errors = F.array_compact(F.array(*failed)) if failed else F.lit(None).cast(_ERRORS)
+        values.append(errors.alias("extract_errors"))
+    return values
 
 
 def extract(
@@ -20,44 +45,43 @@ def extract(
     *,
     page: str = "html",
     decode: bool = True,
+    clean: bool = False,
     keep: Sequence[str] = ("asin",),
+    drop_missing: bool = True,
     on_error: str = "quarantine",
 ) -> DataFrame:
     """Apply rules to a page column; returns the kept columns and one column per rule.
 
     No shuffle, and the page leaves the plan here. A NULL page was never obtained
-    and gives no row. ``on_error`` says what happens when a captured text does not
-    convert: "quarantine" leaves NULL and lists the text in ``extract_errors``,
-    "null" only leaves NULL, "fail" ends the job.
+    and gives no row, or one of defaults with ``drop_missing=False``. ``decode``
+    decodes HTML references first; ``clean`` drops a byte order mark and folds line
+    ends, for pages that no reader has cleaned yet. ``on_error`` says what happens
+    when a captured text does not convert: "quarantine" leaves NULL and lists the
+    text in ``extract_errors``, "null" only leaves NULL, "fail" ends the job.
     """
-    if on_error not in ("quarantine", "null", "fail"):
-        raise ValueError(f"on_error: {on_error!r}")
-    patterns = {rule.name: (rule.pattern, rule.target_group) for rule in rules}
-    captured = pages.where(F.col(page).isNotNull()).select(
-        *keep, capture(F.col(page), patterns, decode=decode).alias("_raw")
+    if drop_missing:
+        pages = pages.where(F.col(page).isNotNull())
+    captured = pages.select(*keep, _captured(F.col(page), rules, decode=decode, clean=clean).alias("_raw"))
+    return captured.select(*keep, *_values(F.col("_raw"), rules, on_error))
+
+
+def extract_all(pages: DataFrame, kinds: Sequence[PageKind], *, on_error: str = "quarantine") -> DataFrame:
+    """Facts of pages of several kinds in one scan: (asin, page_kind, one struct per kind).
+
+    Each page is handed to the rules of its own kind only; ``facts_of`` takes one
+    kind's rows out again.
+    """
+    kind_name = F.col("page_kind")
+    own = [F.when(kind_name == kind.name, F.col("html")) for kind in kinds]
+    captured = pages.where(F.col("html").isNotNull() & kind_name.isin([kind.name for kind in kinds])).select(
+        "asin", "page_kind", *[_captured(page, kind.rules).alias(kind.name) for page, kind in zip(own, kinds)]
     )
-    raw = {rule.name: F.col("_raw").getField(rule.name) for rule in rules}
+    facts = [F.struct(*_values(F.col(kind.name), kind.rules, on_error)).alias(kind.name) for kind in kinds]
+    return captured.select("asin", "page_kind", *facts)
 
-    def value(rule):
-        result = rule.value(raw[rule.name])
-        if on_error == "fail" and rule.convert is not None:
-            message = F.concat(F.lit(f"cannot convert {rule.name}: "), raw[rule.name])
-            result = F.when(rule.failed(raw[rule.name]), F.raise_error(message)).otherwise(result)
-        return result.alias(rule.name)
 
-    columns = [F.col(c) for c in keep] + [value(rule) for rule in rules]
-    if on_error == "quarantine":
-        checked = [
-            F.when(
-                rule.failed(raw[rule.name]),
-                F.struct(F.lit(rule.name).alias("field"), raw[rule.name].alias("raw")),
-            )
-            for rule in rules
-            if rule.convert is not None
-        ]
-        errors = F.array_compact(F.array(*checked)) if checked else F.lit(None).cast(_ERROR)
-        columns.append(errors.alias("extract_errors"))
-    return captured.select(*columns)
+def facts_of(facts: DataFrame, kind: PageKind) -> DataFrame:
+    return facts.where(F.col("page_kind") == kind.name).select("asin", f"{kind.name}.*")
 
 
 def extract_facts(pages: DataFrame, kind: PageKind, fields: Sequence[str] | None = None, **options) -> DataFrame:

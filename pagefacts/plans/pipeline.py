@@ -9,37 +9,27 @@ from pyspark.sql import functions as F
 
 from pagefacts import schema
 from pagefacts.functions.rules import PAGE_KINDS, PageKind
-from pagefacts.operators.crawl import KEY, effective_attempts, fetch_outcome, ok_pages
-from pagefacts.operators.extract import extract_errors, extract_facts
+from pagefacts.operators.crawl import KEY, classify, effective_attempts, fetch_outcome, keep_effective
+from pagefacts.operators.extract import extract_all, extract_errors, extract_facts, facts_of
 from pagefacts.operators.report import report_lines
 from pagefacts.plans.staging import stage
 from pagefacts.sources.tables import create_tables, empty_table, load_facts, load_ids, read_table, table_path
 
 
-def facts_from_pages(pages: DataFrame, kind: PageKind, ids: DataFrame) -> DataFrame:
-    """Facts of the listed identifiers.
-
-    Extraction comes first and needs no shuffle; the identifiers then select among
-    narrow fact rows, so no page is ever shuffled.
-    """
-    own = pages.where(F.col("page_kind") == kind.name)
-    return extract_facts(own, kind).join(ids.select("asin"), "asin", "left_semi")
-
-
-def facts_from_log(
-    log: DataFrame, kind: PageKind, *, keep: tuple[str, ...] = tuple(KEY), **options
-) -> DataFrame:
+def facts_from_log(log: DataFrame, kind: PageKind, **options) -> DataFrame:
     """Facts of the pages a crawl obtained: those of each identifier's settling attempt.
 
-    Which attempt settled is worked out on narrow rows; the pages go through
-    extraction in the scan and only their facts are joined to it.
+    One scan of the log: each attempt is classified and, if it brought a page, turned
+    into facts right there. Only attempts with their facts are shuffled, once, to
+    see which of them settled their identifier.
     """
-    own = log.where(F.col("page_kind") == kind.name)
-    attempts = effective_attempts(own, **options)
-    settling = attempts.where(F.col("class") == "ok").select(*KEY, "seq", "iteration")
-    facts = extract_facts(ok_pages(own), kind, keep=(*KEY, "seq"))
-    joined = facts.join(settling, [*KEY, "seq"])
-    return joined.select(*keep, "iteration", *kind.fields, "extract_errors")
+    own = classify(log.where(F.col("page_kind") == kind.name))
+    page = F.when(F.col("class") == "ok", F.coalesce("body", F.lit("")))
+    attempts = extract_facts(
+        own.withColumn("html", page), kind, keep=(*KEY, "seq", "class"), clean=True, drop_missing=False
+    )
+    settled = keep_effective(attempts, **options).where(F.col("class") == "ok")
+    return settled.select(*KEY, "iteration", *kind.fields, "extract_errors")
 
 
 def crawl_outcome(log: DataFrame, **options) -> DataFrame:
@@ -67,15 +57,21 @@ def build_tables(
     *,
     recorded_at: Column | None = None,
 ) -> Loaded:
-    """Replace the three tables under ``root`` with the given identifiers and their facts."""
+    """Replace the three tables under ``root`` with the given identifiers and their facts.
+
+    Extraction comes first, in one scan and without a shuffle; the identifiers then
+    select among narrow fact rows, so no page is ever shuffled.
+    """
     create_tables(spark, root)
     load_ids(ids, root, recorded_at)
     asins = read_table(spark, root, "asins")
     errors_path = table_path(root, "extract_errors")
     empty_table(spark, schema.EXTRACT_ERRORS).write.mode("overwrite").parquet(errors_path)
+    # Loading, the error list and the other kind all read the facts; the pages are read once.
+    wanted = extract_all(pages, PAGE_KINDS).join(asins.select("asin"), "asin", "left_semi")
+    staged = stage(wanted, "facts")
     for kind in PAGE_KINDS:
-        # Loading and the error list both read the facts; the pages are decoded once.
-        facts = stage(facts_from_pages(pages, kind, asins), kind.table)
+        facts = facts_of(staged, kind)
         load_facts(facts, root, kind, recorded_at=recorded_at, checked=True)
         extract_errors(facts, kind).write.mode("append").parquet(errors_path)
     return Loaded(

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagefacts import schema
 from pagefacts.functions.rules import PAGE_KINDS, PageKind
 from pagefacts.operators.crawl import usable
-from pagefacts.operators.extract import extract_errors, extract_facts
+from pagefacts.operators.extract import extract_all, extract_errors, facts_of
 from pagefacts.plans.staging import stage
 from pagefacts.sources.pages import scanned_file_name, snapshot
 from pagefacts.sources.tables import numbered_facts, table_path
@@ -44,10 +44,10 @@ def stream_facts(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # Everything below reads the facts; the pages are read once.
+        staged = stage(extract_all(batch.where(usable(F.col("html"))), kinds), "facts")
         for kind in kinds:
-            own = batch.where((F.col("page_kind") == kind.name) & usable(F.col("html")))
-            # Read twice below; the pages are decoded once.
-            facts = stage(extract_facts(own, kind), "facts")
+            facts = facts_of(staged, kind)
             start = _highest_id(spark, root, kind, batch_id) + 1
             rows = numbered_facts(facts, kind, recorded_at=recorded_at, start=start)
             rows.write.mode("overwrite").parquet(f"{table_path(root, kind.table)}/batch_id={batch_id}")

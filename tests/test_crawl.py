@@ -126,7 +126,7 @@ def test_request_error_retried(spark):
     got = crawl.fetch_outcome(effective, on_request_error="retry")
     assert {(r.run_id, r.asin): (r.outcome, r.attempts) for r in got.collect()} == expected
     with pytest.raises(ValueError):
-        crawl.effective_attempts(effective, on_request_error="guess")
+        crawl.keep_effective(effective, on_request_error="guess")
 
 
 def test_lists(spark):

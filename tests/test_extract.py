@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagefacts.fixed_values import ROBOT_CHECK
 from pagefacts.functions.rules import INFO, REVIEWS, ExtractRule
 from pagefacts.functions.text import to_int
-from pagefacts.operators.extract import extract, extract_errors, extract_facts, fact_listing
+from pagefacts.operators.extract import extract, extract_all, extract_errors, extract_facts, fact_listing, facts_of
 
 
 def facts(spark, kind, pages, **options):
@@ -130,6 +130,19 @@ def test_rule_needs_its_group():
         ExtractRule("x", r"(one)", target_group=1)
 
 
+def test_kinds_in_one_scan(spark):
+    rows = [("B1", "info", "<title>T</title>"), ("B1", "reviews", "See all 3 positive reviews"),
+            ("B2", "info", "See all 3 positive reviews"), ("B3", "info", None), ("B4", "other", "<title>T</title>")]
+    df = spark.createDataFrame(rows, "asin string, page_kind string, html string")
+    both = extract_all(df, (INFO, REVIEWS))
+    plan = physical_plan(both)
+    assert plan.count("ArrowEvalPython") == 1
+    for kind in (INFO, REVIEWS):
+        alone = extract_facts(df.where(F.col("page_kind") == kind.name), kind)
+        assert sorted(map(str, facts_of(both, kind).collect())) == sorted(map(str, alone.collect()))
+    assert facts_of(both, INFO).count() == 2
+
+
 def test_listing(spark):
     df = spark.createDataFrame([("B1", "<title>Thing</title>")], "asin string, html string")
     lines = {r.field: r.line for r in fact_listing(extract_facts(df, INFO), INFO).collect()}
@@ -145,5 +158,6 @@ def test_pages_go_to_python_once_and_are_not_shuffled(spark, tmp_path):
     plan = physical_plan(extract_facts(pages, INFO))
     assert plan.count("ArrowEvalPython") == 1
     assert "Exchange" not in plan
+    assert physical_plan(extract_all(pages.withColumn("page_kind", F.lit("info")), (INFO, REVIEWS))).count("FileScan") == 1
     only_keys = physical_plan(extract_facts(pages, INFO).select("asin"))
     assert "ArrowEvalPython" not in only_keys
