@@ -34,7 +34,7 @@ def _present(absent: Column, text: Column) -> Column:
 
 
 def product_pages(spark: SparkSession, sf_dir: str, ratings: Column | None = None) -> DataFrame:
-    """One product page per part; ``ratings`` replaces the number of ratings."""
+    """One product page per part; some pages lack a fact. ``ratings`` replaces the number of ratings."""
     key, size = F.col("p_partkey"), F.col("p_size")
     if ratings is None:
         ratings = F.format_number(key * 37, 0)
@@ -56,7 +56,7 @@ def product_pages(spark: SparkSession, sf_dir: str, ratings: Column | None = Non
 
 
 def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reviews page per part, each fact on its own line."""
+    """One reviews page per part, each fact on its own line; some pages lack a fact."""
     key = F.col("p_partkey")
 
     def count(factor):

@@ -8,12 +8,14 @@ from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagefacts import fixed_values as fixed
 from pagefacts.operators.crawl import KEY, classify
 
-_OUTPUT = "run_id string, page_kind string, asin string, outcome string, attempts int"
+_KEY_SCHEMA = "run_id string, page_kind string, asin string"
+_OUTPUT = "key string, outcome string, attempts int"
 _STATE = "attempts int, settled boolean"
 
 
@@ -24,18 +26,18 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
     Bodies are dropped before the shuffle. Each Arrow batch keeps, per identifier, only
     the attempts that can still count, so a hot identifier is cut down before the
     shuffle and the group function never holds more than the first few attempts.
+
+    The key travels as one JSON text: what a group costs grows with its columns.
     """
-    attempts = classify(log).select(*KEY, "seq", "class")
+    attempts = classify(log).select(F.to_json(F.struct(*KEY)).alias("key"), "seq", "class")
     final = ("ok", "invalid", "lost")
-    key = list(KEY)
-    columns = [*key, "outcome", "attempts"]
 
     # Both nested, so that they are shipped by value.
     def first_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.sort_values([*key, "seq"])
+            batch = batch.sort_values(["key", "seq"])
             ends = batch["class"].isin(final)
-            groups = ends.groupby([batch[k] for k in key], sort=False)
+            groups = ends.groupby(batch["key"], sort=False)
             ended_before = (groups.cumsum() - ends) > 0
             yield batch[~ended_before & (groups.cumcount() < max_iterations)]
 
@@ -57,10 +59,12 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
             outcome = "unscraped"
         state.update((seen, outcome is not None))
         if outcome is not None:
-            yield pd.DataFrame([(*group, outcome, seen)], columns=columns)
+            yield pd.DataFrame({"key": group, "outcome": [outcome], "attempts": [seen]})
 
-    return (
+    outcomes = (
         attempts.mapInPandas(first_attempts, attempts.schema)
-        .groupBy(*KEY)
+        .groupBy("key")
         .applyInPandasWithState(settle, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
     )
+    key = F.from_json("key", _KEY_SCHEMA).alias("key")
+    return outcomes.select(key, "outcome", "attempts").select("key.*", "outcome", "attempts")

@@ -34,10 +34,12 @@ def stream_facts(
     *,
     kinds: tuple[PageKind, ...] = PAGE_KINDS,
     recorded_at: Column | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Load the facts of arriving pages into the tables under ``root``, then stop when caught up.
+    """Load the facts of arriving pages into the tables under ``root``.
 
-    Every micro-batch overwrites its own folder, so a batch that is run again after
+    Stops when caught up, unless another trigger is given (``processingTime="1 minute"``).
+    ``root`` and ``checkpoint`` belong together: start both anew, or neither. Every micro-batch overwrites its own folder, so a batch that is run again after
     a failure replaces its rows instead of adding them twice. Texts that did not
     convert go to ``extract_errors`` in the same way.
     """
@@ -59,7 +61,7 @@ def stream_facts(
     return (
         pages.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagefacts.fixed_values import KEY_MISSING, QUOTA_USED_UP, ROBOT_CHECK
 from pagefacts.operators import crawl
 from pagefacts.schema import FETCH_LOG
+from pagefacts.sources.fetch_log import read_fetch_log
 
 FINAL = {"ok", "invalid", "lost"}
 
@@ -153,6 +154,15 @@ def test_lists(spark):
     assert summary == {1: (5, 1, 2, 1, 1), 2: (1, 0, 1, 0, 0)}
 
 
+@pytest.mark.parametrize("form", ["parquet", "json"])
+def test_read_log(spark, tmp_path, form):
+    log = make_log(spark, random_attempts(2, count=30))
+    log.write.format(form).save(str(tmp_path / form))
+    got = read_fetch_log(spark, str(tmp_path / form), form)
+    assert got.dtypes == log.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, log.collect()))
+
+
 def test_outcome_plan(spark, tmp_path):
     path = str(tmp_path / "log")
     make_log(spark, random_attempts(1)).write.parquet(path)

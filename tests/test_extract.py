@@ -1,12 +1,13 @@
 """Extraction: literal pages, matching rules, conversion failures, plan shape."""
 
+import pandas as pd
 import pytest
 from conftest import physical_plan
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pagefacts.fixed_values import ROBOT_CHECK
-from pagefacts.functions.rules import INFO, REVIEWS, ExtractRule
+from pagefacts.functions.rules import INFO, PAGE_KINDS, REVIEWS, ExtractRule, PageKind, cache_file, parse_cache_file
 from pagefacts.functions.text import to_int
 from pagefacts.operators.extract import extract, extract_all, extract_errors, extract_facts, fact_listing, facts_of
 
@@ -123,6 +124,28 @@ def test_own_rules(spark):
     assert raw["b"] == "&AMP;"
 
 
+def test_converter_may_be_a_pandas_udf(spark):
+    @F.pandas_udf("string")
+    def backwards(texts: pd.Series) -> pd.Series:
+        return texts.str[::-1]
+
+    df = spark.createDataFrame([("B1", "x=abc;"), ("B2", "")], "asin string, html string")
+    rules = [ExtractRule("x", "x=(.*?);", convert=backwards, default="none")]
+    assert {r.asin: r.x for r in extract(df, rules, on_error="null").collect()} == {"B1": "cba", "B2": "none"}
+
+
+def test_new_page_kind(spark):
+    offers = PageKind(
+        "offers", "https://example.com/offers/{}", "offers-{}.html", (ExtractRule("n", r"(\d+) offers", convert=to_int, default=0),), "offers"
+    )
+    kinds = (*PAGE_KINDS, offers)
+    df = spark.createDataFrame([("B1", "offers", "12 offers"), ("B1", "info", "12 offers")], "asin string, page_kind string, html string")
+    assert [tuple(r)[:2] for r in facts_of(extract_all(df, kinds), offers).collect()] == [("B1", 12)]
+    named = df.select("asin", "page_kind", cache_file(F.col("asin"), F.col("page_kind"), kinds).alias("f"))
+    back = named.select("page_kind", parse_cache_file(F.col("f"), kinds).alias("k"))
+    assert all(r.page_kind == r.k.page_kind for r in back.collect())
+
+
 def test_rule_needs_its_group():
     with pytest.raises(ValueError):
         ExtractRule("x", r"no groups")
