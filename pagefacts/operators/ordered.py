@@ -30,14 +30,19 @@ def _partitions(df: DataFrame) -> int:
 
 
 def hot_groups(df: DataFrame, groups: Sequence[str]) -> list[int]:
-    """Hashes of all groups with more than a task's fair share of the rows.
+    """Hashes of the groups with more than a task's fair share of the rows.
 
-    The frequent-items sketch may name a few others too; they are then split
-    without need, which changes no result.
+    A frequent-items sketch names at most 1 / share candidates, all such groups among
+    them; a second pass counts the candidates. Both read only the group columns, and
+    neither shuffles more than the candidates.
     """
-    hashed = df.select(F.xxhash64(*groups).alias("group"))
     share = 1 / min(_partitions(df), _MAX_HOT_GROUPS)
-    return hashed.stat.freqItems(["group"], share).first()[0]
+    hashed = df.select(F.xxhash64(*groups).alias("group"))
+    candidates = hashed.stat.freqItems(["group"], share).first()[0]
+    named = F.when(F.col("group").isin(candidates), F.col("group"))
+    counts = dict(map(tuple, hashed.groupBy(named.alias("group")).count().collect()))
+    fair = share * sum(counts.values())
+    return sorted(group for group, rows in counts.items() if group is not None and rows > fair)
 
 
 def _with_bands(df: DataFrame, groups: Sequence[str], order: str, hot: list[int]) -> DataFrame:
