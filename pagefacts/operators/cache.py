@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefacts.plans.staging import stage
+
 PAGE_KEY = ["asin", "page_kind"]
 
 
@@ -20,6 +22,15 @@ def cache_misses(requested: DataFrame, cached: DataFrame, *, use_cache: bool = T
     return requested.join(cached.select(*PAGE_KEY), PAGE_KEY, "left_anti")
 
 
-def new_pages(pages: DataFrame, cached: DataFrame) -> DataFrame:
-    """Pages not in the cache yet, one per identifier and kind."""
-    return cache_misses(pages, cached).dropDuplicates(PAGE_KEY)
+def new_pages(pages: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """Pages not in the cache yet, one per identifier and kind.
+
+    Only keys are shuffled. The keys already cached are worked out first, normally
+    few, so that Spark can broadcast them to the pages by their known size; pages are
+    grouped only if some key really occurs twice.
+    """
+    if cached is not None:
+        already = stage(cache_hits(pages.select(*PAGE_KEY), cached).distinct(), "cached-keys")
+        pages = cache_misses(pages, already)
+    repeated = pages.groupBy(*PAGE_KEY).count().where("count > 1")
+    return pages if repeated.isEmpty() else pages.dropDuplicates(PAGE_KEY)

@@ -41,8 +41,8 @@ def read_page_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_new_pages(pages: DataFrame, path: str, cached: DataFrame | None = None) -> None:
     """Add the pages the cache does not hold yet. Without ``cached`` the cache is new."""
-    added = pages.dropDuplicates(["asin", "page_kind"]) if cached is None else new_pages(pages, cached)
-    added.select("asin", "page_kind", "html").write.partitionBy("page_kind").mode("append").parquet(path)
+    added = new_pages(pages, cached).select("asin", "page_kind", "html")
+    added.write.partitionBy("page_kind").mode("append").parquet(path)
 
 
 def with_cache_file(pages: DataFrame, kinds=PAGE_KINDS) -> DataFrame:

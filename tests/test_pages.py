@@ -2,7 +2,7 @@ from conftest import physical_plan
 from pyspark.sql import functions as F
 
 from pagefacts.functions.rules import cache_file, parse_cache_file, target_url
-from pagefacts.operators.cache import cache_hits, cache_misses
+from pagefacts.operators.cache import cache_hits, cache_misses, new_pages
 from pagefacts.sources.pages import read_page_files, read_page_table, write_new_pages
 
 
@@ -59,5 +59,8 @@ def test_cache(spark, tmp_path):
     new = spark.createDataFrame([("B1", "info", "new"), ("B1", "reviews", "r"), ("B1", "reviews", "r")], schema)
     write_new_pages(new, path, held)
     assert rows(read_page_table(spark, path)) == [("B1", "info", "old"), ("B1", "reviews", "r"), ("B2", "info", "x")]
+    added = new_pages(spark.createDataFrame([("B1", "info", "x"), ("B7", "info", "y")], schema), held)
+    assert rows(added.select("asin", "page_kind", "html")) == [("B7", "info", "y")]
+    assert "Exchange hashpartitioning" not in physical_plan(added) and "BroadcastHashJoin" in physical_plan(added)
     plan = physical_plan(read_page_table(spark, path).where("page_kind = 'info'"))
     assert "PartitionFilters: [isnotnull(page_kind" in plan
