@@ -92,10 +92,11 @@ delays(run_id, page_kind, asin, seq, iteration, class, n, delay) AS (
   FROM delays AS d JOIN ordered AS o
     ON o.run_id = d.run_id AND o.page_kind = d.page_kind AND o.n = d.n + 1)"""
 
-# &amp; last: what it uncovers is not decoded again.
-_DECODED = (
-    "replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
-)
+# The four references the pages hold, with or without the semicolon (cut titles lose it), as HTML5
+# has it. &amp last: what it uncovers is not decoded again.
+_DECODED = "html"
+for _name, _text in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
+    _DECODED = f"regexp_replace({_DECODED}, '&{_name};?', '{_text}', 'g')"
 _TITLE = r"<title>(Amazon.com\s*:\s*)?(.+?)(\s*- - Amazon.com)?</title>"
 TITLES = f"""titles AS (
   SELECT page_id, url, CASE WHEN regexp_matches(text, '{_TITLE}') THEN regexp_extract(text, '{_TITLE}', 2) END
