@@ -251,11 +251,10 @@ FROM effective GROUP BY run_id, page_kind, iteration""",
 SELECT run_id, page_kind, asin, outcome AS reason FROM outcome WHERE outcome IN ('unscraped', 'invalid')""",
         "pk_violations": f"SELECT {USER_ASIN} AS asin, count(*) AS n_rows FROM events GROUP BY 1 HAVING count(*) > 1",
         "effective_attempts": f"WITH {EFFECTIVE} SELECT * FROM effective",
-        "attempt_iteration": f"WITH {ATTEMPTS} SELECT run_id, page_kind, asin, seq, iteration FROM attempts",
+        "attempt_iteration": f"WITH {ATTEMPTS} SELECT run_id, page_kind, asin, seq, CAST(iteration AS BIGINT) AS iteration FROM attempts",
         "attempt_position": f"""WITH {EFFECTIVE}
 SELECT run_id, page_kind, asin, seq, iteration,
-       CAST(row_number() OVER w AS INTEGER) AS position,
-       CAST(count(*) OVER (PARTITION BY run_id, page_kind, iteration) AS INTEGER) AS n_ids,
+       row_number() OVER w AS position, count(*) OVER (PARTITION BY run_id, page_kind, iteration) AS n_ids,
        lead(seq) OVER w IS NULL AS is_last
 FROM effective WINDOW w AS (PARTITION BY run_id, page_kind, iteration ORDER BY seq)""",
         "adaptive_delay": f"""WITH RECURSIVE {DELAYS}

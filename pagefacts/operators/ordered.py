@@ -80,26 +80,29 @@ def rank_in_group(
     ``order`` is numeric and unique within a group. The input is read more than
     once: it should be a table (or staged), not a heavy computation.
     """
+    def counted(keys):
+        """Rows so far and rows in all; counts, because a rank as an integer may overflow."""
+        group = Window.partitionBy(*keys)
+        so_far = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.count("*").over(so_far), F.count("*").over(group)
+
     hot = hot_groups(df, groups)
     if not hot:
-        inside = Window.partitionBy(*groups)
-        added = [F.row_number().over(inside.orderBy(order)).alias(rank)]
-        if size:
-            added.append(F.count("*").over(inside).cast("int").alias(size))
-        return df.select("*", *added)
+        position, rows = counted(groups)
+        return df.select("*", position.alias(rank), *([rows.alias(size)] if size else []))
 
     banded = _with_bands(df, groups, order, hot)
-    inside = Window.partitionBy(*groups, _BAND)
-    rows = banded.withColumn("_rank", F.row_number().over(inside.orderBy(order)))
     # Counted before the shuffle: a hot group travels as one row per task and band.
     totals = banded.where(F.col(_BAND).isNotNull()).groupBy(*groups, _BAND).agg(F.count("*").alias("_rows"))
-    totals = totals.withColumn("_before", F.sum("_rows").over(_earlier(groups)))
-    added = [(F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("int").alias(rank)]
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(_earlier(groups)), F.lit(0)))
+    position, rows = counted([*groups, _BAND])
+    ranked = banded.withColumn("_position", position)
+    added = [(F.col("_position") + F.coalesce("_before", F.lit(0))).alias(rank)]
     if size:
-        rows = rows.withColumn("_band_size", F.count("*").over(inside))
+        ranked = ranked.withColumn("_band_size", rows)
         totals = totals.withColumn("_size", F.sum("_rows").over(Window.partitionBy(*groups)))
-        added.append(F.coalesce("_size", "_band_size").cast("int").alias(size))
-    return _join_totals(rows, totals.drop("_rows"), groups).select(*df.columns, *added)
+        added.append(F.coalesce("_size", "_band_size").alias(size))
+    return _join_totals(ranked, totals.drop("_rows"), groups).select(*df.columns, *added)
 
 
 def reflected_walk(

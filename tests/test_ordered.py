@@ -26,7 +26,7 @@ def test_hot_group_is_found_and_split(spark):
         groups.setdefault(k, []).append(seq)
     expected = {(k, s): (i + 1, len(v)) for k, v in groups.items() for i, s in enumerate(v)}
     assert {(r.k, r.seq): (r.rank, r["size"]) for r in ranked.collect()} == expected
-    assert ranked.dtypes == [("k", "string"), ("seq", "bigint"), ("rank", "int"), ("size", "int")]
+    assert ranked.dtypes == [("k", "string"), ("seq", "bigint"), ("rank", "bigint"), ("size", "bigint")]
 
 
 def test_without_hot_groups_it_is_one_window(spark):
