@@ -2,7 +2,7 @@
 
 A plain window sends each group to a single task, which is fine until one
 identifier or one run holds a large share of the log. Groups above a task's fair
-share are found first (a bounded sketch, no shuffle). Their order is cut into bands:
+share are found first (a bounded sketch and a count). Their order is cut into bands:
 the window runs inside each (group, band), the band totals are accumulated per
 group, and joined back. All other groups take the plain window in the same pass.
 Nothing is dropped, and without hot groups the plan is the plain window.
@@ -77,9 +77,10 @@ def rank_in_group(
 ) -> DataFrame:
     """1-based position of each row in its group, and the group size if ``size`` names a column.
 
-    ``order`` is numeric and unique within a group. The input is read more than
-    once: it should be a table (or staged), not a heavy computation.
+    ``order`` is numeric and unique within a group; group columns are never NULL. The
+    input is read more than once: it should be a table (or staged), not a heavy computation.
     """
+
     def counted(keys):
         """Rows so far and rows in all; counts, because a rank as an integer may overflow."""
         group = Window.partitionBy(*keys)
@@ -112,6 +113,7 @@ def reflected_walk(
 
     With S the running sum including the start, the level after a row is
     S - least(0, lowest S so far). Sum and lowest value both combine across bands.
+    The same holds for ``order``, ``groups`` and the input as for ranks.
     """
     hot = hot_groups(df, groups)
     stepped = df.withColumn("_step", step.cast("bigint"))

@@ -59,6 +59,8 @@ def build_tables(
 ) -> Loaded:
     """Replace the three tables under ``root`` with the given identifiers and their facts.
 
+    ``ids`` are distinct, as ``read_identifiers`` gives them, and ``pages`` hold one page
+    per identifier and kind, as the cache does; ``check_primary_keys`` checks the tables.
     Extraction comes first, in one scan and without a shuffle; the identifiers then
     select among narrow fact rows, so no page is ever shuffled.
     """

@@ -28,6 +28,9 @@ def scanned_file_name() -> Column:
 def read_page_files(spark: SparkSession, folder: str, kinds=PAGE_KINDS) -> DataFrame:
     """Cached pages of a folder, one file per page.
 
+    For many pages read them once and keep them with ``write_new_pages``: a table has
+    far fewer files, and its partitions by kind can be read apart.
+
     Spark passes over files of no bytes; a cached empty page still has its byte order mark.
     """
     files = spark.read.text(folder, wholetext=True)

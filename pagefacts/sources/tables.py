@@ -130,7 +130,9 @@ def write_jdbc(df: DataFrame, table: str, options: dict[str, str], *, batch: int
     )
 
 
-def read_jdbc(spark: SparkSession, table: str, options: dict[str, str], *, partitions: int = 1, highest: int = 0) -> DataFrame:
+def read_jdbc(
+    spark: SparkSession, table: str, options: dict[str, str], *, partitions: int = 1, highest: int = 0
+) -> DataFrame:
     """Read a database table, split by id when it has one and ``highest`` is given."""
     reader = spark.read.format("jdbc").options(**options, dbtable=table)
     if partitions > 1 and highest > 0 and schema.TABLES[table][0].name == "id":

@@ -39,9 +39,11 @@ def stream_facts(
     """Load the facts of arriving pages into the tables under ``root``.
 
     Stops when caught up, unless another trigger is given (``processingTime="1 minute"``).
-    ``root`` and ``checkpoint`` belong together: start both anew, or neither. Every micro-batch overwrites its own folder, so a batch that is run again after
-    a failure replaces its rows instead of adding them twice. Texts that did not
-    convert go to ``extract_errors`` in the same way.
+    ``root`` and ``checkpoint`` belong together: start both anew, or neither.
+
+    Every micro-batch overwrites its own folder, so a batch that is run again after a
+    failure replaces its rows instead of adding them twice. Texts that did not convert
+    go to ``extract_errors`` in the same way.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:

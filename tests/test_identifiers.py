@@ -1,9 +1,12 @@
 import csv
+import random
 
 import pytest
 from pyspark.errors import PySparkException
 
-from pagefacts.sources.identifiers import checked_path, read_identifiers
+from pyspark.sql import functions as F
+
+from pagefacts.sources.identifiers import checked_path, last_field, read_identifiers
 
 
 def asins(df):
@@ -39,6 +42,21 @@ def test_fields_as_the_csv_module_reads_them(spark, tmp_path):
     assert asins(read_identifiers(spark, write(tmp_path / "ids.csv", text))) == expected
 
 
+def test_random_lines_as_the_csv_module_reads_them(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices('"",ab é\t', k=rng.randint(1, 14))) for _ in range(4000)]
+    # A record that takes in the next line has an open quote.
+    closed = [line for line in lines if len(list(csv.reader([line + "\n", "next"]))) == 2]
+    opened = sorted(set(lines) - set(closed))
+    assert len(closed) > 1000 and len(opened) > 100
+    df = spark.createDataFrame(list(enumerate(closed)), "i int, line string")
+    got = [r[1] for r in df.select("i", last_field(F.col("line"))).orderBy("i").collect()]
+    assert got == [next(csv.reader([line]))[-1] for line in closed]
+    for line in opened[:5]:
+        with pytest.raises(PySparkException, match="goes on"):
+            spark.createDataFrame([(line,)], "line string").select(last_field(F.col("line"))).collect()
+
+
 def test_many_fields(spark, tmp_path):
     line = ",".join(['"a,""b"'] * 50_000 + ["last"])
     assert asins(read_identifiers(spark, write(tmp_path / "ids.csv", line))) == ["last"]
