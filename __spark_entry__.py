@@ -102,7 +102,8 @@ def load_product_reviews(spark, sf_dir):
 def cache_new_pages(spark, sf_dir):
     """A cache of the pages obtained so far, then all pages added to it."""
     folder = staging.new_folder(spark, "cache")
-    obtained = cache.cache_hits(given.product_pages(spark, sf_dir), _cached(spark, sf_dir))
+    keys = staging.stage(_cached(spark, sf_dir), "obtained-keys")
+    obtained = cache.cache_hits(given.product_pages(spark, sf_dir), keys)
     pages.write_new_pages(obtained, folder)
     held = pages.read_page_table(spark, folder)
     pages.write_new_pages(given.all_pages(spark, sf_dir), folder, held)
