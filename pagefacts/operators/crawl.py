@@ -170,7 +170,8 @@ def iteration_summary(effective: DataFrame) -> DataFrame:
 def attempt_position(effective: DataFrame) -> DataFrame:
     """Position "i of n" of each attempt within its iteration, and whether it is the last.
 
-    One iteration of one run may be most of the log, hence the banded rank.
+    One iteration of one run may be most of the log, hence the rank that splits hot
+    groups. Identifiers taken from the cache leave no attempt and are not counted.
     """
     staged = stage(effective.select(*KEY, "seq", "iteration"), "attempts")
     ranked = rank_in_group(staged, [*RUN, "iteration"], "seq", "position", "n_ids")

@@ -27,16 +27,19 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
     the attempts that can still count, so a hot identifier is cut down before the
     shuffle and the group function never holds more than the first few attempts.
 
-    The key travels as one JSON text: what a group costs grows with its columns.
+    What a group costs grows with its columns, so the key travels as one JSON text and
+    an attempt as its number, padded, and its class.
     """
-    attempts = classify(log).select(F.to_json(F.struct(*KEY)).alias("key"), "seq", "class")
+    attempts = classify(log).select(
+        F.to_json(F.struct(*KEY)).alias("key"), F.format_string("%019d %s", "seq", "class").alias("attempt")
+    )
     final = ("ok", "invalid", "lost")
 
     # Both nested, so that they are shipped by value.
     def first_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.sort_values(["key", "seq"])
-            ends = batch["class"].isin(final)
+            batch = batch.sort_values(["key", "attempt"])
+            ends = batch["attempt"].str.endswith(final)
             groups = ends.groupby(batch["key"], sort=False)
             ended_before = (groups.cumsum() - ends) > 0
             yield batch[~ended_before & (groups.cumcount() < max_iterations)]
@@ -48,10 +51,11 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
         # Only the smallest few stay in memory, however many chunks the group has.
         kept = []
         for batch in batches:
-            kept = heapq.nsmallest(max_iterations - seen, chain(kept, zip(batch["seq"], batch["class"])))
+            kept = heapq.nsmallest(max_iterations - seen, chain(kept, batch["attempt"]))
         outcome = None
-        for _, cls in kept:
+        for attempt in kept:
             seen += 1
+            cls = attempt.split(" ")[1]
             if cls in final:
                 outcome = cls
                 break
