@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagefacts import fixed_values as fixed
 from pagefacts.functions.text import clean_page
-from pagefacts.operators.ordered import rank_in_group, reflected_walk
+from pagefacts.operators.ordered import rank_in_group, reflected_walk, with_dense_id
 from pagefacts.plans.staging import stage
 
 RUN = ["run_id", "page_kind"]
@@ -159,22 +159,41 @@ def retry_worklist(
     return requested.select(*KEY).distinct().join(settled.select(*KEY), KEY, "left_anti")
 
 
-def iteration_summary(effective: DataFrame) -> DataFrame:
-    """Size of each iteration's work list and what became of it."""
-    counts = [
-        F.count_if(F.col("class") == cls).alias(f"n_{cls}") for cls in ("ok", "retry", "invalid", "lost")
-    ]
-    return effective.groupBy(*RUN, "iteration").agg(F.count("*").alias("n_ids"), *counts)
+def iteration_summary(effective: DataFrame, *, cached: DataFrame | None = None) -> DataFrame:
+    """Size of each iteration's work list and what became of it.
+
+    ``cached`` (run_id, page_kind, asin) adds what a run took from the cache, in its first iteration.
+    """
+    rows, classes = effective.select(*RUN, "iteration", "class"), ["ok", "retry", "invalid", "lost"]
+    if cached is not None:
+        hits = cached.select(*RUN, F.lit(1).alias("iteration"), F.lit("cached").alias("class"))
+        rows, classes = rows.unionByName(hits), [*classes, "cached"]
+    counts = [F.count_if(F.col("class") == cls).alias(f"n_{cls}") for cls in classes]
+    return rows.groupBy(*RUN, "iteration").agg(F.count("*").alias("n_ids"), *counts)
 
 
-def attempt_position(effective: DataFrame) -> DataFrame:
+def attempt_position(effective: DataFrame, *, cached: DataFrame | None = None) -> DataFrame:
     """Position "i of n" of each attempt within its iteration, and whether it is the last.
 
     One iteration of one run may be most of the log, hence the rank that splits hot
-    groups. Identifiers taken from the cache leave no attempt and are not counted.
+    groups. Identifiers a run took from the cache leave no attempt; ``cached``
+    (run_id, page_kind, asin) has them count in their place of the first iteration,
+    whose work list is in order of the identifiers, as every later one is.
     """
-    staged = stage(effective.select(*KEY, "seq", "iteration"), "attempts")
-    ranked = rank_in_group(staged, [*RUN, "iteration"], "seq", "position", "n_ids")
+    group = [*RUN, "iteration"]
+    if cached is None:
+        staged = stage(effective.select(*KEY, "seq", "iteration"), "attempts")
+        ranked = rank_in_group(staged, group, "seq", "position", "n_ids")
+    else:
+        hits = cached.select(*KEY, F.lit(None).cast("bigint").alias("seq"), F.lit(1).alias("iteration"))
+        listed = effective.select(*KEY, "seq", "iteration").unionByName(hits)
+        numbered = stage(with_dense_id(listed, [*group, "asin"], name="_id"), "work-lists")
+        bounds = numbered.groupBy(*group).agg(F.min("_id").alias("_first"), F.count("*").alias("n_ids"))
+        ranked = (
+            numbered.where(F.col("seq").isNotNull())
+            .join(bounds, group)
+            .select(*KEY, "seq", "iteration", (F.col("_id") - F.col("_first") + 1).alias("position"), "n_ids")
+        )
     return ranked.withColumn("is_last", F.col("position") == F.col("n_ids"))
 
 
@@ -195,13 +214,20 @@ def adaptive_delay(
     return walked.withColumn("delay", F.col("_level") * delta + rest).drop("_level")
 
 
-def planned_wait(delays: DataFrame) -> DataFrame:
-    """Total seconds a run waited: every delay but the one after an iteration's last attempt.
+def planned_wait(delays: DataFrame, *, cached: DataFrame | None = None) -> DataFrame:
+    """Total seconds a run waited: every delay but the one after an iteration's last identifier.
 
     The last attempt's delay is subtracted instead of flagged, so two small
-    aggregations do and no rank is needed.
+    aggregations do and no rank is needed. It stays if identifiers from the cache
+    (``cached``: run_id, page_kind, asin) came after it in the first work list.
     """
     per_iteration = delays.groupBy(*RUN, "iteration").agg(
-        (F.sum("delay") - F.max_by("delay", "seq")).alias("_wait")
+        F.sum("delay").alias("_all"), F.max_by("delay", "seq").alias("_after_last"), F.max("asin").alias("_tried")
     )
-    return per_iteration.groupBy(*RUN).agg(F.sum("_wait").alias("wait_seconds"))
+    not_waited = F.col("_after_last")
+    if cached is not None:
+        last_hit = cached.groupBy(*RUN).agg(F.max("asin").alias("_hit"))
+        per_iteration = per_iteration.join(last_hit, RUN, "left")
+        hit_came_last = (F.col("iteration") == 1) & (F.col("_hit") > F.col("_tried"))
+        not_waited = F.when(hit_came_last, 0).otherwise(not_waited)
+    return per_iteration.groupBy(*RUN).agg(F.sum(F.col("_all") - not_waited).alias("wait_seconds"))

@@ -1,7 +1,7 @@
 """Crawl results against a plain retelling of the crawl, run by run."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from conftest import physical_plan
@@ -120,6 +120,42 @@ def test_iteration_and_position(spark, hot):
     assert {(r.run_id, r.asin, r.seq): (r.position, r.n_ids, r.is_last) for r in placed.collect()} == positions
 
 
+def test_position_and_wait_with_cache_hits(spark):
+    """Work lists gone through in order, some identifiers taken from the cache on the way."""
+    rng = random.Random(9)
+    attempts, cached, positions, waits, seq = [], [], {}, {}, 0
+    for run in ("r0", "r1", "r2"):
+        todo, hits, delay, waits[run] = [f"B{i:02d}" for i in range(15)], {f"B{i:02d}" for i in rng.sample(range(15), 6)}, 0, 0
+        hits |= {"B14"} if run == "r1" else set()
+        cached += [(run, "info", asin) for asin in hits]
+        for iteration in range(1, 5):
+            again = []
+            for i, asin in enumerate(todo, 1):
+                if asin in hits:
+                    continue
+                seq += 1
+                cls = rng.choice(["ok", "retry", "retry", "invalid"])
+                attempts.append((run, asin, seq, cls))
+                delay += {"retry": 10, "ok": -10 if delay >= 10 else 0}.get(cls, 0)
+                positions[(run, asin, seq)] = (iteration, i, len(todo), i == len(todo))
+                waits[run] += delay if i < len(todo) else 0
+                again += [asin] if cls == "retry" else []
+            todo = again
+    effective = crawl.effective_attempts(make_log(spark, attempts))
+    hits = spark.createDataFrame(cached, "run_id string, page_kind string, asin string")
+    got = crawl.attempt_position(effective, cached=hits)
+    assert {
+        (r.run_id, r.asin, r.seq): (r.iteration, r.position, r.n_ids, r.is_last) for r in got.collect()
+    } == positions
+    wait = crawl.planned_wait(crawl.adaptive_delay(effective), cached=hits)
+    assert {r.run_id: r.wait_seconds for r in wait.collect()} == waits
+    assert got.dtypes == crawl.attempt_position(effective).dtypes
+    sizes = {(run, iteration): n for (run, _, _), (iteration, _, n, _) in positions.items()}
+    summary = crawl.iteration_summary(effective, cached=hits).collect()
+    assert {(r.run_id, r.iteration): r.n_ids for r in summary} == sizes
+    assert {r.run_id: r.n_cached for r in summary if r.iteration == 1} == dict(Counter(run for run, _, _ in cached))
+
+
 def test_request_error_retried(spark):
     attempts = random_attempts(3)
     _, expected, _ = retell(attempts, final=FINAL - {"lost"})

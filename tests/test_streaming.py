@@ -35,6 +35,24 @@ def test_facts_arrive_once(spark, tmp_path):
     )
 
 
+def test_a_batch_run_again_adds_nothing(spark, tmp_path):
+    """As after a failure between writing the tables and marking the batch done."""
+    arriving, root, checkpoint = (str(tmp_path / n) for n in ("in", "db", "cp"))
+
+    def run():
+        stream_facts(page_table_stream(spark, arriving), root, checkpoint).awaitTermination()
+        return sorted((r.id, r.asin) for r in loaded_facts(spark, root, INFO).collect())
+
+    pages(spark, ["B1", "B2"]).write.mode("append").parquet(arriving)
+    run()
+    pages(spark, ["B3"]).write.mode("append").parquet(arriving)
+    before = run()
+    for mark in (tmp_path / "cp" / "commits").glob("*1*"):
+        mark.unlink()
+    assert run() == before == [(1, "B1"), (2, "B2"), (3, "B3")]
+    assert spark.read.parquet(f"{root}/product_info").where("batch_id = 1").count() == 1
+
+
 def test_page_files_and_errors(spark, tmp_path):
     arriving, root = tmp_path / "in", str(tmp_path / "db")
     arriving.mkdir()
