@@ -44,6 +44,20 @@ def ok_pages(log: DataFrame) -> DataFrame:
     return got.select(*KEY, "seq", clean_page(F.coalesce("body", F.lit(""))).alias("html"))
 
 
+def settled_pages(log: DataFrame, **options) -> DataFrame:
+    """The pages a crawl obtained: ``ok_pages`` without attempts made after an identifier was settled.
+
+    A crawler makes no such attempts, so there are normally none. They are worked out on
+    narrow rows and written first; Spark then knows their size and can broadcast them, and
+    the pages themselves are not shuffled.
+    """
+    attempt = [*KEY, "seq"]
+    settling = effective_attempts(log, **options).where(F.col("class") == "ok").select(*attempt)
+    obtained = classify(log).where(F.col("class") == "ok").select(*attempt)
+    stray = stage(obtained.join(settling, attempt, "left_anti"), "stray-attempts")
+    return ok_pages(log).join(stray, attempt, "left_anti")
+
+
 def attempt_iteration(log: DataFrame) -> DataFrame:
     """Number the attempts of each identifier: its n-th attempt was made in iteration n."""
     return rank_in_group(log.select(*KEY, "seq"), _BY_ID, "seq", "iteration")

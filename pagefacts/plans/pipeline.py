@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from pagefacts import schema
 from pagefacts.functions.rules import PAGE_KINDS, PageKind
-from pagefacts.operators.crawl import KEY, classify, effective_attempts, fetch_outcome, keep_effective
+from pagefacts.operators.crawl import (
+    KEY, classify, effective_attempts, fetch_outcome, keep_effective, settled_pages,
+)
 from pagefacts.operators.extract import extract_all, extract_errors, extract_facts, facts_of
 from pagefacts.operators.report import report_lines
 from pagefacts.plans.staging import stage
+from pagefacts.sources.pages import write_new_pages
 from pagefacts.sources.tables import create_tables, empty_table, load_facts, load_ids, read_table, table_path
 
 
@@ -32,6 +35,11 @@ def facts_from_log(log: DataFrame, kind: PageKind, **options) -> DataFrame:
     return settled.select(*KEY, "iteration", *kind.fields, "extract_errors")
 
 
+def cache_from_log(run_log: DataFrame, path: str, cached: DataFrame | None = None, **options) -> None:
+    """Add the pages one run obtained to the page cache."""
+    write_new_pages(settled_pages(run_log, **options), path, cached)
+
+
 def crawl_outcome(log: DataFrame, **options) -> DataFrame:
     """Outcome per identifier, straight from the log."""
     on_request_error = options.get("on_request_error", "lost")

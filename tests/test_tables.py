@@ -7,9 +7,10 @@ from pagefacts import schema
 from pagefacts.functions.rules import INFO, REVIEWS
 from pagefacts.operators.extract import extract_facts
 from pagefacts.operators.integrity import fk_violations, pk_violations, product_360
-from pagefacts.plans.pipeline import build_tables, facts_from_log, write_reports
+from pagefacts.plans.pipeline import build_tables, cache_from_log, facts_from_log, write_reports
 from pagefacts.schema import FETCH_LOG, PAGE_SNAPSHOT
 from pagefacts.sources import tables
+from pagefacts.sources.pages import read_page_table
 
 WHEN = datetime.datetime(2024, 1, 2, 3, 4, 5)
 
@@ -134,6 +135,25 @@ def test_facts_come_from_the_settling_attempt(spark):
     assert [r.total_reviews for r in facts_from_log(log, REVIEWS).collect()] == [3]
 
 
+def test_cache_from_log(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = [
+        ("r", "info", "B1", 1, 200, "first\r\n"), ("r", "info", "B1", 2, 200, "after the end"),
+        ("r", "info", "B2", 3, 404, "not found"), ("r", "info", "B2", 4, 200, "after the end"),
+        ("r", "info", "B3", 5, 502, None), ("r", "info", "B3", 6, 200, "third"),
+        ("r", "reviews", "B3", 7, 200, "reviews"),
+    ]
+    log = spark.createDataFrame(rows, FETCH_LOG)
+    cache_from_log(log, path)
+    held = read_page_table(spark, path)
+    pages = [("B1", "info", "first\n"), ("B3", "info", "third"), ("B3", "reviews", "reviews")]
+    assert sorted(tuple(r) for r in held.collect()) == pages
+    more = spark.createDataFrame([("s", "info", "B3", 1, 200, "newer"), ("s", "info", "B4", 2, 200, "fourth")], FETCH_LOG)
+    cache_from_log(more, path, held)
+    pages.insert(2, ("B4", "info", "fourth"))
+    assert sorted(tuple(r) for r in read_page_table(spark, path).collect()) == sorted(pages)
+
+
 def test_jdbc_options():
     options = tables.jdbc_options(
         dialect="postgresql", host="db.example.com", port=5432, database="shop", user=" me ", password=" pw\n", driver="org.postgresql.Driver"
