@@ -52,10 +52,10 @@ def settled_pages(log: DataFrame, **options) -> DataFrame:
     the pages themselves are not shuffled.
     """
     attempt = [*KEY, "seq"]
-    settling = effective_attempts(log, **options).where(F.col("class") == "ok").select(*attempt)
-    obtained = classify(log).where(F.col("class") == "ok").select(*attempt)
-    stray = stage(obtained.join(settling, attempt, "left_anti"), "stray-attempts")
-    return ok_pages(log).join(stray, attempt, "left_anti")
+    attempts = stage(classify(log).select(*attempt, "class"), "attempts")
+    settling = keep_effective(attempts, **options)
+    stray = attempts.where(F.col("class") == "ok").join(settling, attempt, "left_anti")
+    return ok_pages(log).join(stage(stray.select(*attempt), "stray-attempts"), attempt, "left_anti")
 
 
 def attempt_iteration(log: DataFrame) -> DataFrame:
