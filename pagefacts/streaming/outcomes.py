@@ -19,7 +19,9 @@ _OUTPUT = "key string, outcome string, attempts int"
 _STATE = "attempts int, settled boolean"
 
 
-def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATIONS) -> DataFrame:
+def stream_outcomes(
+    log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATIONS, on_request_error: str = "lost"
+) -> DataFrame:
     """One row per identifier, as soon as it is settled or out of iterations.
 
     Between micro-batches attempts must come in ``seq`` order; inside one they may not.
@@ -33,7 +35,7 @@ def stream_outcomes(log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATION
     attempts = classify(log).select(
         F.to_json(F.struct(*KEY)).alias("key"), F.format_string("%019d %s", "seq", "class").alias("attempt")
     )
-    final = ("ok", "invalid", "lost")
+    final = ("ok", "invalid", "lost") if on_request_error == "lost" else ("ok", "invalid")
 
     # Both nested, so that they are shipped by value.
     def first_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from test_crawl import make_log, random_attempts, retell
+from test_crawl import FINAL, make_log, random_attempts, retell
 
 from pagefacts.functions.rules import INFO, REVIEWS
 from pagefacts.operators.extract import extract_facts
@@ -64,17 +64,18 @@ def test_page_files_and_errors(spark, tmp_path):
     assert [(r.asin, r.page_kind, r.field, r.raw) for r in errors] == [("B1", "reviews", "positive_reviews", "of 3")]
 
 
-@pytest.mark.parametrize("hot,limit", [(False, 20), (True, 5)])
-def test_outcomes_over_batches(spark, tmp_path, hot, limit):
+@pytest.mark.parametrize("hot,limit,on_request_error", [(False, 20, "lost"), (True, 5, "lost"), (True, 6, "retry")])
+def test_outcomes_over_batches(spark, tmp_path, hot, limit, on_request_error):
     attempts = random_attempts(17, hot=hot)
-    _, expected, _ = retell(attempts, limit)
+    final = FINAL if on_request_error == "lost" else FINAL - {"lost"}
+    _, expected, _ = retell(attempts, limit, final)
     arriving = str(tmp_path / "in")
     log = make_log(spark, attempts)
     for low, high in ((0, 100), (100, 250), (250, 400)):
         part = log.where((F.col("seq") >= low) & (F.col("seq") < high))
         part.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(arriving)
     source = spark.readStream.schema(FETCH_LOG).option("maxFilesPerTrigger", 1).parquet(arriving)
-    rows = stream_outcomes(source, max_iterations=limit)
+    rows = stream_outcomes(source, max_iterations=limit, on_request_error=on_request_error)
     out = str(tmp_path / "out")
     query = (
         rows.writeStream.format("parquet")
