@@ -20,7 +20,7 @@ from pagefacts.functions.rules import (  # noqa: E402
 )
 from pagefacts.functions.text import html_unescape, to_float, to_int  # noqa: E402
 from pagefacts.operators import cache, crawl, extract, integrity, ordered, report  # noqa: E402
-from pagefacts.plans import pipeline, staging  # noqa: E402
+from pagefacts.plans import build, staging  # noqa: E402
 from pagefacts.sources import identifiers, pages, tables  # noqa: E402
 from pagefacts.streaming import outcomes as stream_outcomes  # noqa: E402
 from pagefacts.streaming import pages as stream_pages  # noqa: E402
@@ -70,7 +70,7 @@ def schema_tables(spark, sf_dir):
     root = staging.new_folder(spark, "tables")
     tables.create_tables(spark, root)
     tables.load_ids(id_ingest(spark, sf_dir), root)
-    built = pipeline.build_tables(spark, id_ingest(spark, sf_dir), given.all_pages(spark, sf_dir), root)
+    built = build.build_tables(spark, id_ingest(spark, sf_dir), given.all_pages(spark, sf_dir), root)
     counts = [
         df.agg(F.count("*").alias("n_rows")).select(
             F.lit(name).alias("table_name"), F.lit(len(schema.TABLES[name])).alias("n_columns"), "n_rows"
@@ -222,7 +222,7 @@ def fk_violations(spark, sf_dir):
 
 def _cached(spark, sf_dir):
     """Keys of the pages some run has obtained."""
-    outcome = pipeline.crawl_outcome(given.fetch_log(spark, sf_dir))
+    outcome = build.crawl_outcome(given.fetch_log(spark, sf_dir))
     return outcome.where(F.col("outcome") == "ok").select("asin", "page_kind").distinct()
 
 
@@ -238,13 +238,13 @@ def cache_misses(spark, sf_dir):
 
 def retry_worklist(spark, sf_dir):
     log = given.fetch_log(spark, sf_dir)
-    return crawl.retry_worklist(log, pipeline.crawl_outcome(log))
+    return crawl.retry_worklist(log, build.crawl_outcome(log))
 
 
 def product_360(spark, sf_dir):
     """All part identifiers, product facts from the pages the crawl obtained, review facts from snapshots."""
     log = given.fetch_log_with_pages(spark, sf_dir)
-    info = pipeline.facts_from_log(log, INFO).select("run_id", "asin", *INFO.fields)
+    info = build.facts_from_log(log, INFO).select("run_id", "asin", *INFO.fields)
     reviews = extract.extract_facts(given.review_pages(spark, sf_dir), REVIEWS).withColumn("run_id", F.lit(""))
     return integrity.product_360(given.part_ids(spark, sf_dir), info, reviews, order="run_id")
 

@@ -10,7 +10,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from pagefacts.plans.pipeline import build_tables, write_reports
+from pagefacts.plans.build import build_tables, write_reports
 from pagefacts.sources.identifiers import checked_path, read_identifiers
 from pagefacts.sources.pages import read_page_files, read_page_table
 

@@ -7,7 +7,7 @@ from pagefacts import schema
 from pagefacts.functions.rules import INFO, REVIEWS
 from pagefacts.operators.extract import extract_facts
 from pagefacts.operators.integrity import fk_violations, pk_violations, product_360
-from pagefacts.plans.pipeline import build_tables, cache_from_log, facts_from_log, write_reports
+from pagefacts.plans.build import build_tables, cache_from_log, facts_from_log, write_reports
 from pagefacts.schema import FETCH_LOG, PAGE_SNAPSHOT
 from pagefacts.sources import tables
 from pagefacts.sources.pages import read_page_table
