@@ -6,6 +6,7 @@ from test_crawl import FINAL, make_log, random_attempts, retell
 from pagefacts.functions.rules import INFO, REVIEWS
 from pagefacts.operators.extract import extract_facts
 from pagefacts.schema import FETCH_LOG, PAGE_SNAPSHOT
+from pagefacts.sources.pages import write_new_pages
 from pagefacts.streaming.outcomes import stream_outcomes
 from pagefacts.streaming.pages import loaded_facts, page_file_stream, page_table_stream, stream_facts
 
@@ -35,6 +36,15 @@ def test_facts_arrive_once(spark, tmp_path):
     )
 
 
+def test_the_page_cache_is_a_source(spark, tmp_path):
+    path, root = str(tmp_path / "cache"), str(tmp_path / "db")
+    write_new_pages(pages(spark, ["B1", "B2"]), path)
+    stream_facts(page_table_stream(spark, path), root, str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.id, r.product_name) for r in loaded_facts(spark, root, INFO).collect()) == [(1, "B1"), (2, "B2")]
+    got = sorted((r.asin, r.positive_reviews) for r in loaded_facts(spark, root, REVIEWS).collect())
+    assert got == [("B1", 0), ("B2", 1)]
+
+
 def test_a_batch_run_again_adds_nothing(spark, tmp_path):
     """As after a failure between writing the tables and marking the batch done."""
     arriving, root, checkpoint = (str(tmp_path / n) for n in ("in", "db", "cp"))
