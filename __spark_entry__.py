@@ -25,6 +25,14 @@ from pagefacts.sources import identifiers, pages, tables  # noqa: E402
 from pagefacts.streaming import outcomes as stream_outcomes  # noqa: E402
 from pagefacts.streaming import pages as stream_pages  # noqa: E402
 
+try:
+    from pagefacts.llm import queries as llm_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    # The subpackage is optional; an import that fails inside it is an error.
+    if missing.name != "pagefacts.llm":
+        raise
+    llm_queries = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
@@ -399,8 +407,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for kind in (INFO, REVIEWS):
         for field in kind.fields:
             named[f"extract_{field}"] = _field(kind, field)
-    return named
+    return named | (llm_queries.queries() if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
