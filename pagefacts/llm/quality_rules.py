@@ -44,7 +44,6 @@ RULES = (
     Rule("word_chars", "n_words", 200, 2000),  # mean word length
     Rule("n_symbols", "n_words", None, 25),
     Rule("n_stop_words", "n_words", 2, None),
-    Rule("n_letter_words", "n_words", 60, None),
     Rule("n_dup_lines", "n_lines", None, 50),
     Rule("n_ellipsis_lines", "n_lines", None, 50),
     Rule("n_bullet_lines", "n_lines", None, 90),
@@ -84,10 +83,15 @@ def repeated_words(text_words: Column) -> Column:
         some = F.size(F.array_distinct(hashes)) < F.size(hashes)
         return F.when(some, let(repeated, covered)).otherwise(0)
 
+    def doubled(hashes: Column, by: int) -> Column:
+        """Hashes of windows ``by`` long to hashes of windows twice as long."""
+        shifted = F.slice(hashes, F.lit(by + 1), F.size(hashes))
+        return F.zip_with(hashes, shifted, lambda x, y: F.xxhash64(x, y))
+
     def windows(all_words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(all_words) - (WINDOW - 1))
-        hashes = F.transform(starts, lambda at: F.xxhash64(F.slice(all_words, at, F.lit(WINDOW))))
-        return F.when(F.size(all_words) >= WINDOW, let(hashes, count)).otherwise(0)
+        eights = let(doubled(all_words, 1), lambda twos: let(doubled(twos, 2), lambda fours: doubled(fours, 4)))
+        whole = F.slice(eights, F.lit(1), F.size(all_words) - (WINDOW - 1))
+        return F.when(F.size(all_words) >= WINDOW, let(whole, count)).otherwise(0)
 
     return let(text_words, windows).cast("bigint")
 
@@ -97,12 +101,10 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_words(w: Column) -> list[Column]:
-        letters = F.filter(w, lambda x: x.rlike(r"\p{L}"))
         stops = F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))
         return [
             F.size(w).cast("bigint").alias("n_words"),
             F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-            F.size(letters).cast("bigint").alias("n_letter_words"),
             F.size(stops).cast("bigint").alias("n_stop_words"),
             repeated_words(w).alias("n_repeat_words"),
         ]
@@ -117,7 +119,7 @@ def measures(docs: DataFrame) -> DataFrame:
         ]
 
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    symbols = F.regexp_count(text, F.lit("[#*$%&|<>]"))
     return docs.select(
         "doc_id",
         let(words(F.col("text")), lambda w: F.struct(*of_words(w))).alias("w"),
@@ -148,7 +150,10 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         "n_repeat_words",
         base.alias("base_failed"),
         (~base & ~broken).alias("kept"),
-        *[c for c in ("n_stop_words", "n_letter_words", "n_lines", "n_ellipsis_lines", "n_bullet_lines")],
+        "n_stop_words",
+        "n_lines",
+        "n_ellipsis_lines",
+        "n_bullet_lines",
     )
 
 
@@ -184,12 +189,11 @@ def rules_sql() -> str:
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(n, 0)::BIGINT AS n_repeat_words,
         len(list_filter(w, lambda x: lower(x) IN ({stops})))::BIGINT AS n_stop_words,
-        len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}')))::BIGINT AS n_letter_words,
         len(l)::BIGINT AS n_lines,
         len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)$')))::BIGINT AS n_ellipsis_lines,
         len(list_filter(l, lambda x: regexp_matches(x, '^ *[-*•]')))::BIGINT AS n_bullet_lines
       FROM d LEFT JOIN covered USING (r))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
       ({base}) AS base_failed, NOT ({base}) AND NOT ({broken}) AS kept,
-      n_stop_words, n_letter_words, n_lines, n_ellipsis_lines, n_bullet_lines
+      n_stop_words, n_lines, n_ellipsis_lines, n_bullet_lines
     FROM m"""
