@@ -66,9 +66,9 @@ def _schedule(shares: Column) -> Column:
                 # Whole numbers: floor(j / w) and ceil((j + 1) / w) with w = share / period.
                 release = F.floor(block * period / share)
                 deadline = F.ceil((block + 1) * period / share)
-                return F.when((block < share) & (release <= slot), F.struct(deadline, source))
+                return F.when((block < share) & (release <= slot), F.struct(deadline.alias("due"), source.alias("source")))
 
-            taken = F.array_min(F.transform(shares, waiting))["col2"]
+            taken = F.array_min(F.transform(shares, waiting))["source"]
 
             def moved(source: Column) -> Column:
                 following = F.transform(state["next"], lambda block, i: block + F.when(i == source, 1).otherwise(0))
@@ -117,37 +117,33 @@ def schedule(
         template(target_shares(sources.select("source", "n_rows"), weights=weights, alpha=alpha, shares=shares)),
         "mix-template",
     )
-    # The first block each source lacks; the earliest of their slots ends the mix.
-    lacking = (
-        sources.withColumn("block", F.ceil(F.col("n_rows") / block_rows))
-        .join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-        .where(F.pmod(F.col("block"), F.col("share")) == F.col("nth"))
-        .agg(F.min(_slot()).alias("end"))
-    )
-    # One row per source and per share: bounded by the number of sources and of shares.
-    bounded = F.broadcast(sources.select(F.col("source").alias("s0"), "first"))
-    ranked = numbered.join(bounded, F.col("source").eqNullSafe(F.col("s0"))).select(
-        "doc_id", "source", "key", (F.col("n") - F.col("first")).alias("rank")
+    # One row per source, and one per share: bounded by the number of sources and of shares.
+    cycle = plan.where("nth = 0").select(F.col("source").alias("s"), "share", "period")
+    known = stage(
+        sources.join(F.broadcast(cycle), F.col("source").eqNullSafe(F.col("s"))).select(
+            "s", "first", "n_rows", "share", "period"
+        ),
+        "mix-cycles",
     )
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows))
-    cycle = plan.select(F.col("source").alias("s"), "share").distinct()
-    placed = (
-        ranked.join(F.broadcast(cycle), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        .withColumn("nth_in", F.pmod(F.col("block"), F.col("share")).cast("int"))
-        .join(
-            F.broadcast(plan.select(F.col("source").alias("s"), "period", "nth", F.col("slot"))),
-            F.col("source").eqNullSafe(F.col("s")) & (F.col("nth_in") == F.col("nth")),
+    places = F.broadcast(plan.select(F.col("source").alias("source_of"), F.col("nth").alias("nth_of"), "slot"))
+    at = F.col("s").eqNullSafe(F.col("source_of")) & (F.pmod(F.col("block"), F.col("share")) == F.col("nth_of"))
+    # The first block each source lacks; the earliest of their slots ends the mix.
+    lacking = known.withColumn("block", F.ceil(F.col("n_rows") / block_rows)).join(places, at)
+    end = lacking.agg(F.min(_slot())).first()[0]
+    return (
+        numbered.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("rank", F.col("n") - F.col("first"))
+        .withColumn("block", F.floor(F.col("rank") / block_rows))
+        .join(places, at)
+        .select(
+            "doc_id",
+            "source",
+            "key",
+            _slot().alias("slot"),
+            F.pmod(F.col("rank"), F.lit(block_rows)).cast("int").alias("place"),
+            (_slot() < F.lit(end)).alias("in_mix"),
         )
     )
-    return placed.crossJoin(F.broadcast(lacking)).select(
-        "doc_id",
-        "source",
-        "key",
-        _slot().alias("slot"),
-        F.pmod(F.col("rank"), F.lit(block_rows)).cast("int").alias("place"),
-        (_slot() < F.col("end")).alias("in_mix"),
-    )
 
 
 def _slot() -> Column:

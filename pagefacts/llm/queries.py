@@ -5,30 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from pagefacts.llm import line_dedup, quality_rules
+import public_tokenizers
+
+from pagefacts.llm import bpe, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding
 from pagefacts.llm.texts import table
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def op2_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path(VOCABULARY)
+    return bpe.digests(bpe.encode_documents(docs, path, public_tokenizers.PATTERN))
+
+
 def op4_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_removed", "row.text")
 
 
+def op6_mix_sources(spark, sf_dir):
+    placed = mixing.schedule(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "source", "slot", "place", "in_mix")
+
+
+def op7_shards(spark, sf_dir):
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op8_ngram_join(spark, sf_dir):
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies", "copy_id")
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scan": op2_secret_scan,
+        "op3_bpe": op3_bpe,
         "op4_line_dedup": op4_line_dedup,
+        "op6_mix_sources": op6_mix_sources,
+        "op7_shards": op7_shards,
+        "op8_ngram_join": op8_ngram_join,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scan": secrets.report_sql(),
         "op4_line_dedup": line_dedup.dedup_sql(),
+        "op6_mix_sources": mixing.mix_sql(),
+        "op8_ngram_join": ngram_join.join_sql(),
         "op9_quality_rules": quality_rules.rules_sql(),
     }

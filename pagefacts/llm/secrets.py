@@ -241,10 +241,11 @@ def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, a digest of their spans, and all spans as text."""
     found = scan(docs)
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [
-        F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("bigint").alias(f"n_{rule.kind}")
-        for n, rule in enumerate(BASE)
-    ]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("bigint")
+
+    counts = [count(n).alias(f"n_{rule.kind}") for n, rule in enumerate(BASE)]
     return found.select(
         "doc_id",
         *counts,

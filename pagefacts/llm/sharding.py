@@ -3,8 +3,9 @@
 1. Keys are hashes of the text, so equal texts lie side by side. Rows are drawn into a sample
    with a probability in proportion to their size (decided by a hash of the row, so a rerun
    draws the same), and quantiles of the sampled keys cut the keys into ranges.
-2. The bytes of every range are added up. Ranges of more than their fair share, a hot text
-   for instance, are subdivided by a second hash, each into as many parts as it needs.
+2. The bytes of every range are added up. Ranges of more than their fair share are subdivided
+   by a second hash of the text, and those that a hot text overfills by a hash of the row,
+   each into as many parts as it needs.
 3. Rows are sorted within the parts; the running bytes, with the bytes of all parts before,
    give a row's place in the whole order, and that its shard: the n-th shard is the n-th
    equal portion of the bytes. Equal texts whose group is at most ``whole_part`` of a shard go where
@@ -32,7 +33,7 @@ SHARDS = 16
 SAMPLE = 20_000
 RANGES = 256
 # A group of equal texts of up to this part of a shard stays in one shard.
-WHOLE_PART = 0.01
+WHOLE_PART = 0.05
 _UNIT = 2.0**-63
 
 
@@ -64,8 +65,20 @@ def splitters(rows: DataFrame, total: int, *, ranges: int, sample: int) -> list[
     return sorted(cuts)
 
 
+def _subdivided(rows: DataFrame, group: list[str], hashed: Column, name: str, fair: int, most: int) -> DataFrame:
+    """Add ``name``: groups of more than ``most`` bytes get as many parts by ``hashed`` as they have fair shares."""
+    sums = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
+    # At most total / most groups: their number is set by the number of ranges.
+    parts = sums.select(*group, F.ceil(F.col("bytes") / fair).alias("parts"))
+    return (
+        rows.join(F.broadcast(parts), group, "left")
+        .withColumn(name, F.floor(hashed * F.coalesce("parts", F.lit(1))).cast("int"))
+        .drop("parts")
+    )
+
+
 def _with_parts(rows: DataFrame, cuts: list[float], total: int) -> DataFrame:
-    """Add range and part; a range with more than its fair share has several parts."""
+    """Add range, part and piece. Overfull ranges are cut by text, and if a text is too large by itself, by row."""
     bounds = [float("-inf"), *cuts, float("inf")]
     if len(bounds) > 2:
         ranged = Bucketizer(splits=bounds, inputCol="key", outputCol="range").transform(rows)
@@ -73,15 +86,8 @@ def _with_parts(rows: DataFrame, cuts: list[float], total: int) -> DataFrame:
         ranged = rows.withColumn("range", F.lit(0.0))
     ranged = ranged.withColumn("range", F.col("range").cast("int"))
     fair = max(1, math.ceil(total / (len(cuts) + 1)))
-    sums = {r: size for r, size in ranged.groupBy("range").agg(F.sum("size")).collect()}
-    parts = [max(1, math.ceil(sums.get(r, 0) / fair)) for r in range(len(cuts) + 1)]
-    several = {r: n for r, n in enumerate(parts) if n > 1}
-    # At most one entry per range, and no more than twice that many parts in all.
-    count = F.lit(1)
-    if several:
-        table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-        count = F.coalesce(F.element_at(table, F.col("range")), F.lit(1))
-    return ranged.withColumn("part", F.floor(F.col("second") * count).cast("int"))
+    by_text = _subdivided(ranged, ["range"], _unit(F.lit("part"), "text_hash"), "part", fair, fair)
+    return _subdivided(by_text, ["range", "part"], F.col("second"), "piece", fair, 2 * fair)
 
 
 def shard_by_bytes(
@@ -96,7 +102,7 @@ def shard_by_bytes(
     rows = stage(keyed(docs), "shard-keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
     parted = _with_parts(rows, splitters(rows, total, ranges=ranges, sample=sample), total)
-    group = ["range", "part"]
+    group = ["range", "part", "piece"]
     sums = parted.groupBy(*group).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     earlier = Window.partitionBy(F.lit(0)).orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
     # One row per part: their number is set by ``ranges``, not by the data.
