@@ -281,10 +281,11 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents."""
+def digests(encoded: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents, and the columns in ``keep``."""
     return encoded.select(
         "doc_id",
+        *keep,
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

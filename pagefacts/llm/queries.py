@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagefacts.llm import bpe, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding
+from pagefacts.llm import (
+    bpe, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, topk,
+)
 from pagefacts.llm.texts import table
 
-
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,10 @@ def op4_line_dedup(spark, sf_dir):
     return out.select("row.doc_id", "n_lines", "n_removed", "row.text")
 
 
+def op5_quality(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark, sf_dir):
     placed = mixing.schedule(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "source", "slot", "place", "in_mix")
@@ -50,20 +59,28 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": op1_top_k,
         "op2_secret_scan": op2_secret_scan,
         "op3_bpe": op3_bpe,
         "op4_line_dedup": op4_line_dedup,
+        "op5_quality": op5_quality,
         "op6_mix_sources": op6_mix_sources,
         "op7_shards": op7_shards,
         "op8_ngram_join": op8_ngram_join,
         "op9_quality_rules": op9_quality_rules,
+        "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_top_k": topk.top_k_sql(),
         "op2_secret_scan": secrets.report_sql(),
         "op4_line_dedup": line_dedup.dedup_sql(),
         "op6_mix_sources": mixing.mix_sql(),
