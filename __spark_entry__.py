@@ -26,12 +26,13 @@ from pagefacts.streaming import outcomes as stream_outcomes  # noqa: E402
 from pagefacts.streaming import pages as stream_pages  # noqa: E402
 
 try:
+    import corpus_pipeline  # noqa: E402
     from pagefacts.llm import queries as llm_queries  # noqa: E402
 except ModuleNotFoundError as missing:
-    # The subpackage is optional; an import that fails inside it is an error.
-    if missing.name != "pagefacts.llm":
+    # The subpackage and its pipeline are optional; another missing module is an error.
+    if missing.name not in ("corpus_pipeline", "pagefacts.llm"):
         raise
-    llm_queries = None
+    llm_queries = corpus_pipeline = None
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
@@ -407,8 +408,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for kind in (INFO, REVIEWS):
         for field in kind.fields:
             named[f"extract_{field}"] = _field(kind, field)
-    return named | (llm_queries.queries() if llm_queries else {})
+    if llm_queries:
+        named |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
+    expected = oracles.oracle_sql()
+    if llm_queries:
+        expected |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            expected["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return expected

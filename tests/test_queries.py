@@ -16,7 +16,7 @@ def connection():
 
 
 # Queries of the optional subpackage have tests of their own.
-OPTIONAL = set(entry.llm_queries.queries()) if entry.llm_queries else set()
+OPTIONAL = {*entry.llm_queries.queries(), "pipeline"} if entry.llm_queries else set()
 NAMES = [name for name in entry.queries() if name not in OPTIONAL]
 
 
