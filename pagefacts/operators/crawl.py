@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagefacts import fixed_values as fixed
 from pagefacts.functions.text import clean_page
-from pagefacts.operators.ordered import rank_in_group, reflected_walk, with_dense_id
+from pagefacts.operators.ordered import rank_in_group, reflected_walk
 from pagefacts.plans.staging import stage
 
 RUN = ["run_id", "page_kind"]
@@ -193,18 +193,11 @@ def attempt_position(effective: DataFrame, *, cached: DataFrame | None = None) -
     """
     group = [*RUN, "iteration"]
     if cached is None:
-        staged = stage(effective.select(*KEY, "seq", "iteration"), "attempts")
-        ranked = rank_in_group(staged, group, "seq", "position", "n_ids")
+        ranked = rank_in_group(effective.select(*KEY, "seq", "iteration"), group, "seq", "position", "n_ids")
     else:
         hits = cached.select(*KEY, F.lit(None).cast("bigint").alias("seq"), F.lit(1).alias("iteration"))
         listed = effective.select(*KEY, "seq", "iteration").unionByName(hits)
-        numbered = stage(with_dense_id(listed, [*group, "asin"], name="_id"), "work-lists")
-        bounds = numbered.groupBy(*group).agg(F.min("_id").alias("_first"), F.count("*").alias("n_ids"))
-        ranked = (
-            numbered.where(F.col("seq").isNotNull())
-            .join(bounds, group)
-            .select(*KEY, "seq", "iteration", (F.col("_id") - F.col("_first") + 1).alias("position"), "n_ids")
-        )
+        ranked = rank_in_group(listed, group, "asin", "position", "n_ids").where(F.col("seq").isNotNull())
     return ranked.withColumn("is_last", F.col("position") == F.col("n_ids"))
 
 
@@ -220,8 +213,8 @@ def adaptive_delay(
         raise ValueError("initial must not be negative and delta must be positive")
     steps, rest = divmod(initial, delta)
     step = F.when(F.col("class") == "ok", -1).when(F.col("class") == "retry", 1).otherwise(0)
-    staged = stage(effective.select(*KEY, "seq", "iteration", "class"), "attempts")
-    walked = reflected_walk(staged, RUN, "seq", step, steps, "_level")
+    attempts = effective.select(*KEY, "seq", "iteration", "class")
+    walked = reflected_walk(attempts, RUN, "seq", step, steps, "_level")
     return walked.withColumn("delay", F.col("_level") * delta + rest).drop("_level")
 
 

@@ -1,75 +1,50 @@
 """Ranks, running sums and dense ids over an order, without giving one hot group to one task.
 
 A plain window sends each group to a single task, which is fine until one
-identifier or one run holds a large share of the log. Groups above a task's fair
-share are found first (a bounded sketch and a count). Their order is cut into bands:
-the window runs inside each (group, band), the band totals are accumulated per
-group, and joined back. All other groups take the plain window in the same pass.
-Nothing is dropped, and without hot groups the plan is the plain window.
+identifier or one run holds a large share of the log. Here rows are range-partitioned by
+(groups, order), so a group of any size is cut where its rows reach a task's share. The window
+runs inside each (partition, group); its result is written once. Only groups that cross a
+partition border need more: at most two per partition, whose totals are accumulated and joined
+back as a broadcast bounded by the number of partitions. The plan is the same for even
+and for skewed data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefacts.plans.staging import stage
 
-_BAND = "_band"
-# At most this many hot groups in at most this many bands: the broadcast of band
-# totals has no more rows than their product, whatever the size of the data.
-_MAX_HOT_GROUPS = 1000
-_MAX_BANDS = 256
+_PART = "_part"
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _in_parts(df: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
+    """Rows with the number of their range; ranges follow (groups, order)."""
+    return df.repartitionByRange(*groups, order).withColumn(_PART, F.spark_partition_id())
 
 
-def hot_groups(df: DataFrame, groups: Sequence[str]) -> list[int]:
-    """Hashes of the groups with more than a task's fair share of the rows.
+def _part_window(groups: Sequence[str]):
+    return Window.partitionBy(_PART, *groups)
 
-    A frequent-items sketch names at most 1 / share candidates, all such groups among
-    them; a second pass counts the candidates. Both read only the group columns, and
-    neither shuffles more than the candidates.
-    """
-    share = 1 / min(_partitions(df), _MAX_HOT_GROUPS)
-    hashed = df.select(F.xxhash64(*groups).alias("group"))
-    candidates = hashed.stat.freqItems(["group"], share).first()[0]
-    named = F.when(F.col("group").isin(candidates), F.col("group"))
-    counts = dict(map(tuple, hashed.groupBy(named.alias("group")).count().collect()))
-    fair = share * sum(counts.values())
-    return sorted(group for group, rows in counts.items() if group is not None and rows > fair)
-
-
-def _with_bands(df: DataFrame, groups: Sequence[str], order: str, hot: list[int]) -> DataFrame:
-    """Add the band of each row of a hot group, NULL for other groups; bands grow with ``order``.
 
-    The cut points are numbers in the plan, so every use of the bands agrees. Where
-    they fall is a matter of balance only.
-    """
-    is_hot = F.xxhash64(*groups).isin(hot)
-    bands = min(_partitions(df), _MAX_BANDS)
-    wanted = [i / bands for i in range(1, bands)]
-    cuts = df.where(is_hot).approxQuantile(order, wanted, 1 / (4 * bands)) if wanted else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(_BAND, F.when(is_hot, 0))
-    banded = Bucketizer(splits=splits, inputCol=order, outputCol="_every_band").transform(df)
-    return banded.withColumn(_BAND, F.when(is_hot, F.col("_every_band").cast("int"))).drop("_every_band")
+def _so_far(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _earlier(groups: Sequence[str]):
-    """All earlier bands of a group: a window over band totals, never over rows."""
-    return Window.partitionBy(*groups).orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
+    """All earlier parts of a group: a window over totals, never over rows."""
+    return Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _join_totals(rows: DataFrame, totals: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Rows of other groups have no band and so no totals."""
-    return rows.join(F.broadcast(totals), [*groups, _BAND], "left")
+def _of_border_groups(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The rows of each partition's first and last group, the only ones that can go on in another partition."""
+    group = F.struct(*groups)
+    ends = rows.groupBy(_PART).agg(F.array(F.min(group), F.max(group)).alias("ends"))
+    border = ends.select(_PART, F.explode(F.array_distinct("ends")).alias("end")).select(_PART, "end.*")
+    return rows.join(F.broadcast(border), [_PART, *groups])
 
 
 def rank_in_group(
@@ -77,33 +52,23 @@ def rank_in_group(
 ) -> DataFrame:
     """1-based position of each row in its group, and the group size if ``size`` names a column.
 
-    ``order`` is numeric and unique within a group; group columns are never NULL. The
-    input is read more than once: it should be a table (or staged), not a heavy computation.
+    ``order`` is unique within a group; group columns are never NULL. Building the
+    result writes the ranks inside the partitions (see ``stage``).
     """
-
-    def counted(keys):
-        """Rows so far and rows in all; counts, because a rank as an integer may overflow."""
-        group = Window.partitionBy(*keys)
-        so_far = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return F.count("*").over(so_far), F.count("*").over(group)
-
-    hot = hot_groups(df, groups)
-    if not hot:
-        position, rows = counted(groups)
-        return df.select("*", position.alias(rank), *([rows.alias(size)] if size else []))
-
-    banded = _with_bands(df, groups, order, hot)
-    # Counted before the shuffle: a hot group travels as one row per task and band.
-    totals = banded.where(F.col(_BAND).isNotNull()).groupBy(*groups, _BAND).agg(F.count("*").alias("_rows"))
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(_earlier(groups)), F.lit(0)))
-    position, rows = counted([*groups, _BAND])
-    ranked = banded.withColumn("_position", position)
+    part = _part_window(groups)
+    # Counts, because a rank as an integer may overflow.
+    counted = _in_parts(df, groups, order).withColumn("_position", F.count("*").over(_so_far(part.orderBy(order))))
+    if size:
+        counted = counted.withColumn("_part_size", F.count("*").over(part))
+    counted = stage(counted, "ranks")
+    totals = _of_border_groups(counted, groups).groupBy(_PART, *groups).agg(F.max("_position").alias("_rows"))
+    carried = totals.withColumn("_before", F.sum("_rows").over(_earlier(groups)))
     added = [(F.col("_position") + F.coalesce("_before", F.lit(0))).alias(rank)]
     if size:
-        ranked = ranked.withColumn("_band_size", rows)
-        totals = totals.withColumn("_size", F.sum("_rows").over(Window.partitionBy(*groups)))
-        added.append(F.coalesce("_size", "_band_size").alias(size))
-    return _join_totals(ranked, totals.drop("_rows"), groups).select(*df.columns, *added)
+        carried = carried.withColumn("_size", F.sum("_rows").over(Window.partitionBy(*groups)))
+        added.append(F.coalesce("_size", "_part_size").alias(size))
+    joined = counted.join(F.broadcast(carried.drop("_rows")), [_PART, *groups], "left")
+    return joined.select(*df.columns, *added)
 
 
 def reflected_walk(
@@ -112,34 +77,28 @@ def reflected_walk(
     """Running level of a walk that starts at ``start``, moves by ``step`` and never goes below 0.
 
     With S the running sum including the start, the level after a row is
-    S - least(0, lowest S so far). Sum and lowest value both combine across bands.
-    The same holds for ``order``, ``groups`` and the input as for ranks.
+    S - least(0, lowest S so far). Sum and lowest value both combine across parts.
+    The same holds for ``order`` and ``groups`` as for ranks.
     """
-    hot = hot_groups(df, groups)
-    stepped = df.withColumn("_step", step.cast("bigint"))
-    banded = _with_bands(stepped, groups, order, hot) if hot else stepped.withColumn(_BAND, F.lit(None))
-
-    def walked(rows, keys):
-        so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("_sum", F.sum("_step").over(so_far)).withColumn(
-            "_low", F.min("_sum").over(so_far)
-        )
-
-    if not hot:
-        joined = walked(banded, groups).withColumn("_base", F.lit(start)).withColumn("_low_before", F.lit(0))
-    else:
-        keys = [*groups, _BAND]
-        totals = (
-            walked(banded.where(F.col(_BAND).isNotNull()), keys)
-            .groupBy(*keys)
-            .agg(F.sum("_step").alias("_total"), F.min("_sum").alias("_band_low"))
-            .withColumn("_base", F.lit(start) + F.coalesce(F.sum("_total").over(_earlier(groups)), F.lit(0)))
-            .withColumn("_low_before", F.min(F.col("_base") + F.col("_band_low")).over(_earlier(groups)))
-            .select(*keys, "_base", "_low_before")
-        )
-        joined = _join_totals(walked(banded, keys), totals, groups)
+    so_far = _so_far(_part_window(groups).orderBy(order))
+    walked = stage(
+        _in_parts(df.withColumn("_step", step.cast("bigint")), groups, order)
+        .withColumn("_sum", F.sum("_step").over(so_far))
+        .withColumn("_low", F.min("_sum").over(so_far))
+        .drop("_step"),
+        "walks",
+    )
+    carried = (
+        _of_border_groups(walked, groups)
+        .groupBy(_PART, *groups)
+        .agg(F.max_by("_sum", order).alias("_total"), F.min("_low").alias("_part_low"))
+        .withColumn("_base", F.lit(start) + F.coalesce(F.sum("_total").over(_earlier(groups)), F.lit(0)))
+        .withColumn("_low_before", F.min(F.col("_base") + F.col("_part_low")).over(_earlier(groups)))
+        .select(_PART, *groups, "_base", "_low_before")
+    )
+    joined = walked.join(F.broadcast(carried), [_PART, *groups], "left")
     base = F.coalesce("_base", F.lit(start))
-    # least() passes over a missing value: the first band has nothing before it.
+    # least() passes over a missing value: the first part has nothing before it.
     lowest = F.least(F.lit(0), "_low_before", base + F.col("_low"))
     return joined.select(*df.columns, (base + F.col("_sum") - lowest).cast("bigint").alias(level))
 

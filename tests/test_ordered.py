@@ -1,9 +1,12 @@
 import random
+import re
 
 from conftest import physical_plan
 from pyspark.sql import functions as F
 
-from pagefacts.operators.ordered import hot_groups, rank_in_group, with_dense_id
+from pagefacts.operators import ordered
+from pagefacts.operators.ordered import rank_in_group, reflected_walk, with_dense_id
+from pagefacts.plans.staging import stage
 
 
 def skewed(spark, n=20_000):
@@ -14,30 +17,62 @@ def skewed(spark, n=20_000):
     )
 
 
-def test_hot_group_is_found_and_split(spark):
-    df = skewed(spark)
-    hashes = {r.k: r.h for r in df.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
-    assert hot_groups(df, ["k"]) == [hashes["hot"]]
-    ranked = rank_in_group(df, ["k"], "seq", "rank", "size")
-    plan = physical_plan(ranked)
-    assert "_band" in plan and "BroadcastHashJoin" in plan
+def even(spark, n=20_000):
+    return spark.range(0, n, 1, 7).select((F.col("id") % 5000).cast("string").alias("k"), F.col("id").alias("seq"))
+
+
+def positions(rows):
     groups = {}
-    for k, seq in sorted((r.k, r.seq) for r in df.collect()):
+    for k, seq in sorted(rows):
         groups.setdefault(k, []).append(seq)
-    expected = {(k, s): (i + 1, len(v)) for k, v in groups.items() for i, s in enumerate(v)}
-    assert {(r.k, r.seq): (r.rank, r["size"]) for r in ranked.collect()} == expected
-    assert ranked.dtypes == [("k", "string"), ("seq", "bigint"), ("rank", "bigint"), ("size", "bigint")]
-
-
-def test_without_hot_groups_it_is_one_window(spark):
-    df = spark.range(0, 8000, 1, 3).select((F.col("id") % 4000).alias("k"), F.col("id").alias("seq"))
-    assert hot_groups(df, ["k"]) == []
-    ranked = rank_in_group(df, ["k"], "seq", "rank", "size")
-    plan = physical_plan(ranked)
-    assert plan.count("Exchange") == 1 and "Join" not in plan
-    assert {(r.k, r.seq): (r.rank, r["size"]) for r in ranked.collect()} == {
-        (i % 4000, i): (i // 4000 + 1, 2) for i in range(8000)
-    }
+    return {(k, s): (i + 1, len(v)) for k, v in groups.items() for i, s in enumerate(v)}
+
+
+def test_ranks_across_parts(spark):
+    for df in (skewed(spark), even(spark)):
+        ranked = rank_in_group(df, ["k"], "seq", "rank", "size")
+        expected = positions((r.k, r.seq) for r in df.collect())
+        assert {(r.k, r.seq): (r.rank, r["size"]) for r in ranked.collect()} == expected
+        assert ranked.dtypes == [("k", "string"), ("seq", "bigint"), ("rank", "bigint"), ("size", "bigint")]
+
+
+def test_the_plan_is_the_same_for_skewed_and_even_data(spark):
+    plans = [physical_plan(rank_in_group(df, ["k"], "seq", "rank", "size")) for df in (skewed(spark), even(spark))]
+    names = [re.findall(r"^[\s:+*()\d-]*([A-Z]\w+)", plan, re.M) for plan in plans]
+    assert names[0] == names[1] and "BroadcastHashJoin" in names[0]
+
+
+def test_no_task_gets_more_than_a_few_fair_shares(spark, monkeypatch):
+    """Nine tenths of the rows are one group, on many partitions."""
+    parts = 400
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    staged = []
+    monkeypatch.setattr(ordered, "stage", lambda df, label: staged.append(stage(df, label)) or staged[-1])
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        n = 100_000
+        df = spark.range(0, n, 1, 8).select(
+            F.when(F.col("id") % 10 != 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("seq")
+        )
+        ranked = rank_in_group(df, ["k"], "seq", "rank")
+        assert ranked.where("k = 'hot'").agg(F.max("rank"), F.sum("rank")).first()[:] == (90_000, 90_000 * 90_001 // 2)
+        assert staged[0].groupBy("_part", "k").count().agg(F.max("count")).first()[0] <= 4 * n / parts
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_walk_across_parts(spark):
+    draw = random.Random(8)
+    steps = [(k, i, draw.choice([-1, -1, 1, 0])) for k, n in (("a", 5000), ("b", 40), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(steps, "k string, seq bigint, step int").repartition(5)
+    walked = reflected_walk(df, ["k"], "seq", F.col("step"), 2, "level").collect()
+    levels, expected = {}, {}
+    for k, seq, step in steps:
+        levels[k] = expected[k, seq] = max(0, levels.get(k, 2) + step)
+    assert {(r.k, r.seq): r.level for r in walked} == expected
 
 
 def test_empty(spark):
