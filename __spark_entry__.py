@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,20 @@ except ModuleNotFoundError as missing:
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
+def _with_folder(query: Callable) -> Callable:
+    """The session's shared folder; where a local session, as in tests, names none, one of our own."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not spark.conf.get("spark.checkpoint.dir", None) and spark.conf.get("spark.master", "").startswith("local["):
+            spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagefacts-"))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
-    return product_360(spark, FLAGSHIP_DIR)
+    return _with_folder(product_360)(spark, FLAGSHIP_DIR)
 
 
 # Sources
@@ -100,6 +114,19 @@ def load_ids(spark, sf_dir):
     return tables.read_table(spark, root, "asins")
 
 
+def load_ids_rejected(spark, sf_dir):
+    """Part identifiers are loaded; the events' list, with its repeats, is refused for these."""
+    root = staging.new_folder(spark, "tables")
+    tables.create_tables(spark, root)
+    tables.load_ids(given.part_ids(spark, sf_dir), root, given.recorded_at())
+    more = given.id_lines(spark, sf_dir).withColumnRenamed("value", "asin")
+    try:
+        tables.load_ids(more, root)
+    except ValueError:
+        return tables.rejected_ids(more, tables.read_table(spark, root, "asins"))
+    raise AssertionError("a repeated identifier was loaded")
+
+
 def load_product_info(spark, sf_dir):
     return tables.read_table(spark, _loaded(spark, sf_dir, INFO), "product_info")
 
@@ -116,7 +143,7 @@ def cache_new_pages(spark, sf_dir):
     pages.write_new_pages(obtained, folder)
     held = pages.read_page_table(spark, folder)
     pages.write_new_pages(given.all_pages(spark, sf_dir), folder, held)
-    return pages.read_page_table(spark, folder).select("asin", "page_kind")
+    return pages.read_page_table(spark, folder)
 
 
 # Projections
@@ -328,6 +355,16 @@ def report_cells(spark, sf_dir):
     return report.report_cells(_page_titles(spark, sf_dir), keep=["page_id"]).withColumnRenamed("_key_page_id", "key")
 
 
+def report_doubles(spark, sf_dir):
+    """Numbers on both sides of the limits between plain digits and an exponent."""
+    price = F.col("p_retailprice")
+    sizes = {"plain": 1.0, "large": 1e5, "huge": 1e14, "small": 1e-6, "tiny": 1e-9}
+    numbers = given.table(spark, sf_dir, "part").select(
+        "p_partkey", *[(price * factor).alias(name) for name, factor in sizes.items()]
+    )
+    return report.report_cells(numbers, keep=["p_partkey"]).drop("p_partkey").withColumnRenamed("_key_p_partkey", "key")
+
+
 def report_lines(spark, sf_dir):
     return report.report_lines(load_product_info(spark, sf_dir), ["id"])
 
@@ -339,24 +376,22 @@ def stream_facts(spark, sf_dir):
     arriving, root, checkpoint = (staging.new_folder(spark, n) for n in ("arriving", "tables", "checkpoint"))
     given.all_pages(spark, sf_dir).write.parquet(arriving)
     source = stream_pages.page_table_stream(spark, arriving)
-    stream_pages.stream_facts(source, root, checkpoint).awaitTermination()
-    return stream_pages.loaded_facts(spark, root, INFO).select("asin", *INFO.fields)
+    listed = staging.stage(id_ingest(spark, sf_dir), "listed")
+    query = stream_pages.stream_facts(
+        source, listed, root, checkpoint, recorded_at=given.recorded_at(), on_unknown="drop"
+    )
+    query.awaitTermination()
+    info, reviews = (stream_pages.loaded_facts(spark, root, kind).drop("batch_id") for kind in (INFO, REVIEWS))
+    return info.unionByName(reviews, allowMissingColumns=True)
 
 
 def stream_outcome_rows(spark, sf_dir):
-    arriving, settled, checkpoint = (staging.new_folder(spark, n) for n in ("arriving", "outcomes", "checkpoint"))
+    arriving, root, checkpoint = (staging.new_folder(spark, n) for n in ("arriving", "outcomes", "checkpoint"))
     given.fetch_log(spark, sf_dir).write.parquet(arriving)
     log = spark.readStream.schema(schema.FETCH_LOG).parquet(arriving)
-    rows = stream_outcomes.stream_outcomes(log)
-    (
-        rows.writeStream.format("parquet")
-        .option("path", settled)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.schema(rows.schema).parquet(settled)
+    stream_outcomes.stream_outcomes(log, root, checkpoint).awaitTermination()
+    stream_outcomes.close_runs(spark, root)
+    return stream_outcomes.outcomes(spark, root)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -366,6 +401,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "table_scan": table_scan,
         "schema_tables": schema_tables,
         "load_ids": load_ids,
+        "load_ids_rejected": load_ids_rejected,
         "load_product_info": load_product_info,
         "load_product_reviews": load_product_reviews,
         "cache_new_pages": cache_new_pages,
@@ -401,6 +437,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "planned_wait": planned_wait,
         "surrogate_id": surrogate_id,
         "report_cells": report_cells,
+        "report_doubles": report_doubles,
         "report_lines": report_lines,
         "stream_facts": stream_facts,
         "stream_outcomes": stream_outcome_rows,
@@ -410,7 +447,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             named[f"extract_{field}"] = _field(kind, field)
     if llm_queries:
         named |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
-    return named
+    return {name: _with_folder(query) for name, query in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:

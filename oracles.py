@@ -42,6 +42,18 @@ INFO_HTML = f"""info_html AS (
          || ' answered questions' || chr(10) || '</span></body></html>' AS html
   FROM part)"""
 
+REVIEWS_HTML = f"""reviews_html AS (
+  SELECT {PART_ASIN} AS asin, 'reviews' AS page_kind,
+         '<html><body>' || chr(10)
+         || CASE WHEN p_partkey % 5 = 0 THEN ''
+              ELSE '<span>Showing 1-10 of ' || format('{{:,}}', p_partkey * 41) || ' reviews</span>' || chr(10) END
+         || CASE WHEN p_partkey % 6 = 0 THEN ''
+              ELSE '<a>See all ' || format('{{:,}}', p_partkey * 29) || ' positive reviews</a>' || chr(10) END
+         || CASE WHEN p_partkey % 8 = 0 THEN ''
+              ELSE '<a>See all ' || format('{{:,}}', p_partkey * 12) || ' critical reviews</a>' || chr(10) END
+         || '</body></html>' AS html
+  FROM part)"""
+
 LOG = f"""log AS (
   SELECT strftime(ts, '%Y-%m-%d') AS run_id, 'info' AS page_kind, {USER_ASIN} AS asin, event_id AS seq,
          CASE WHEN event_type IN ('view', 'purchase') THEN 'ok'
@@ -136,6 +148,8 @@ _PAGE_CELLS = """cells AS (
   SELECT page_id AS key, CAST(page_id AS VARCHAR) AS page_id, url, coalesce(product_name, 'None') AS product_name
   FROM titles)"""
 
+_DOUBLES = [("plain", "1"), ("large", "1e5"), ("huge", "1e14"), ("small", "1e-6"), ("tiny", "1e-9")]
+
 _INFO_COLUMNS = [
     "id", "recorded_at", "asin", "product_name", "total_ratings", "average_rating", "answered_questions",
 ]
@@ -173,9 +187,13 @@ SELECT 'asins' AS table_name, 2 AS n_columns, count(*) AS n_rows FROM ids
 UNION ALL SELECT 'product_info', 7, count(*) FROM part WHERE {PART_ASIN} IN (SELECT asin FROM ids)
 UNION ALL SELECT 'product_reviews', 6, count(*) FROM part WHERE {PART_ASIN} IN (SELECT asin FROM ids)""",
         "load_ids": f"WITH {IDS} SELECT asin, {RECORDED_AT} AS recorded_at FROM ids",
+        "load_ids_rejected": f"""
+SELECT asin, count(*) AS n_rows
+FROM (SELECT {USER_ASIN} AS asin FROM events UNION ALL SELECT {PART_ASIN} FROM part) GROUP BY 1 HAVING count(*) > 1""",
         "load_product_info": f"WITH {INFO} {_NUMBERED_INFO}",
         "load_product_reviews": f"WITH {REVIEWS} {_NUMBERED_REVIEWS}",
-        "cache_new_pages": f"WITH {CACHED} SELECT asin, page_kind FROM requested",
+        "cache_new_pages": f"""WITH {INFO_HTML}, {REVIEWS_HTML}
+SELECT asin, page_kind, html FROM info_html UNION ALL SELECT asin, page_kind, html FROM reviews_html""",
         # projections
         "target_url": f"""WITH {IDS}
 SELECT asin, 'info' AS page_kind, 'https://www.amazon.com/dp/' || asin AS url FROM ids
@@ -271,11 +289,24 @@ FROM effective WHERE class = 'ok'""",
         "report_cells": f"""WITH {TITLES}, {_PAGE_CELLS}
 SELECT key, {", ".join(f"{_cell(c, 'w_' + c)} AS {c}" for c in ["page_id", "url", "product_name"])}
 FROM cells CROSS JOIN {_widths(["page_id", "url", "product_name"], "cells")}""",
+        "report_doubles": f"""WITH cells AS (
+  SELECT p_partkey AS key, {", ".join(f"CAST(p_retailprice * CAST('{x}' AS DOUBLE) AS VARCHAR) AS {c}" for c, x in _DOUBLES)}
+  FROM part)
+SELECT key, {", ".join(f"{_cell(c, 'w_' + c)} AS {c}" for c, _ in _DOUBLES)}
+FROM cells CROSS JOIN {_widths([c for c, _ in _DOUBLES], "cells")}""",
         "report_lines": f"WITH {INFO}, {_INFO_CELLS} {_report(_INFO_COLUMNS, 'cells', 'id')}",
         # streaming
-        "stream_facts": f"WITH {INFO} SELECT * FROM info",
-        "stream_outcomes": f"""WITH {OUTCOME}
-SELECT * FROM outcome WHERE outcome <> 'unscraped' OR attempts >= 20""",
+        "stream_facts": f"""WITH {IDS}, {INFO}, {REVIEWS}
+SELECT row_number() OVER (ORDER BY asin) AS id, {RECORDED_AT} AS recorded_at, asin,
+       product_name, total_ratings, average_rating, answered_questions,
+       CAST(NULL AS INTEGER) AS total_reviews, CAST(NULL AS INTEGER) AS positive_reviews,
+       CAST(NULL AS INTEGER) AS critical_reviews
+FROM info WHERE asin IN (SELECT asin FROM ids)
+UNION ALL
+SELECT row_number() OVER (ORDER BY asin), {RECORDED_AT}, asin, NULL, NULL, NULL, NULL,
+       total_reviews, positive_reviews, critical_reviews
+FROM reviews WHERE asin IN (SELECT asin FROM ids)""",
+        "stream_outcomes": f"WITH {OUTCOME} SELECT * FROM outcome",
     }
     for field in ("product_name", "total_ratings", "average_rating", "answered_questions"):
         sql[f"extract_{field}"] = f"WITH {INFO} SELECT asin, {field} FROM info"

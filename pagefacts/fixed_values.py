@@ -30,6 +30,9 @@ REVIEWS_URL = "https://www.amazon.com/product-reviews/{}"
 INFO_FILE = "{}.html"
 REVIEWS_FILE = "reviews-{}.html"
 
+# The identifier list that is read if none is named.
+DEFAULT_IDENTIFIERS = "Asins sample.csv"
+
 # Crawl defaults.
 MAX_ITERATIONS = 20
 INITIAL_DELAY = 0

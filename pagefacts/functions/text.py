@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -89,3 +89,69 @@ def to_float(text: Column) -> Column:
     """``' 4.5 '`` -> 4.5. Commas are not removed. NULL for anything but a plain decimal number."""
     number = strip(text)
     return F.when(F.rlike(number, F.lit(_FLOAT_TEXT)), number.try_cast("double"))
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fewest_digits(number: Column, digits: Column, exponent: Column) -> Column:
+    """Older Java versions give a digit or two too many; fewer are taken if they are the same double."""
+
+    def shortened(n: int) -> Column:
+        up = F.substring(digits, n + 1, 1) >= "5"
+        fewer = (F.left(digits, F.lit(n)).try_cast("bigint") + F.when(up, 1).otherwise(0)).cast("string")
+        read_back = F.concat(fewer, F.lit("E"), (exponent - (n - 1)).cast("string")).try_cast("double")
+        return F.when((F.length(fewer) == n) & (read_back == F.abs(number)), fewer)
+
+    shorter = F.when(F.length(digits) > 16, F.coalesce(shortened(16), shortened(17)))
+    return F.regexp_replace(F.coalesce(shorter, digits), "(?<=.)0+$", "")
+
+
+def _laid_out(digits: Column, exponent: Column) -> Column:
+    decimals = F.substring(digits, exponent + 2, F.length(digits))
+    large = F.concat(
+        F.rpad(F.left(digits, exponent + 1), exponent + 1, F.lit("0")),
+        F.lit("."),
+        F.when(decimals == "", "0").otherwise(decimals),
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    size = F.abs(exponent).cast("string")
+    scientific = F.concat(
+        F.left(digits, F.lit(1)),
+        F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
+        F.when(exponent < 0, "e-").otherwise("e+"),
+        F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
+    )
+    is_large, is_small = (exponent >= 0) & (exponent < 16), (exponent < 0) & (exponent >= -4)
+    return F.when(is_large, large).when(is_small, small).otherwise(scientific)
+
+
+def double_text(number: Column) -> Column:
+    """A double as text: plain digits from 1e-4 up to 1e16, otherwise mantissa and a signed exponent of two digits.
+
+    Spark's own text changes to an exponent earlier; its digits are taken and laid out anew.
+    """
+
+    def with_exponent(text: Column) -> Column:
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        digits = F.regexp_replace(F.substring_index(text, "E", 1), "[-.]", "")
+        parts = F.struct(digits.alias("digits"), F.substring_index(text, "E", -1).try_cast("int").alias("exponent"))
+
+        def from_parts(p: Column) -> Column:
+            fewest = _fewest_digits(number, p["digits"], p["exponent"])
+            return _bind(fewest, lambda d: F.concat(sign, _laid_out(d, p["exponent"])))
+
+        return _bind(parts, from_parts)
+
+    def of_text(text: Column) -> Column:
+        return (
+            F.when(F.isnan(number), "nan")
+            .when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
+            .when(F.contains(text, F.lit("E")), with_exponent(text))
+            .otherwise(text)
+        )
+
+    return _bind(number.cast("string"), of_text)

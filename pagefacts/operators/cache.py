@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts.plans.staging import stage
 
 PAGE_KEY = ["asin", "page_kind"]
+# A list of up to this many keys, some tens of megabytes, goes to the pages; beyond it, rows meet in a shuffle.
+FEW_KEYS = 500_000
 
 
 def cache_hits(requested: DataFrame, cached: DataFrame, *, use_cache: bool = True) -> DataFrame:
@@ -22,15 +26,33 @@ def cache_misses(requested: DataFrame, cached: DataFrame, *, use_cache: bool = T
     return requested.join(cached.select(*PAGE_KEY), PAGE_KEY, "left_anti")
 
 
-def new_pages(pages: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+def with_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows whose key is listed. ``keys`` is a written table, so counting it reads no columns.
+
+    A list of a checked size is broadcast, and no row of ``rows`` is shuffled. A longer one
+    means that much of ``rows`` is wanted; Spark then picks the join.
+    """
+    listed = keys.select(*on)
+    if listed.count() <= FEW_KEYS:
+        listed = F.broadcast(listed)
+    return rows.join(listed, list(on), "left_semi")
+
+
+def new_keys(keys: DataFrame, cached: DataFrame | None) -> DataFrame:
+    """Distinct page keys that the cache does not hold, with the number of their rows; narrow and written."""
+    wanted = keys.groupBy(*PAGE_KEY).agg(F.count("*").alias("n_rows"))
+    return stage(wanted if cached is None else cache_misses(wanted, cached), "new-keys")
+
+
+def new_pages(pages: DataFrame, cached: DataFrame | None = None, *, first_by: Column | None = None) -> DataFrame:
     """Pages not in the cache yet, one per identifier and kind.
 
-    Only keys are shuffled. The keys already cached are worked out first, normally
-    few, so that Spark can broadcast them to the pages by their known size; pages are
-    grouped only if some key really occurs twice.
+    The new keys are worked out on narrow rows. Only the pages of keys that occur more than
+    once are grouped: the first one by ``first_by`` stays (by default the smallest text).
     """
-    if cached is not None:
-        already = stage(cache_hits(pages.select(*PAGE_KEY), cached).distinct(), "cached-keys")
-        pages = cache_misses(pages, already)
-    repeated = pages.groupBy(*PAGE_KEY).count().where("count > 1")
-    return pages if repeated.isEmpty() else pages.dropDuplicates(PAGE_KEY)
+    wanted = new_keys(pages.select(*PAGE_KEY), cached)
+    once = with_keys(pages, wanted.where("n_rows = 1"), PAGE_KEY).select(*PAGE_KEY, "html")
+    order = F.lit(0) if first_by is None else first_by
+    several = with_keys(pages, wanted.where("n_rows > 1"), PAGE_KEY)
+    first = several.groupBy(*PAGE_KEY).agg(F.min(F.struct(order.alias("order"), F.col("html"))).alias("page"))
+    return once.unionByName(first.select(*PAGE_KEY, "page.html"))

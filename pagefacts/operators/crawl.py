@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pagefacts import fixed_values as fixed
 from pagefacts.functions.text import clean_page
 from pagefacts.operators.ordered import rank_in_group, reflected_walk
-from pagefacts.plans.staging import stage
 
 RUN = ["run_id", "page_kind"]
 KEY = [*RUN, "asin"]
@@ -44,20 +43,6 @@ def ok_pages(log: DataFrame) -> DataFrame:
     return got.select(*KEY, "seq", clean_page(F.coalesce("body", F.lit(""))).alias("html"))
 
 
-def settled_pages(log: DataFrame, **options) -> DataFrame:
-    """The pages a crawl obtained: ``ok_pages`` without attempts made after an identifier was settled.
-
-    A crawler makes no such attempts, so there are normally none. They are worked out on
-    narrow rows and written first; Spark then knows their size and can broadcast them, and
-    the pages themselves are not shuffled.
-    """
-    attempt = [*KEY, "seq"]
-    attempts = stage(classify(log).select(*attempt, "class"), "attempts")
-    settling = keep_effective(attempts, **options)
-    stray = attempts.where(F.col("class") == "ok").join(settling, attempt, "left_anti")
-    return ok_pages(log).join(stage(stray.select(*attempt), "stray-attempts"), attempt, "left_anti")
-
-
 def attempt_iteration(log: DataFrame) -> DataFrame:
     """Number the attempts of each identifier: its n-th attempt was made in iteration n."""
     return rank_in_group(log.select(*KEY, "seq"), _BY_ID, "seq", "iteration")

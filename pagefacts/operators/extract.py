@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagefacts.fixed_values import LISTING_NAME_WIDTH
 from pagefacts.functions.rules import ExtractRule, PageKind
 from pagefacts.functions.text import capture
+from pagefacts.operators.report import cell_text
 
 _ERRORS = "array<struct<field:string,raw:string>>"
 
@@ -99,7 +100,7 @@ def extract_errors(facts: DataFrame, kind: PageKind) -> DataFrame:
 
 def fact_listing(facts: DataFrame, kind: PageKind, *, key: str = "asin") -> DataFrame:
     """One text line per fact: `` * name<padding>value``."""
-    texts = facts.select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("None")).alias(f) for f in kind.fields])
+    texts = facts.select(key, *[cell_text(F.col(f), facts.schema[f].dataType).alias(f) for f in kind.fields])
     long = texts.unpivot([key], kind.fields, "field", "value")
     width = F.greatest(F.lit(LISTING_NAME_WIDTH), F.length("field"))
     line = F.concat(F.lit(" * "), F.rpad("field", width, F.lit(" ")), F.col("value"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagefacts.fixed_values import TRUNCATE_AFTER
+from pagefacts.functions.text import double_text
+from pagefacts.plans.staging import stage
 
 _ELLIPSIS = "..."
 _SEPARATOR = " │ "
@@ -25,6 +27,8 @@ def cell_text(column: Column, kind: T.DataType) -> Column:
         text = F.regexp_replace(F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.000000$", "")
     elif isinstance(kind, T.BooleanType):
         text = F.initcap(column.cast("string"))
+    elif isinstance(kind, T.DoubleType):
+        text = double_text(column)
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit("None"))
@@ -67,27 +71,31 @@ def report_widths(table: DataFrame) -> DataFrame:
     return texts.agg(*longest)
 
 
-def report_cells(table: DataFrame, *, keep: Sequence[str] = (), truncate_after: int = TRUNCATE_AFTER) -> DataFrame:
-    """The table with every cell as aligned text; ``keep`` adds untouched columns as ``_key_<name>``.
-
-    The layout is one row whatever the table's size, so joining it is a broadcast of one row.
-    """
+def _laid_out(table: DataFrame, layout: DataFrame, keep: Sequence[str], truncate_after: int) -> DataFrame:
+    """Aligned cells. The layout is one row whatever the table's size: joining it is a broadcast of one row."""
     keys = [F.col(c).alias(f"_key_{c}") for c in keep]
     texts = table.select(*keys, *_texts(table, table.columns))
     aligned = [_aligned(c, F.col(c), truncate_after).alias(c) for c in table.columns]
-    return texts.crossJoin(F.broadcast(_layout(table, truncate_after))).select(
-        *[f"_key_{c}" for c in keep], *aligned
-    )
+    return texts.crossJoin(F.broadcast(layout)).select(*[f"_key_{c}" for c in keep], *aligned)
+
+
+def report_cells(table: DataFrame, *, keep: Sequence[str] = (), truncate_after: int = TRUNCATE_AFTER) -> DataFrame:
+    """The table with every cell as aligned text; ``keep`` adds untouched columns as ``_key_<name>``."""
+    return _laid_out(table, _layout(table, truncate_after), keep, truncate_after)
 
 
 def report_lines(table: DataFrame, order: Sequence[str], *, truncate_after: int = TRUNCATE_AFTER) -> DataFrame:
-    """The report as (section, line): 0 header, 1 rule, 2 the records in key order."""
+    """The report as (section, line): 0 header, 1 rule, 2 the records in key order.
+
+    The one-row layout is worked out once and written, for the header and the body.
+    """
+    layout = stage(_layout(table, truncate_after), "report-layout")
     header = [_aligned(c, F.lit(c), truncate_after) for c in table.columns]
-    heading = _layout(table, truncate_after).select(F.concat_ws(_SEPARATOR, *header).alias("line"))
+    heading = layout.select(F.concat_ws(_SEPARATOR, *header).alias("line"))
     rule = F.regexp_replace(F.regexp_replace("line", "[^│]", "─"), "│", "┼")
     head = heading.select(F.posexplode(F.array(F.col("line"), rule)).alias("section", "line"))
     keys = [f"_key_{c}" for c in order]
-    body = report_cells(table, keep=order, truncate_after=truncate_after).select(
+    body = _laid_out(table, layout, order, truncate_after).select(
         F.lit(2).alias("section"), F.concat_ws(_SEPARATOR, *table.columns).alias("line"), *keys
     )
     both = body.unionByName(head, allowMissingColumns=True)

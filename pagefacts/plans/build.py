@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from pagefacts import schema
 from pagefacts.functions.rules import PAGE_KINDS, PageKind
+from pagefacts.functions.text import clean_page
+from pagefacts.operators.cache import FEW_KEYS, PAGE_KEY, cache_misses, with_keys
 from pagefacts.operators.crawl import (
-    KEY, classify, effective_attempts, fetch_outcome, keep_effective, settled_pages,
+    KEY, classify, effective_attempts, fetch_outcome, keep_effective, usable,
 )
 from pagefacts.operators.extract import extract_all, extract_errors, extract_facts, facts_of
 from pagefacts.operators.report import report_lines
 from pagefacts.plans.staging import stage
-from pagefacts.sources.pages import write_new_pages
+from pagefacts.operators.integrity import pk_violations
+from pagefacts.sources.pages import append_pages
 from pagefacts.sources.tables import create_tables, empty_table, load_facts, load_ids, read_table, table_path
 
 
@@ -36,8 +39,18 @@ def facts_from_log(log: DataFrame, kind: PageKind, **options) -> DataFrame:
 
 
 def cache_from_log(run_log: DataFrame, path: str, cached: DataFrame | None = None, **options) -> None:
-    """Add the pages one run obtained to the page cache."""
-    write_new_pages(settled_pages(run_log, **options), path, cached)
+    """Add the pages one run obtained to the page cache; of several pages of one key the first obtained.
+
+    The log's bodies are read twice: to classify the attempts, and to write the pages of
+    those attempts, settled on narrow rows, that brought a new page.
+    """
+    attempt = [*KEY, "seq"]
+    attempts = stage(classify(run_log).select(*attempt, "class"), "attempts")
+    obtained = keep_effective(attempts, **options).where(F.col("class") == "ok")
+    first = obtained.groupBy(*PAGE_KEY).agg(F.min(F.struct("seq", "run_id")).alias("first")).select(*PAGE_KEY, "first.*")
+    new = stage(first if cached is None else cache_misses(first, cached), "new-pages")
+    pages = with_keys(run_log, new, attempt)
+    append_pages(pages.select(*PAGE_KEY, clean_page(F.coalesce("body", F.lit(""))).alias("html")), path)
 
 
 def crawl_outcome(log: DataFrame, **options) -> DataFrame:
@@ -64,13 +77,16 @@ def build_tables(
     root: str,
     *,
     recorded_at: Column | None = None,
+    validate: bool = False,
 ) -> Loaded:
     """Replace the three tables under ``root`` with the given identifiers and their facts.
 
-    ``ids`` are distinct, as ``read_identifiers`` gives them, and ``pages`` hold one page
-    per identifier and kind, as the cache does; ``check_primary_keys`` checks the tables.
-    Extraction comes first, in one scan and without a shuffle; the identifiers then
-    select among narrow fact rows, so no page is ever shuffled.
+    ``ids`` must be distinct, as ``read_identifiers`` gives them, and ``pages`` hold one page
+    per identifier and kind, as the cache does; repeated ones end the job. ``validate`` leaves out pages that
+    hold one of the service's error texts; those of a cache were checked when obtained.
+
+    No page is shuffled: a list of identifiers of a checked size selects the pages before they are
+    decoded; a longer one selects among the narrow fact rows.
     """
     create_tables(spark, root)
     load_ids(ids, root, recorded_at)
@@ -78,8 +94,14 @@ def build_tables(
     errors_path = table_path(root, "extract_errors")
     empty_table(spark, schema.EXTRACT_ERRORS).write.mode("overwrite").parquet(errors_path)
     # Loading, the error list and the other kind all read the facts; the pages are read once.
-    wanted = extract_all(pages, PAGE_KINDS).join(asins.select("asin"), "asin", "left_semi")
-    staged = stage(wanted, "facts")
+    if asins.count() <= FEW_KEYS:
+        pages = with_keys(pages, asins, ["asin"])
+    if validate:
+        pages = pages.where(usable(F.coalesce("html", F.lit(""))))
+    staged = stage(extract_all(pages, PAGE_KINDS).join(asins.select("asin"), "asin", "left_semi"), "facts")
+    double = pk_violations(staged.select(F.concat_ws(" ", *PAGE_KEY).alias("page")), "page").first()
+    if double is not None:
+        raise ValueError(f"page {double['page']!r} occurs {double['n_rows']} times")
     for kind in PAGE_KINDS:
         facts = facts_of(staged, kind)
         load_facts(facts, root, kind, recorded_at=recorded_at, checked=True)

@@ -10,6 +10,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from pagefacts.fixed_values import DEFAULT_IDENTIFIERS
 from pagefacts.plans.build import build_tables, write_reports
 from pagefacts.sources.identifiers import checked_path, read_identifiers
 from pagefacts.sources.pages import read_page_files, read_page_table
@@ -17,7 +18,12 @@ from pagefacts.sources.pages import read_page_files, read_page_table
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description="Load product facts from captured pages into three tables.")
-    parser.add_argument("-i", "--identifiers", required=True, help="CSV file or folder, identifier in the last field")
+    parser.add_argument(
+        "-i",
+        "--identifiers",
+        default=DEFAULT_IDENTIFIERS,
+        help=f"CSV file or folder, identifier in the last field (default: {DEFAULT_IDENTIFIERS})",
+    )
     parser.add_argument("--pages", required=True, help="page cache")
     parser.add_argument("--pages-as", choices=("files", "table"), default="table", help="one file per page, or parquet")
     parser.add_argument("--tables", required=True, help="folder for the tables; replaced")
@@ -27,6 +33,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def run(spark: SparkSession, options: argparse.Namespace) -> None:
+    checked_path(spark, options.identifiers)
     checked_path(spark, options.pages)
     on_blank = "drop" if options.drop_blank_lines else "fail"
     ids = read_identifiers(spark, options.identifiers, on_blank=on_blank)

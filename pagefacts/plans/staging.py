@@ -7,28 +7,19 @@ survives lost executors, and gives the later steps column pruning and real sizes
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
-@lru_cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="pagefacts-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only in local mode, where it is unset in tests."""
+    """The folder all executors share, as the session names it."""
     folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not folder:
         raise RuntimeError(f"set {_SETTING} to a folder all executors share")
-    return _local_folder(spark.conf.get("spark.app.id", ""))
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -44,8 +44,12 @@ def read_page_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_new_pages(pages: DataFrame, path: str, cached: DataFrame | None = None) -> None:
     """Add the pages the cache does not hold yet. Without ``cached`` the cache is new."""
-    added = new_pages(pages, cached).select("asin", "page_kind", "html")
-    added.write.partitionBy("page_kind").mode("append").parquet(path)
+    append_pages(new_pages(pages, cached), path)
+
+
+def append_pages(pages: DataFrame, path: str) -> None:
+    """Add pages to the cache as they are."""
+    pages.select("asin", "page_kind", "html").write.partitionBy("page_kind").mode("append").parquet(path)
 
 
 def with_cache_file(pages: DataFrame, kinds=PAGE_KINDS) -> DataFrame:

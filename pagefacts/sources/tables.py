@@ -12,6 +12,7 @@ from pagefacts import schema
 from pagefacts.functions.rules import PageKind
 from pagefacts.operators.integrity import fk_violations, pk_violations
 from pagefacts.operators.ordered import with_dense_id
+from pagefacts.plans.staging import stage
 
 
 def table_path(root: str, table: str) -> str:
@@ -19,8 +20,8 @@ def table_path(root: str, table: str) -> str:
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
-    """Create or replace the tables, empty, the parent first."""
-    for name, columns in schema.TABLES.items():
+    """Create or replace the tables, empty. The children first, so that none is left under an empty parent."""
+    for name, columns in reversed(schema.TABLES.items()):
         empty_table(spark, columns).write.mode("overwrite").parquet(table_path(root, name))
 
 
@@ -48,8 +49,20 @@ def _stamp(recorded_at: Column | None) -> Column:
     return F.localtimestamp() if recorded_at is None else recorded_at
 
 
+def rejected_ids(ids: DataFrame, asins: DataFrame) -> DataFrame:
+    """Identifiers that a load would leave in the table more than once, with the number of times."""
+    return pk_violations(asins.select("asin").unionByName(ids.select("asin")), "asin")
+
+
 def load_ids(ids: DataFrame, root: str, recorded_at: Column | None = None) -> None:
-    """Add identifiers with the load time, one value for the whole load."""
+    """Add identifiers with the load time, one value for the whole load.
+
+    An identifier that is repeated or already present ends the load before anything is written.
+    """
+    ids = stage(ids.select("asin"), "ids")
+    double = rejected_ids(ids, read_table(ids.sparkSession, root, "asins")).first()
+    if double is not None:
+        raise ValueError(f"asins: asin {double['asin']!r} would occur {double['n_rows']} times")
     stamped = ids.select("asin", _stamp(recorded_at).alias("recorded_at"))
     conform(stamped, "asins").write.mode("append").parquet(table_path(root, "asins"))
 

@@ -1,78 +1,118 @@
-"""Fetch outcomes as attempts arrive: state per identifier across micro-batches."""
+"""Fetch outcomes as attempts arrive, by the batch operators over each micro-batch.
 
-from __future__ import annotations
+Between micro-batches only narrow rows are kept: the attempts of identifiers that are not
+settled yet, at most ``max_iterations`` each, and the outcomes of the settled ones. A run
+that is over is closed: its open identifiers become unscraped, and its rows leave the state.
+"""
 
-import heapq
-from collections.abc import Iterator
-from itertools import chain
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from pagefacts import fixed_values as fixed
-from pagefacts.operators.crawl import KEY, classify
+from pagefacts.operators.crawl import KEY, classify, fetch_outcome, keep_effective
+from pagefacts.plans.staging import stage
+
+_KEY = [T.StructField(name, T.StringType()) for name in KEY]
+_BATCH = T.StructField("batch_id", T.LongType())
+_OPEN = T.StructType([*_KEY, T.StructField("seq", T.LongType()), T.StructField("class", T.StringType())])
+_OUTCOME = T.StructType(
+    [*_KEY, T.StructField("outcome", T.StringType()), T.StructField("attempts", T.IntegerType())]
+)
+_CLOSED = T.StructType([T.StructField("run_id", T.StringType())])
+
+
+def _empty(spark: SparkSession, columns: T.StructType) -> DataFrame:
+    return spark.createDataFrame([], columns)
+
+
+def _create(spark: SparkSession, root: str) -> None:
+    """The tables without rows, where they are not there yet."""
+    for name, columns in (("settled", _OUTCOME), ("unscraped", _OUTCOME), ("closed", _CLOSED), ("open", _OPEN)):
+        _empty(spark, columns).write.mode("append").parquet(f"{root}/{name}/batch_id=-1")
+
+
+def _read(spark: SparkSession, root: str, name: str, columns: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*columns, _BATCH])).parquet(f"{root}/{name}")
 
-_KEY_SCHEMA = "run_id string, page_kind string, asin string"
-_OUTPUT = "key string, outcome string, attempts int"
-_STATE = "attempts int, settled boolean"
+
+def _of_batch(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Open attempts after a batch, those of closed runs left out."""
+    rows = _read(spark, root, "open", _OPEN).where(F.col("batch_id") == batch_id).drop("batch_id")
+    return rows.join(_read(spark, root, "closed", _CLOSED).select("run_id"), "run_id", "left_anti")
 
 
 def stream_outcomes(
-    log: DataFrame, *, max_iterations: int = fixed.MAX_ITERATIONS, on_request_error: str = "lost"
-) -> DataFrame:
-    """One row per identifier, as soon as it is settled or out of iterations.
+    log: DataFrame,
+    root: str,
+    checkpoint: str,
+    *,
+    max_iterations: int = fixed.MAX_ITERATIONS,
+    on_request_error: str = "lost",
+    **trigger,
+) -> StreamingQuery:
+    """Settle the identifiers of an arriving fetch log into tables under ``root``.
 
     Between micro-batches attempts must come in ``seq`` order; inside one they may not.
-    Bodies are dropped before the shuffle. Each Arrow batch keeps, per identifier, only
-    the attempts that can still count, so a hot identifier is cut down before the
-    shuffle and the group function never holds more than the first few attempts.
-
-    What a group costs grows with its columns, so the key travels as one JSON text and
-    an attempt as its number, padded, and its class.
+    Bodies are dropped in the scan. Every micro-batch writes its own folders, so a batch that
+    is run again replaces its rows. ``root`` and ``checkpoint`` belong together. Stops when caught
+    up, unless another trigger is given.
     """
+    options = {"on_request_error": on_request_error}
     if on_request_error not in ("lost", "retry"):
         raise ValueError(f"on_request_error: {on_request_error!r}")
-    attempts = classify(log).select(
-        F.to_json(F.struct(*KEY)).alias("key"), F.format_string("%019d %s", "seq", "class").alias("attempt")
-    )
-    final = ("ok", "invalid", "lost") if on_request_error == "lost" else ("ok", "invalid")
-
-    # Both nested, so that they are shipped by value.
-    def first_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.sort_values(["key", "attempt"])
-            ends = batch["attempt"].str.endswith(final)
-            groups = ends.groupby(batch["key"], sort=False)
-            ended_before = (groups.cumsum() - ends) > 0
-            yield batch[~ended_before & (groups.cumcount() < max_iterations)]
-
-    def settle(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, settled = state.get if state.exists else (0, False)
-        if settled:
-            return
-        # Only the smallest few stay in memory, however many chunks the group has.
-        kept = []
-        for batch in batches:
-            kept = heapq.nsmallest(max_iterations - seen, chain(kept, batch["attempt"]))
-        outcome = None
-        for attempt in kept:
-            seen += 1
-            cls = attempt.split(" ")[1]
-            if cls in final:
-                outcome = cls
-                break
-        if outcome is None and seen >= max_iterations:
-            outcome = "unscraped"
-        state.update((seen, outcome is not None))
-        if outcome is not None:
-            yield pd.DataFrame({"key": group, "outcome": [outcome], "attempts": [seen]})
-
-    outcomes = (
-        attempts.mapInPandas(first_attempts, attempts.schema)
-        .groupBy("key")
-        .applyInPandasWithState(settle, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    _create(log.sparkSession, root)
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = stage(classify(batch).select(*KEY, "seq", "class"), "arrived-attempts")
+        # One row per run: the outcomes of other runs are passed over.
+        runs = arrived.select("run_id").distinct()
+        earlier = _read(spark, root, "settled", _OUTCOME).where(F.col("batch_id") < batch_id)
+        settled_before = earlier.join(runs, "run_id", "left_semi").select(*KEY)
+        closed = _read(spark, root, "closed", _CLOSED).select("run_id")
+        fresh = arrived.join(settled_before, KEY, "left_anti").join(closed, "run_id", "left_anti")
+        waiting = _of_batch(spark, root, batch_id - 1).unionByName(fresh)
+        effective = stage(keep_effective(waiting, max_iterations=max_iterations, **options), "effective-attempts")
+        outcome = fetch_outcome(effective, **options)
+        over = (F.col("outcome") != "unscraped") | (F.col("attempts") >= max_iterations)
+        settled = outcome.where(over)
+        path = f"{root}/settled/batch_id={batch_id}"
+        settled.write.mode("overwrite").parquet(path)
+        now_settled = spark.read.schema(_OUTCOME).parquet(path).select(*KEY)
+        still_open = effective.select(*_OPEN.names).join(now_settled, KEY, "left_anti")
+        still_open.write.mode("overwrite").parquet(f"{root}/open/batch_id={batch_id}")
+        if batch_id >= 2:  # a batch run again needs the one before it, and no earlier one
+            _empty(spark, _OPEN).write.mode("overwrite").parquet(f"{root}/open/batch_id={batch_id - 2}")
+
+    return (
+        log.writeStream.foreachBatch(settle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    key = F.from_json("key", _KEY_SCHEMA).alias("key")
-    return outcomes.select(key, "outcome", "attempts").select("key.*", "outcome", "attempts")
+
+
+def close_runs(spark: SparkSession, root: str, runs: DataFrame | None = None) -> None:
+    """Close runs (``run_id``; all of them by default) while no stream is writing: what is open in them is unscraped."""
+    latest = _read(spark, root, "open", _OPEN).agg(F.max("batch_id")).first()[0]
+    if latest is None:
+        return
+    waiting = _of_batch(spark, root, latest)
+    if runs is not None:
+        waiting = waiting.join(runs.select("run_id"), "run_id", "left_semi")
+    waiting = stage(waiting, "closing-attempts")
+    attempts = waiting.groupBy(*KEY).agg(F.count("*").cast("int").alias("attempts"))
+    unscraped = attempts.select(*KEY, F.lit("unscraped").alias("outcome"), "attempts")
+    unscraped.write.mode("append").parquet(f"{root}/unscraped/batch_id={latest}")
+    over = waiting.select("run_id").distinct() if runs is None else runs.select("run_id").distinct()
+    over.write.mode("append").parquet(f"{root}/closed/batch_id={latest}")
+
+
+def outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """One row per identifier that is settled, or was open when its run was closed."""
+    both = _read(spark, root, "settled", _OUTCOME).unionByName(_read(spark, root, "unscraped", _OUTCOME))
+    return both.drop("batch_id")

@@ -11,6 +11,7 @@ from pagefacts import schema
 from pagefacts.functions.rules import PAGE_KINDS, PageKind
 from pagefacts.operators.crawl import usable
 from pagefacts.operators.extract import extract_all, extract_errors, facts_of
+from pagefacts.operators.integrity import fk_violations
 from pagefacts.plans.staging import stage
 from pagefacts.sources.pages import scanned_file_name, snapshot
 from pagefacts.sources.tables import numbered_facts, table_path
@@ -29,32 +30,52 @@ def page_file_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_facts(
     pages: DataFrame,
+    asins: DataFrame,
     root: str,
     checkpoint: str,
     *,
     kinds: tuple[PageKind, ...] = PAGE_KINDS,
     recorded_at: Column | None = None,
+    on_unknown: str = "fail",
+    validate: bool = False,
     **trigger,
 ) -> StreamingQuery:
     """Load the facts of arriving pages into the tables under ``root``.
 
-    Stops when caught up, unless another trigger is given (``processingTime="1 minute"``).
-    ``root`` and ``checkpoint`` belong together: start both anew, or neither.
+    Pages of identifiers that ``asins`` does not list end the stream ("fail") or stay out
+    ("drop"). ``validate`` leaves out pages that hold one of the service's error texts, as in
+    ``build_tables``. Stops when caught up, unless another trigger is given
+    (``processingTime="1 minute"``). ``root`` and ``checkpoint`` belong together: start both
+    anew, or neither.
 
     Every micro-batch overwrites its own folder, so a batch that is run again after a
     failure replaces its rows instead of adding them twice. Texts that did not convert
-    go to ``extract_errors`` in the same way.
+    go to ``extract_errors`` in the same way. Ids go on after those of the batch before,
+    which a ledger holds: one row per batch and table, so no batch scans earlier ones.
     """
+    if on_unknown not in ("fail", "drop"):
+        raise ValueError(f"on_unknown: {on_unknown!r}")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if validate:
+            batch = batch.where(usable(F.coalesce("html", F.lit(""))))
         # Everything below reads the facts; the pages are read once.
-        staged = stage(extract_all(batch.where(usable(F.col("html"))), kinds), "facts")
+        staged = stage(extract_all(batch, kinds), "facts")
+        if on_unknown == "drop":
+            staged = staged.join(asins.select("asin"), "asin", "left_semi")
+        else:
+            unknown = fk_violations(staged, asins).first()
+            if unknown is not None:
+                raise ValueError(f"asin {unknown['asin']!r} is not in asins")
         for kind in kinds:
             facts = facts_of(staged, kind)
-            start = _highest_id(spark, root, kind, batch_id) + 1
-            rows = numbered_facts(facts, kind, recorded_at=recorded_at, start=start)
-            rows.write.mode("overwrite").parquet(f"{table_path(root, kind.table)}/batch_id={batch_id}")
+            last = _last_id(spark, root, kind, batch_id)
+            path = f"{table_path(root, kind.table)}/batch_id={batch_id}"
+            numbered_facts(facts, kind, recorded_at=recorded_at, start=last + 1).write.mode("overwrite").parquet(path)
+            loaded = spark.read.schema(schema.TABLES[kind.table]).parquet(path)
+            entry = loaded.agg(F.count("*").alias("n_rows"), F.coalesce(F.max("id"), F.lit(last)).alias("last_id"))
+            entry.coalesce(1).write.mode("overwrite").parquet(f"{_ledger(root, kind)}/batch_id={batch_id}")
             errors = extract_errors(facts, kind).drop("page_kind")
             errors.write.mode("overwrite").parquet(
                 f"{table_path(root, 'extract_errors')}/page_kind={kind.name}/batch_id={batch_id}"
@@ -68,12 +89,16 @@ def stream_facts(
     )
 
 
-def _highest_id(spark: SparkSession, root: str, kind: PageKind, batch_id: int) -> int:
-    """Highest id of the batches before this one; one number, read from parquet statistics."""
+def _ledger(root: str, kind: PageKind) -> str:
+    return f"{root}/_ledger/{kind.table}"
+
+
+def _last_id(spark: SparkSession, root: str, kind: PageKind, batch_id: int) -> int:
+    """The last id of the batch before this one, from its ledger entry."""
     if batch_id == 0:
         return 0
-    earlier = loaded_facts(spark, root, kind).where(F.col("batch_id") < batch_id)
-    return earlier.agg(F.max("id")).first()[0] or 0
+    entry = spark.read.schema("n_rows long, last_id long").parquet(f"{_ledger(root, kind)}/batch_id={batch_id - 1}")
+    return entry.first()["last_id"]
 
 
 def loaded_facts(spark: SparkSession, root: str, kind: PageKind) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 
+from pagefacts.fixed_values import DEFAULT_IDENTIFIERS
 from pagefacts.plans.job import arguments, run
 from pagefacts.sources.tables import read_table
 
@@ -11,6 +12,7 @@ def test_arguments():
         arguments(["-i"])
     with pytest.raises(SystemExit):
         arguments(["ids.csv"])
+    assert arguments(["--pages", "b", "--tables", "c"]).identifiers == DEFAULT_IDENTIFIERS
     assert arguments(["-i", "a", "--pages", "b", "--tables", "c"]).pages_as == "table"
 
 
@@ -28,5 +30,7 @@ def test_job(spark, tmp_path):
     assert [(r.asin, r.total_reviews) for r in read_table(spark, tables, "product_reviews").collect()] == [("B2", 12)]
     lines = [r.value for r in spark.read.text(str(tmp_path / "reports" / "product_info")).collect()]
     assert len(lines) == 3 and "One" in lines[2]
+    with pytest.raises(ValueError, match="Asins sample.csv does not exist"):
+        run(spark, arguments(words[2:]))
     with pytest.raises(ValueError, match="does not exist"):
         run(spark, arguments(["-i", str(tmp_path / "no.csv"), *words[2:]]))

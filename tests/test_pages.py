@@ -61,6 +61,27 @@ def test_cache(spark, tmp_path):
     assert rows(read_page_table(spark, path)) == [("B1", "info", "old"), ("B1", "reviews", "r"), ("B2", "info", "x")]
     added = new_pages(spark.createDataFrame([("B1", "info", "x"), ("B7", "info", "y")], schema), held)
     assert rows(added.select("asin", "page_kind", "html")) == [("B7", "info", "y")]
-    assert "Exchange hashpartitioning" not in physical_plan(added) and "BroadcastHashJoin" in physical_plan(added)
     plan = physical_plan(read_page_table(spark, path).where("page_kind = 'info'"))
     assert "PartitionFilters: [isnotnull(page_kind" in plan
+
+
+def test_only_new_pages_cross_a_shuffle(spark, tmp_path):
+    """A nearly full cache: the few new keys select the pages, whatever Spark's own limit for broadcasts."""
+    path, limit = str(tmp_path / "pages"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    schema = "asin string, page_kind string, html string"
+    spark.createDataFrame([(f"B{i}", "info", f"page {i}") for i in range(50)], schema).write.parquet(path)
+    found = spark.read.parquet(path)
+    held = found.where("asin <> 'B7'").select("asin", "page_kind")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        added = new_pages(found, held)
+        once, several = physical_plan(added).split("SortAggregate", 1)
+        assert "hashpartitioning" not in once and "BroadcastHashJoin" in once
+        # Texts are grouped above the join that selects the repeated keys.
+        assert several.index("hashpartitioning") < several.index("BroadcastHashJoin")
+        assert rows(added) == [("B7", "info", "page 7")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    twice = spark.createDataFrame([("B1", "info", "b", 2), ("B1", "info", "a", 3)], f"{schema}, seq int")
+    assert rows(new_pages(twice)) == [("B1", "info", "a")]
+    assert rows(new_pages(twice, first_by=F.col("seq"))) == [("B1", "info", "b")]

@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from pagefacts.operators.report import column_name, report_lines, report_widths
+from pagefacts.operators.report import cell_text, column_name, report_lines, report_widths
 
 
 def rendered(headers, records, limit=26):
@@ -37,6 +37,20 @@ def test_report(spark):
     assert tuple(report_widths(df).first()) == (2, 26, 60, 6, 27, 5)
 
 
+def test_doubles_as_text(spark):
+    numbers = [
+        0.0, -0.0, 0.001, 1e-4, 0.000123, 9.9e-5, -1e-5, 1.25e-7, 1e7, 12345678.0, -98765432.125, 1e15, 1e16, 1.5e16, 1e22,
+        1.5e-300, 1e100, 4.094433021338333e16, 2.59490133044724448e17, float("nan"), float("inf"), float("-inf"), None,
+    ]
+    df = spark.createDataFrame([(n,) for n in numbers], "n double")
+    got = [r[0] for r in df.select(cell_text(F.col("n"), df.schema["n"].dataType)).collect()]
+    assert got == [
+        "0.0", "-0.0", "0.001", "0.0001", "0.000123", "9.9e-05", "-1e-05", "1.25e-07", "10000000.0", "12345678.0",
+        "-98765432.125", "1000000000000000.0", "1e+16", "1.5e+16", "1e+22", "1.5e-300", "1e+100", "4.094433021338333e+16",
+        "2.5949013304472445e+17", "nan", "inf", "-inf", "None",
+    ]
+
+
 def test_wider_limit(spark):
     records = [("a" * 12, 1), ("b", 2)]
     df = spark.createDataFrame(records, "text string, n int")

@@ -15,8 +15,6 @@ def test_folder_is_the_one_the_session_names():
     cluster = session(spark_master="spark://cluster")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(cluster)
-    local = session(spark_master="local[4]", spark_app_id="a")
-    assert shared_folder(local) == shared_folder(local) != shared_folder(session(spark_master="local", spark_app_id="b"))
 
 
 def test_stage(spark):

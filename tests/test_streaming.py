@@ -1,13 +1,16 @@
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from test_crawl import FINAL, make_log, random_attempts, retell
 
+from pagefacts.fixed_values import ROBOT_CHECK
 from pagefacts.functions.rules import INFO, REVIEWS
 from pagefacts.operators.extract import extract_facts
+from pagefacts.plans.build import build_tables
 from pagefacts.schema import FETCH_LOG, PAGE_SNAPSHOT
 from pagefacts.sources.pages import write_new_pages
-from pagefacts.streaming.outcomes import stream_outcomes
+from pagefacts.streaming.outcomes import close_runs, outcomes, stream_outcomes
 from pagefacts.streaming.pages import loaded_facts, page_file_stream, page_table_stream, stream_facts
 
 
@@ -17,12 +20,16 @@ def pages(spark, names):
     return spark.createDataFrame(rows, PAGE_SNAPSHOT)
 
 
+def listed(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "asin string")
+
+
 def test_facts_arrive_once(spark, tmp_path):
     arriving, root, checkpoint = (str(tmp_path / n) for n in ("in", "db", "cp"))
     first, second = pages(spark, ["B1", "B2"]), pages(spark, ["B3"])
 
     def run():
-        stream_facts(page_table_stream(spark, arriving), root, checkpoint).awaitTermination()
+        stream_facts(page_table_stream(spark, arriving), listed(spark, "B1", "B2", "B3"), root, checkpoint).awaitTermination()
         return sorted((r.id, r.asin, r.product_name) for r in loaded_facts(spark, root, INFO).collect())
 
     first.write.mode("append").parquet(arriving)
@@ -39,7 +46,7 @@ def test_facts_arrive_once(spark, tmp_path):
 def test_the_page_cache_is_a_source(spark, tmp_path):
     path, root = str(tmp_path / "cache"), str(tmp_path / "db")
     write_new_pages(pages(spark, ["B1", "B2"]), path)
-    stream_facts(page_table_stream(spark, path), root, str(tmp_path / "cp")).awaitTermination()
+    stream_facts(page_table_stream(spark, path), listed(spark, "B1", "B2"), root, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.id, r.product_name) for r in loaded_facts(spark, root, INFO).collect()) == [(1, "B1"), (2, "B2")]
     got = sorted((r.asin, r.positive_reviews) for r in loaded_facts(spark, root, REVIEWS).collect())
     assert got == [("B1", 0), ("B2", 1)]
@@ -50,7 +57,7 @@ def test_a_batch_run_again_adds_nothing(spark, tmp_path):
     arriving, root, checkpoint = (str(tmp_path / n) for n in ("in", "db", "cp"))
 
     def run():
-        stream_facts(page_table_stream(spark, arriving), root, checkpoint).awaitTermination()
+        stream_facts(page_table_stream(spark, arriving), listed(spark, "B1", "B2", "B3"), root, checkpoint).awaitTermination()
         return sorted((r.id, r.asin) for r in loaded_facts(spark, root, INFO).collect())
 
     pages(spark, ["B1", "B2"]).write.mode("append").parquet(arriving)
@@ -68,7 +75,7 @@ def test_page_files_and_errors(spark, tmp_path):
     arriving.mkdir()
     (arriving / "B1.html").write_text("<title>one</title>", encoding="utf-8-sig")
     (arriving / "reviews-B1.html").write_text("See all of 3 positive reviews", encoding="utf-8")
-    stream_facts(page_file_stream(spark, str(arriving)), root, str(tmp_path / "cp")).awaitTermination()
+    stream_facts(page_file_stream(spark, str(arriving)), listed(spark, "B1"), root, str(tmp_path / "cp")).awaitTermination()
     assert [r.product_name for r in loaded_facts(spark, root, INFO).collect()] == ["one"]
     errors = spark.read.parquet(f"{root}/extract_errors").collect()
     assert [(r.asin, r.page_kind, r.field, r.raw) for r in errors] == [("B1", "reviews", "positive_reviews", "of 3")]
@@ -85,18 +92,60 @@ def test_outcomes_over_batches(spark, tmp_path, hot, limit, on_request_error):
         part = log.where((F.col("seq") >= low) & (F.col("seq") < high))
         part.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(arriving)
     source = spark.readStream.schema(FETCH_LOG).option("maxFilesPerTrigger", 1).parquet(arriving)
-    rows = stream_outcomes(source, max_iterations=limit, on_request_error=on_request_error)
-    out = str(tmp_path / "out")
-    query = (
-        rows.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True)
-        .start()
+    root = str(tmp_path / "out")
+    query = stream_outcomes(
+        source, root, str(tmp_path / "cp"), max_iterations=limit, on_request_error=on_request_error
     )
     query.awaitTermination()
     assert sum(p.numInputRows > 0 for p in query.recentProgress) == 3
-    got = [((r.run_id, r.asin), (r.outcome, r.attempts)) for r in spark.read.parquet(out).collect()]
-    assert len(got) == len(dict(got))
+
+    def found():
+        got = [((r.run_id, r.asin), (r.outcome, r.attempts)) for r in outcomes(spark, root).collect()]
+        assert len(got) == len(dict(got))
+        return dict(got)
+
     settled = {k: v for k, v in expected.items() if v[0] != "unscraped" or v[1] >= limit}
-    assert dict(got) == settled
+    assert found() == settled
+    runs = sorted({run for run, _ in expected})
+    close_runs(spark, root, spark.createDataFrame([(runs[0],)], "run_id string"))
+    assert found() == settled | {k: v for k, v in expected.items() if k[0] == runs[0]}
+    close_runs(spark, root)
+    close_runs(spark, root)
+    assert found() == expected
+
+
+def test_an_outcome_batch_run_again_adds_nothing(spark, tmp_path):
+    attempts = random_attempts(3)
+    arriving, root, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    log = make_log(spark, attempts)
+
+    def run():
+        source = spark.readStream.schema(FETCH_LOG).parquet(arriving)
+        stream_outcomes(source, root, checkpoint).awaitTermination()
+        return sorted(map(tuple, outcomes(spark, root).collect()))
+
+    for low, high in ((0, 120), (120, 400)):
+        log.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(arriving)
+        before = run()
+    for mark in (tmp_path / "cp" / "commits").glob("*1*"):
+        mark.unlink()
+    assert run() == before
+
+
+def test_stream_checks_the_parent_and_validates_like_the_batch(spark, tmp_path):
+    robots = f"<title>x</title>{ROBOT_CHECK}"
+    rows = [("B1", "info", "<title>one</title>"), ("B2", "info", robots), ("B9", "info", "<title>nine</title>")]
+    source = str(tmp_path / "in")
+    pages = spark.createDataFrame(rows, PAGE_SNAPSHOT)
+    pages.write.parquet(source)
+    ids = listed(spark, "B1", "B2")
+    with pytest.raises(StreamingQueryException, match="B9"):
+        stream_facts(page_table_stream(spark, source), ids, str(tmp_path / "a"), str(tmp_path / "ca")).awaitTermination()
+    for validate, expected in ((False, ["B1", "B2"]), (True, ["B1"])):
+        root = str(tmp_path / f"db{validate}")
+        stream_facts(
+            page_table_stream(spark, source), ids, root, f"{root}-cp", on_unknown="drop", validate=validate
+        ).awaitTermination()
+        assert sorted(r.asin for r in loaded_facts(spark, root, INFO).collect()) == expected
+        built = build_tables(spark, ids, pages, f"{root}-batch", validate=validate)
+        assert sorted(r.asin for r in built.product_info.collect()) == expected

@@ -1,10 +1,12 @@
 import datetime
 
 import pytest
+from conftest import physical_plan
 from pyspark.sql import functions as F
 
 from pagefacts import schema
 from pagefacts.functions.rules import INFO, REVIEWS
+from pagefacts.operators.cache import with_keys
 from pagefacts.operators.extract import extract_facts
 from pagefacts.operators.integrity import fk_violations, pk_violations, product_360
 from pagefacts.plans.build import build_tables, cache_from_log, facts_from_log, write_reports
@@ -78,11 +80,40 @@ def test_primary_keys(spark, tmp_path):
     assert [tuple(r) for r in pk_violations(ids(spark, "B1", "B2", "B1"), "asin").collect()] == [("B1", 2)]
     root = str(tmp_path)
     tables.create_tables(spark, root)
-    tables.load_ids(ids(spark, "B1", "B1"), root)
+    with pytest.raises(ValueError, match="B1"):
+        tables.load_ids(ids(spark, "B1", "B1"), root)
+    tables.load_ids(ids(spark, "B1", "B2"), root)
+    with pytest.raises(ValueError, match="B2"):
+        tables.load_ids(ids(spark, "B3", "B2"), root)
+    assert sorted(r.asin for r in tables.read_table(spark, root, "asins").collect()) == ["B1", "B2"]
+    tables.check_primary_keys(spark, root)
+    ids(spark, "B1").withColumn("recorded_at", stamp()).write.mode("append").parquet(f"{root}/asins")
     with pytest.raises(ValueError, match="B1"):
         tables.check_primary_keys(spark, root)
 
 
+def test_repeated_pages_end_the_job(spark, tmp_path):
+    page = ("B1", "info", "<title>Amazon.com: One</title>")
+    pages = spark.createDataFrame([page, page], "asin string, page_kind string, html string")
+    with pytest.raises(ValueError, match="B1 info"):
+        build_tables(spark, ids(spark, "B1"), pages, str(tmp_path))
+
+
+def test_unlisted_pages_do_not_reach_the_decoder(spark, tmp_path):
+    """Whatever Spark's own limit for broadcasts, no page is shuffled and the join comes before the decoding."""
+    path = str(tmp_path / "cache")
+    rows = [("B1", "info", "<title>Amazon.com: One</title>"), ("B2", "info", "x")]
+    spark.createDataFrame(rows, "asin string, page_kind string, html string").write.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = with_keys(spark.read.parquet(path), ids(spark, "B1"), ["asin"])
+        plan = physical_plan(extract_facts(wanted, INFO))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.index("ArrowEvalPython") < plan.index("BroadcastHashJoin") and "hashpartitioning" not in plan
+
+
 def test_product_360_takes_the_last_load(spark):
     info = spark.createDataFrame([(1, "B1", "old", 1), (2, "B1", "new", 2), (3, "B2", "x", 3)], "id int, asin string, product_name string, total_ratings int")
     reviews = spark.createDataFrame([(1, "B1", 5), (2, "B1", 6), (3, "B3", 7)], "id int, asin string, total_reviews int")
