@@ -79,21 +79,27 @@ def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_log(spark: SparkSession, sf_dir: str, page: Column | None = None) -> DataFrame:
-    """One attempt per event, one run per day. ``page`` replaces the body of obtained pages."""
-    event = F.col("event_type")
+    """One attempt per event. ``page`` replaces the body of obtained pages.
+
+    Two thirds of the attempts are one run, the others one run per day. A quarter of the
+    identifiers stand for reviews pages, and a tenth never get a reply, however often they are tried.
+    """
+    event, user = F.col("event_type"), F.col("user_id")
+    silent = user % 10 == 9
     if page is None:
         page = F.concat(F.lit("<html>event "), F.col("event_id").cast("string"), F.lit("</html>"))
-    obtained = event.isin("view", "purchase")
+    obtained = event.isin("view", "purchase") & ~silent
     even = F.regexp_extract("props", "[0-9]+", 0).cast("int") % 2 == 0
     status = (
-        F.when(obtained | (event == "click"), 200)
+        F.when(silent, 503)
+        .when(obtained | (event == "click"), 200)
         .when(event == "signup", 404)
         .when((event == "error") & ~even, 502)
     )
-    body = F.when(obtained, page).when(event == "click", F.lit(f"<p>{ROBOT_CHECK}</p>"))
+    body = F.when(obtained, page).when((event == "click") & ~silent, F.lit(f"<p>{ROBOT_CHECK}</p>"))
     return table(spark, sf_dir, "events").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("run_id"),
-        F.lit("info").alias("page_kind"),
+        F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("backfill").alias("run_id"),
+        F.when(user % 4 == 3, "reviews").otherwise("info").alias("page_kind"),
         identifier(F.col("user_id")).alias("asin"),
         F.col("event_id").alias("seq"),
         status.alias("status"),

@@ -6,6 +6,8 @@ extraction; the delay is a recursive walk, not the closed form the library uses.
 
 from __future__ import annotations
 
+from pagefacts import fixed_values as fixed
+
 _ASIN = "'B' || lpad(CAST({} AS VARCHAR), 9, '0')"
 PART_ASIN = _ASIN.format("p_partkey")
 USER_ASIN = _ASIN.format("user_id")
@@ -55,8 +57,10 @@ REVIEWS_HTML = f"""reviews_html AS (
   FROM part)"""
 
 LOG = f"""log AS (
-  SELECT strftime(ts, '%Y-%m-%d') AS run_id, 'info' AS page_kind, {USER_ASIN} AS asin, event_id AS seq,
-         CASE WHEN event_type IN ('view', 'purchase') THEN 'ok'
+  SELECT CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE 'backfill' END AS run_id,
+         CASE WHEN user_id % 4 = 3 THEN 'reviews' ELSE 'info' END AS page_kind, {USER_ASIN} AS asin, event_id AS seq,
+         CASE WHEN user_id % 10 = 9 THEN 'retry'
+              WHEN event_type IN ('view', 'purchase') THEN 'ok'
               WHEN event_type = 'signup' THEN 'invalid'
               WHEN event_type = 'error' AND CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 2 = 0 THEN 'lost'
               ELSE 'retry' END AS class
@@ -109,7 +113,7 @@ delays(run_id, page_kind, asin, seq, iteration, class, n, delay) AS (
 _DECODED = "html"
 for _name, _text in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
     _DECODED = f"regexp_replace({_DECODED}, '&{_name};?', '{_text}', 'g')"
-_TITLE = r"<title>(Amazon.com\s*:\s*)?(.+?)(\s*- - Amazon.com)?</title>"
+_TITLE = fixed.PRODUCT_NAME
 TITLES = f"""titles AS (
   SELECT page_id, url, CASE WHEN regexp_matches(text, '{_TITLE}') THEN regexp_extract(text, '{_TITLE}', 2) END
          AS product_name
@@ -203,7 +207,8 @@ SELECT asin, 'info' AS page_kind, asin || '.html' AS file_name, asin AS parsed_a
 UNION ALL SELECT asin, 'reviews', 'reviews-' || asin || '.html', asin, 'reviews' FROM ids""",
         "page_quality": f"""WITH {LOG}
 SELECT 'page' AS source, page_id AS id, true AS usable FROM pages
-UNION ALL SELECT 'reply', event_id, event_type <> 'click' FROM events WHERE event_type IN ('view', 'purchase', 'click')""",
+UNION ALL SELECT 'reply', event_id, event_type <> 'click' FROM events
+WHERE event_type IN ('view', 'purchase', 'click') AND user_id % 10 <> 9""",
         "classify_response": f"WITH {LOG} SELECT run_id, page_kind, asin, seq, class FROM log",
         "ok_pages": f"""WITH {LOG}
 SELECT run_id, page_kind, asin, seq, '<html>event ' || CAST(seq AS VARCHAR) || '</html>' AS html
@@ -247,7 +252,7 @@ WHERE {PART_ASIN} NOT IN (SELECT asin FROM ids) GROUP BY 1""",
         "retry_worklist": f"""WITH {OUTCOME}
 SELECT run_id, page_kind, asin FROM outcome WHERE outcome = 'unscraped' AND attempts < 20""",
         "product_360": f"""WITH {OUTCOME}, {INFO}, {REVIEWS},
-obtained AS (SELECT DISTINCT asin FROM outcome WHERE outcome = 'ok')
+obtained AS (SELECT DISTINCT asin FROM outcome WHERE outcome = 'ok' AND page_kind = 'info')
 SELECT r.asin, i.product_name, i.total_ratings, i.average_rating, i.answered_questions,
        r.total_reviews, r.positive_reviews, r.critical_reviews
 FROM reviews AS r
