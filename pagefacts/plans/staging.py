@@ -8,10 +8,14 @@ survives lost executors, and gives the later steps column pruning and real sizes
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,4 +36,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
+    if (own := _scratch.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Empty the tables that are staged inside when it ends; what needs them must be written by then."""
+    paths: list[str] = []
+    outer = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(outer)
+        for path in paths:
+            spark.createDataFrame([], "emptied int").write.mode("overwrite").parquet(path)

@@ -12,7 +12,7 @@ from pagefacts.functions.rules import PAGE_KINDS, PageKind
 from pagefacts.operators.crawl import usable
 from pagefacts.operators.extract import extract_all, extract_errors, facts_of
 from pagefacts.operators.integrity import fk_violations
-from pagefacts.plans.staging import stage
+from pagefacts.plans.staging import scratch, stage
 from pagefacts.sources.pages import scanned_file_name, snapshot
 from pagefacts.sources.tables import numbered_facts, table_path
 
@@ -58,28 +58,29 @@ def stream_facts(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if validate:
-            batch = batch.where(usable(F.coalesce("html", F.lit(""))))
-        # Everything below reads the facts; the pages are read once.
-        staged = stage(extract_all(batch, kinds), "facts")
-        if on_unknown == "drop":
-            staged = staged.join(asins.select("asin"), "asin", "left_semi")
-        else:
-            unknown = fk_violations(staged, asins).first()
-            if unknown is not None:
-                raise ValueError(f"asin {unknown['asin']!r} is not in asins")
-        for kind in kinds:
-            facts = facts_of(staged, kind)
-            last = _last_id(spark, root, kind, batch_id)
-            path = f"{table_path(root, kind.table)}/batch_id={batch_id}"
-            numbered_facts(facts, kind, recorded_at=recorded_at, start=last + 1).write.mode("overwrite").parquet(path)
-            loaded = spark.read.schema(schema.TABLES[kind.table]).parquet(path)
-            entry = loaded.agg(F.count("*").alias("n_rows"), F.coalesce(F.max("id"), F.lit(last)).alias("last_id"))
-            entry.coalesce(1).write.mode("overwrite").parquet(f"{_ledger(root, kind)}/batch_id={batch_id}")
-            errors = extract_errors(facts, kind).drop("page_kind")
-            errors.write.mode("overwrite").parquet(
-                f"{table_path(root, 'extract_errors')}/page_kind={kind.name}/batch_id={batch_id}"
-            )
+        with scratch(spark):
+            if validate:
+                batch = batch.where(usable(F.coalesce("html", F.lit(""))))
+            # Everything below reads the facts; the pages are read once.
+            staged = stage(extract_all(batch, kinds), "facts")
+            if on_unknown == "drop":
+                staged = staged.join(asins.select("asin"), "asin", "left_semi")
+            else:
+                unknown = fk_violations(staged, asins).first()
+                if unknown is not None:
+                    raise ValueError(f"asin {unknown['asin']!r} is not in asins")
+            for kind in kinds:
+                facts = facts_of(staged, kind)
+                last = _last_id(spark, root, kind, batch_id)
+                path = f"{table_path(root, kind.table)}/batch_id={batch_id}"
+                numbered_facts(facts, kind, recorded_at=recorded_at, start=last + 1).write.mode("overwrite").parquet(path)
+                loaded = spark.read.schema(schema.TABLES[kind.table]).parquet(path)
+                entry = loaded.agg(F.count("*").alias("n_rows"), F.coalesce(F.max("id"), F.lit(last)).alias("last_id"))
+                entry.coalesce(1).write.mode("overwrite").parquet(f"{_ledger(root, kind)}/batch_id={batch_id}")
+                errors = extract_errors(facts, kind).drop("page_kind")
+                errors.write.mode("overwrite").parquet(
+                    f"{table_path(root, 'extract_errors')}/page_kind={kind.name}/batch_id={batch_id}"
+                )
 
     return (
         pages.writeStream.foreachBatch(load)

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from pagefacts.plans.staging import new_folder, shared_folder, stage
+from pagefacts.plans.staging import new_folder, scratch, shared_folder, stage
 
 
 def session(**settings):
@@ -24,3 +24,13 @@ def test_stage(spark):
     assert staged.dtypes == df.dtypes
     assert sorted(map(str, staged.collect())) == sorted(map(str, df.collect()))
     assert stage(df.where("id < 0"), "empty").count() == 0
+
+
+def test_scratch_is_emptied(spark):
+    outside = stage(spark.range(3), "kept")
+    with scratch(spark):
+        inside = stage(spark.range(3), "scratch")
+        assert inside.count() == 3
+    assert outside.count() == 3
+    (path,) = {f.rsplit("/", 1)[0] for f in inside.inputFiles()}
+    assert spark.read.parquet(path).count() == 0
