@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
@@ -40,12 +39,9 @@ FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
 def _with_folder(query: Callable) -> Callable:
-    """The session's shared folder; where a local session, as in tests, names none, one of our own."""
-
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if not spark.conf.get("spark.checkpoint.dir", None) and spark.conf.get("spark.master", "").startswith("local["):
-            spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagefacts-"))
+        staging.ensure_shared_folder(spark)
         return query(spark, sf_dir)
 
     return run

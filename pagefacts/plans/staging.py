@@ -7,6 +7,8 @@ survives lost executors, and gives the later steps column pruning and real sizes
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """For entry points: a local session that names no folder, as in tests, gets one of its own."""
+    if not spark.conf.get(_SETTING, None) and re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        spark.conf.set(_SETTING, tempfile.mkdtemp(prefix="pagefacts-"))
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; nothing is created yet."""
     return f"{shared_folder(spark)}/pagefacts/{label}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from pagefacts.plans.staging import new_folder, scratch, shared_folder, stage
+from pagefacts.plans.staging import ensure_shared_folder, new_folder, scratch, shared_folder, stage
 
 
 def session(**settings):
@@ -17,6 +17,20 @@ def test_folder_is_the_one_the_session_names():
         shared_folder(cluster)
 
 
+def test_a_local_session_may_get_a_folder_of_its_own():
+    settings = {"spark.master": "local[4]"}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d), set=settings.__setitem__))
+    ensure_shared_folder(spark)
+    folder = shared_folder(spark)
+    ensure_shared_folder(spark)
+    assert shared_folder(spark) == folder
+    settings.clear()
+    settings["spark.master"] = "local-cluster[2,1,1000]"
+    ensure_shared_folder(spark)
+    with pytest.raises(RuntimeError):
+        shared_folder(spark)
+
+
 def test_stage(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x")
     df = spark.range(5).selectExpr("id", "named_struct('a', id, 'b', array('x')) AS s")
