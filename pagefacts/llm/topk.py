@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagefacts.llm.arrow import groups_of
+from pagefacts.operators.ordered import with_dense_id
 from pagefacts.plans.staging import stage
 
 K = 20
@@ -58,33 +60,35 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _packed(rows: DataFrame, per_block: int, name: str) -> DataFrame:
-    """Rows in order of length in blocks of at most ``per_block``: ids, one array of values, lengths."""
+    """Rows in order of length in blocks of ``per_block``: ids, one array of values, lengths.
+
+    The blocks are cut by a dense number over (dim, length), whatever the number of partitions.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            values = batch.column("v")
-            for start in range(0, batch.num_rows, per_block):
-                for dim in np.unique(dims[start : start + per_block]).tolist():
-                    own = start + np.flatnonzero(dims[start : start + per_block] == dim)
-                    flat = values.take(pa.array(own)).flatten().to_numpy().astype("<f8")
-                    lengths = batch.column("length").to_numpy()[own].astype("<f8")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(dim)], pa.int32()),
-                            pa.array([batch.column("vec_id").to_numpy()[own].astype("<i8").tobytes()], pa.binary()),
-                            pa.array([flat.tobytes()], pa.binary()),
-                            pa.array([lengths.tobytes()], pa.binary()),
-                            pa.array([float(lengths.max())], pa.float64()),
-                        ],
-                        names=["dim", "ids", "vectors", "lengths", "longest"],
-                    )
-
-    ordered = rows.repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length"))
-    packed = ordered.mapInArrow(
-        pack, "dim int, ids binary, vectors binary, lengths binary, longest double"
+        for table in groups_of(batches, ["dim", "part"]):
+            own = table.combine_chunks().to_batches()[0]
+            lengths = own.column("length").to_numpy().astype("<f8")
+            values = own.column("v").flatten().to_numpy().astype("<f8")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    own.column("dim")[:1],
+                    own.column("part")[:1],
+                    pa.array([own.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()),
+                    pa.array([values.tobytes()], pa.binary()),
+                    pa.array([lengths.tobytes()], pa.binary()),
+                    pa.array([float(lengths.max())], pa.float64()),
+                ],
+                names=["dim", "part", "ids", "vectors", "lengths", "longest"],
+            )
+
+    numbered = with_dense_id(rows.withColumn("shorter", -F.col("length")), ["dim", "shorter", "vec_id"], name="nth", start=0)
+    parted = numbered.withColumn("part", F.floor(F.col("nth") / per_block))
+    sorted_rows = parted.repartition("dim", "part").sortWithinPartitions("dim", "part", "nth")
+    packed = sorted_rows.select("dim", "part", "vec_id", "v", "length").mapInArrow(
+        pack, "dim int, part bigint, ids binary, vectors binary, lengths binary, longest double"
     )
-    return stage(packed.withColumn("block", F.monotonically_increasing_id()), name)
+    return stage(packed.withColumn("block", F.format_string("%d/%d", "dim", "part")), name)
 
 
 def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,13 +206,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             reach = np.where(np.isfinite(reach), reach - np.abs(reach) * 1e-9 - 1e-9, -np.inf)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("dim"),
-                    batch.column("ids"),
-                    batch.column("vectors"),
+                    *[batch.column(name) for name in ("dim", "block", "ids", "vectors")],
                     pa.array([least.astype("<f8").tobytes()], pa.binary()),
                     pa.array([float(reach.min())], pa.float64()),
                 ],
-                names=["dim", "q_ids", "q_vectors", "thresholds", "least_reach"],
+                names=["dim", "block", "q_ids", "q_vectors", "thresholds", "least_reach"],
             )
 
     def one_by_one(batches: Iterator[pa.RecordBatch], task) -> Iterator[pa.RecordBatch]:
@@ -244,10 +246,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     buckets = _packed(rows, BUCKET_ROWS, "topk-buckets")
     queries = _packed(rows.where(is_query), QUERY_ROWS, "topk-queries")
     queries = stage(
-        queries.select("dim", "ids", "vectors").mapInArrow(
+        queries.select("dim", "block", "ids", "vectors").mapInArrow(
             lambda batches: one_by_one(batches, with_thresholds),
-            "dim int, q_ids binary, q_vectors binary, thresholds binary, least_reach double",
-        ).withColumn("q_block", F.monotonically_increasing_id()),
+            "dim int, block string, q_ids binary, q_vectors binary, thresholds binary, least_reach double",
+        ).withColumnRenamed("block", "q_block"),
         "topk-thresholds",
     )
     # Which bucket a block of queries needs is decided on one small row for each.
