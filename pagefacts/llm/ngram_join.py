@@ -5,8 +5,9 @@
    are common to two sets at the threshold, for each of two levels of the path. Sets are split by the first
    token they chose. A bucket that is still large is split by the second one, unless most of
    its sets choose the same again, as the copies of one text do: splitting does not help there.
-3. Buckets are brute-forced in blocks of bounded size: a hot bucket of n sets gives blocks of
-   ``BLOCK`` by ``BLOCK`` sets to as many tasks. Runs are repeated until the expected recall is reached.
+3. Buckets are brute-forced. A hot bucket of n sets is cut into about sqrt(n / ``SMALL``) blocks, and
+   every pair of blocks is a task: rows and tasks stay few, and a task compares its rows in tiles of
+   bounded size. Runs are repeated until the expected recall is reached.
 4. A pair may meet in several buckets. It counts in the first run in which it shares tokens
    of both levels, in the bucket of the smallest ones; this can be told from the two rows alone,
    so no list of pairs has to be made distinct. Pairs leave a task as one row per set.
@@ -39,9 +40,10 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 # Tokens that two sets at the threshold are expected to share, by level of the path.
 SHARED = (3.0, 4.0)
-# Buckets up to this size are not split; blocks of brute force have this many rows on a side.
+# Buckets up to this size are not split further; a larger one that stays whole goes to several tasks.
 SMALL = 512
-BLOCK = 512
+# Rows on a side of the pieces in which a task compares its rows.
+TILE = 1024
 
 
 def runs_for(recall: float, shared: tuple[float, float] = SHARED) -> int:
@@ -164,8 +166,22 @@ def _shares(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return held @ held.T > 0.5
 
 
-def _candidate_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of the pairs that count in this bucket and whose sizes allow the threshold."""
+    tiles = [np.arange(start, min(start + TILE, table.num_rows)) for start in range(0, table.num_rows, TILE)]
+    if len(tiles) == 1:
+        yield _pairs_of(table, tiles[0] * 0)
+        return
+    for i, left in enumerate(tiles):
+        yield tuple(left[rows] for rows in _pairs_of(table.take(pa.array(left)), left * 0))
+        for right in tiles[i + 1 :]:
+            both = np.concatenate([left, right])
+            side = np.repeat([0, 1], [len(left), len(right)])
+            yield tuple(both[rows] for rows in _pairs_of(table.take(pa.array(both)), side))
+
+
+def _pairs_of(table: pa.Table, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a table of few rows; if it has two sides, only those across them."""
     n = table.num_rows
     run, first, second = (table.column(c)[0].as_py() for c in ("run", "t0", "t1"))
     same_block = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
@@ -174,6 +190,8 @@ def _candidate_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ok &= cid[:, None] != cid[None, :]
     if not same_block:
         ok &= block[:, None] != block[None, :]
+    if side.any():
+        ok &= side[:, None] != side[None, :]
     ok = np.triu(ok, 1)
     if not ok.any():
         return np.empty(0, dtype=int), np.empty(0, dtype=int)
@@ -202,7 +220,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches, _BUCKET):
         if table.num_rows < 2:
             continue
-        left, right = _candidate_pairs(table)
+        pairs = list(_candidate_pairs(table))
+        left, right = (np.concatenate([pair[side] for pair in pairs]) for side in (0, 1))
         if not len(left):
             continue
         cid = table.column("cid").to_numpy()
@@ -319,7 +338,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 def blocks(members: DataFrame) -> DataFrame:
     """Every row once for each pair of blocks it belongs to; a bucket of one block has one."""
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    count = F.ceil(F.sqrt(F.col("size") / SMALL)).cast("int")
     block = F.pmod(F.xxhash64("cid", "run", "t0"), count).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), count - 1),
