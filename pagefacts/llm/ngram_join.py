@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagefacts.llm.arrow import groups_of
 from pagefacts.llm.texts import let, row_key, words
 from pagefacts.plans.staging import stage
 
@@ -122,30 +123,6 @@ def sampled_sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sampled, f"doc_id {kind}, a bigint, b bigint, n bigint, h1 bigint, h2 bigint, {samples}")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Stretches of rows with equal keys, of sorted batches."""
-    rest: pa.Table | None = None
-
-    def cut(table: pa.Table) -> list[int]:
-        changed = np.zeros(table.num_rows, dtype=bool)
-        for key in keys:
-            values = table.column(key).to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
-        return [0, *np.flatnonzero(changed).tolist(), table.num_rows]
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-        if not table.num_rows:
-            continue
-        bounds = cut(table)
-        for start, end in zip(bounds[:-2], bounds[1:-1]):
-            yield table.slice(start, end - start)
-        rest = table.slice(bounds[-2])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and the row of each."""
     column = table.column(name).combine_chunks()
@@ -217,7 +194,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of candidate pairs: one row per bucket and set, with its partners."""
     out: list[list] = [[], [], []]
     number = 0
-    for table in _groups(batches, _BUCKET):
+    for table in groups_of(batches, _BUCKET):
         if table.num_rows < 2:
             continue
         pairs = list(_candidate_pairs(table))
@@ -251,7 +228,7 @@ def _member_batch(out: list[list]) -> pa.RecordBatch:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each set in its bucket, and the smallest id of its tree in the bucket's forest."""
     out: list[list] = [[], [], []]
-    for table in _groups(batches, ["place"]):
+    for table in groups_of(batches, ["place"]):
         cid = table.column("cid").to_numpy()
         values, rows = _flat(table, "tokens")
         _, number = np.unique(values, return_inverse=True)
