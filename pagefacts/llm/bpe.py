@@ -252,8 +252,8 @@ def loaded(rank_file: bytes, pattern: str) -> Bpe:
     return _LOADED[key]
 
 
-def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (packed little-endian 32-bit), decoded (the bytes that the ids stand for).
+def encode_documents(docs: DataFrame, rank_path: str, pattern: str, *keep: str) -> DataFrame:
+    """doc_id, ids (packed little-endian 32-bit), decoded (the bytes that the ids stand for), the columns in ``keep``.
 
     ``rank_path`` is read on the driver; the file, of fixed size, goes to the workers.
     """
@@ -272,13 +272,18 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
                     ids = coder.encode(texts)
                     columns = [ids, [coder.decode(packed) for packed in ids]]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[start : at + 1], *[pa.array(c, pa.binary()) for c in columns]],
-                        names=["doc_id", "ids", "decoded"],
+                        [
+                            batch.column(0)[start : at + 1],
+                            *[pa.array(c, pa.binary()) for c in columns],
+                            *[kept[start : at + 1] for kept in batch.columns[2:]],
+                        ],
+                        names=["doc_id", "ids", "decoded", *keep],
                     )
                     start, held, texts = at + 1, 0, []
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary, decoded binary")
+    kept = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(encoded, f"doc_id {kind}, ids binary, decoded binary{kept}")
 
 
 def digests(encoded: DataFrame, *keep: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline against a version without Spark, and the contract of its stages."""
 
 import hashlib
+import math
 from pathlib import Path
 
 import corpus_pipeline
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from test_operators import dedup_plain, join_plain
 
 from pagefacts.llm import bpe, mixing, quality_classifier
@@ -71,3 +73,45 @@ def test_stages_over_edge_cases(spark):
         assert 0 < out.count() <= docs.count(), name
         assert function(spark, edge.empty(spark), folder).count() == 0, name
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def schedule_plain(sources, block_rows=4):
+    """(slot, place, in_mix) by doc_id: Pfair windows, earliest deadline first, slot by slot. Takes {doc_id: source}."""
+    ordered = {}
+    for i in sorted(sources, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+        ordered.setdefault(sources[i], []).append(i)
+    names = sorted(ordered, key=lambda s: (s is not None, s))
+    total = sum(len(ordered[s]) ** 0.7 for s in names)
+    shares = {s: max(1, math.floor(len(ordered[s]) ** 0.7 / total * 1000 + 0.5)) for s in names}
+    period = sum(shares.values())
+    blocks = {s: [ordered[s][at : at + block_rows] for at in range(0, len(ordered[s]), block_rows)] for s in names}
+    taken, out, end, slot = dict.fromkeys(names, 0), {}, None, 0
+    while len(out) < len(sources):
+        due = []
+        for at, s in enumerate(names):
+            if taken[s] * period // shares[s] <= slot:
+                due.append((-(-(taken[s] + 1) * period // shares[s]), at, s))
+        source = min(due)[2]
+        if taken[source] < len(blocks[source]):
+            out |= {i: (slot, place, end is None) for place, i in enumerate(blocks[source][taken[source]])}
+        elif end is None:
+            end = slot
+        taken[source] += 1
+        slot += 1
+    return out
+
+
+@needs_tables
+def test_run_returns_the_schedule(spark):
+    """From an input of many files; the rows that come out are placed as a plain schedule places them."""
+    folder = new_folder(spark, "many-files")
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{name}.parquet") for name in ("documents", "labels"))
+    # Uneven sources, so that the small ones run out.
+    docs = docs.withColumn("source", F.expr("element_at(array('a', 'a', 'a', 'a', 'a', 'b', 'c'), int(doc_id % 7) + 1)"))
+    docs.repartition(12).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    rows = corpus_pipeline.run(spark, folder).collect()
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    found = {r["doc_id"]: (r["slot"], r["place"], r["in_mix"]) for r in rows}
+    assert len(found) == len(rows) > 100 and {kept for _, _, kept in found.values()} == {True, False}
+    assert found == schedule_plain({i: source[i] for i in found})
