@@ -5,13 +5,13 @@
    are common to two sets at the threshold, for each of two levels of the path. Sets are split by the first
    token they chose. A bucket that is still large is split by the second one, unless most of
    its sets choose the same again, as the copies of one text do: splitting does not help there.
-3. Buckets are brute-forced. A hot bucket of n sets is cut into about sqrt(n / ``SMALL``) blocks, and
-   every pair of blocks is a task: rows and tasks stay few, and a task compares its rows in tiles of
-   bounded size. Runs are repeated until the expected recall is reached.
+3. Buckets are brute-forced. A hot bucket of n sets is cut into about sqrt(n / ``SMALL``) blocks, or into
+   as many as it takes to keep a block within ``BLOCK_ROWS`` and ``BLOCK_TOKENS``. Every pair of blocks is a unit of
+   work, which compares its rows in tiles of bounded size. Runs are repeated until the expected recall is reached.
 4. A pair may meet in several buckets. It counts in the first run in which it shares tokens
    of both levels, in the bucket of the smallest ones; this can be told from the two rows alone,
-   so no list of pairs has to be made distinct. Pairs leave a task as one row per set.
-5. Candidates are verified exactly, with the whole sets of those rows that have any.
+   so no list of pairs has to be made distinct. No pair leaves its tile: a task returns the sets that have any.
+5. Their candidates are found again beside the whole sets, and verified exactly, tile by tile.
 6. Verified links are counted per class; each block gives a spanning forest of its links,
    and the groups are the connected components.
 
@@ -45,6 +45,9 @@ SHARED = (3.0, 4.0)
 SMALL = 512
 # Rows on a side of the pieces in which a task compares its rows.
 TILE = 1024
+# What a block holds at most, in rows and in tokens of their sets: the memory of a task is that of two blocks.
+BLOCK_ROWS = 8192
+BLOCK_TOKENS = 2_000_000
 
 
 def runs_for(recall: float, shared: tuple[float, float] = SHARED) -> int:
@@ -188,91 +191,51 @@ def _pairs_of(table: pa.Table, side: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _BUCKET = ["run", "t0", "t1_key", "bi", "bj"]
+_MEMBER = [*_BUCKET, "t1", "block", "cid"]
+_MEMBER_SCHEMA = "run int, t0 int, t1_key bigint, bi int, bj int, t1 int, block int, cid bigint"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of candidate pairs: one row per bucket and set, with its partners."""
-    out: list[list] = [[], [], []]
-    number = 0
+    """Members of candidate pairs, one row per bucket and set; the pairs do not leave their tile."""
+    out: list[pa.Table] = []
     for table in groups_of(batches, _BUCKET):
         if table.num_rows < 2:
             continue
-        pairs = list(_candidate_pairs(table))
-        left, right = (np.concatenate([pair[side] for pair in pairs]) for side in (0, 1))
-        if not len(left):
-            continue
-        cid = table.column("cid").to_numpy()
-        place = table.column("place")[0].as_py()
-        order = np.argsort(left, kind="stable")
-        left, right = left[order], right[order]
-        for row in np.unique(np.concatenate([left, right])).tolist():
-            a, b = np.searchsorted(left, [row, row + 1])
-            out[0].append(place)
-            out[1].append(int(cid[row]))
-            out[2].append(cid[right[a:b]])
-            number += 1 + int(b - a)
-        if number > 100_000:
-            yield _member_batch(out)
-            out, number = [[], [], []], 0
-    if out[0]:
-        yield _member_batch(out)
-
-
-def _member_batch(out: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))],
-        names=["place", "cid", "partners"],
-    )
+        paired = np.zeros(table.num_rows, dtype=bool)
+        for left, right in _candidate_pairs(table):
+            paired[left] = True
+            paired[right] = True
+        if paired.any():
+            out.append(table.select(_MEMBER).filter(pa.array(paired)))
+        if sum(t.num_rows for t in out) > 20_000:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+            out = []
+    if out:
+        yield from pa.concat_tables(out).combine_chunks().to_batches()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each set in its bucket, and the smallest id of its tree in the bucket's forest."""
+    """Links of each set in its bucket, and the smallest id of its tree in the bucket's forest.
+
+    The pairs are found again and verified tile by tile, so no more than those of a tile are held.
+    """
     out: list[list] = [[], [], []]
-    for table in groups_of(batches, ["place"]):
+    for table in groups_of(batches, _BUCKET):
         cid = table.column("cid").to_numpy()
         values, rows = _flat(table, "tokens")
         _, number = np.unique(values, return_inverse=True)
         starts = np.searchsorted(rows, np.arange(len(cid) + 1))
-        sizes = np.diff(starts)
-        index = {c: i for i, c in enumerate(cid.tolist())}
         links = np.zeros(len(cid), dtype=np.int64)
-        root = list(range(len(cid)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        tree = np.arange(len(cid))
         marks = np.zeros(int(number.max()) + 1 if len(number) else 1, dtype=bool)
-        for row, partners in enumerate(table.column("partners").to_pylist()):
-            if not partners:
-                continue
-            own = number[starts[row] : starts[row + 1]]
-            marks[own] = True
-            others = np.array([index[p] for p in partners])
-            if 4 * len(others) > len(cid):
-                common = np.add.reduceat(marks[number].astype(np.int32), starts[:-1])[others]
-            else:
-                common = np.array([np.count_nonzero(marks[number[starts[o] : starts[o + 1]]]) for o in others])
-            marks[own] = False
-            union = sizes[row] + sizes[others] - common
-            # In whole numbers: common / union >= 4 / 5.
-            similar = others[5 * common >= 4 * union]
-            links[row] += len(similar)
-            links[similar] += 1
-            for other in similar.tolist():
-                a, b = top(row), top(other)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
+        for left, right in _candidate_pairs(table.drop_columns(["tokens"])):
+            if len(left):
+                _link(left, right, number, starts, marks, links, tree)
         linked = np.flatnonzero(links)
-        tops: dict[int, int] = {}
-        for i in linked.tolist():
-            t = top(i)
-            tops[t] = min(tops.get(t, int(cid[i])), int(cid[i]))
-        out[0].extend(cid[linked].tolist())
-        out[1].extend(links[linked].tolist())
-        out[2].extend(tops[top(i)] for i in linked.tolist())
+        least = np.full(len(cid), np.iinfo(np.int64).max)
+        np.minimum.at(least, tree[linked], cid[linked])
+        for column, found in zip(out, (cid[linked], links[linked], least[tree[linked]])):
+            column.extend(found.tolist())
         if len(out[0]) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["cid", "links", "tree"])
             out = [[], [], []]
@@ -280,42 +243,80 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["cid", "links", "tree"])
 
 
+def _link(
+    left: np.ndarray,
+    right: np.ndarray,
+    number: np.ndarray,
+    starts: np.ndarray,
+    marks: np.ndarray,
+    links: np.ndarray,
+    tree: np.ndarray,
+) -> None:
+    """Verify the pairs of a tile: counted in ``links``, their labels made one in ``tree``."""
+    sizes = np.diff(starts)
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    firsts = np.flatnonzero(np.diff(left, prepend=-1))
+    for row, others in zip(left[firsts].tolist(), np.split(right, firsts[1:])):
+        own = number[starts[row] : starts[row + 1]]
+        marks[own] = True
+        low, high = int(others.min()), int(others.max()) + 1
+        if 4 * len(others) > high - low:
+            held = marks[number[starts[low] : starts[high]]].astype(np.int32)
+            common = np.add.reduceat(held, starts[low:high] - starts[low])[others - low]
+        else:
+            common = np.array([np.count_nonzero(marks[number[starts[o] : starts[o + 1]]]) for o in others.tolist()])
+        marks[own] = False
+        union = sizes[row] + sizes[others] - common
+        # In whole numbers: common / union >= 4 / 5.
+        similar = others[5 * common >= 4 * union]
+        links[row] += len(similar)
+        links[similar] += 1
+        if (tree[similar] != tree[row]).any():
+            merged = np.unique(np.append(tree[similar], tree[row]))
+            tree[np.isin(tree, merged)] = merged[0]
+
+
 def _at_place(df: DataFrame, keys: list[str], task: Callable, schema: str) -> DataFrame:
     """``task`` over rows brought together by ``keys``."""
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(run, t0, t1, cid) of the buckets to be brute-forced, each with its size."""
+    """(run, t0, t1, cid) of the buckets to be brute-forced, each with its size and the tokens of its sets."""
     node = ["run", "t0"]
 
     def nodes_of(run: int) -> Column:
         return F.transform(f"s{run}_0", lambda t: F.struct(F.lit(run).alias("run"), t.alias("t0")))
 
     nodes = F.flatten(F.array(*[nodes_of(run) for run in range(RUNS)]))
-    chosen = classes.select("cid", F.explode(nodes).alias("node")).select("cid", "node.*")
-    sizes = chosen.groupBy(*node).agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    first = stage(chosen.join(sizes, node), "join-buckets")
+    chosen = classes.select("cid", "n", F.explode(nodes).alias("node")).select("cid", "n", "node.*")
+    sizes = chosen.groupBy(*node).agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where(F.col("size") > 1)
+    first = stage(chosen.drop("n").join(sizes, node), "join-buckets")
     large = first.where(F.col("size") > SMALL)
     second_tokens = F.get(F.array(*[F.col(f"s{run}_1") for run in range(RUNS)]), F.col("run"))
     paths = (
-        large.select("cid", *node, "size").join(classes.select("cid", *[f"s{r}_1" for r in range(RUNS)]), "cid")
-        .select("cid", *node, "size", F.explode(second_tokens).alias("t1"))
+        large.select("cid", *node, "size").join(classes.select("cid", "n", *[f"s{r}_1" for r in range(RUNS)]), "cid")
+        .select("cid", "n", *node, "size", F.explode(second_tokens).alias("t1"))
+    )
+    inner = paths.groupBy(*node, "t1").agg(
+        F.count("*").alias("inner_size"), F.sum("n").alias("inner_tokens"), F.first("size").alias("size")
     )
-    inner = paths.groupBy(*node, "t1").agg(F.count("*").alias("inner_size"), F.first("size").alias("size"))
     # Copies of one text choose alike: such a bucket stays whole.
     split = inner.groupBy(*node).agg((2 * F.max("inner_size") < F.first("size")).alias("split")).where("split")
     split = stage(split.select(*node), "join-split")
     parts = paths.join(split, node, "left_semi").join(
-        inner.where(F.col("inner_size") > 1).select(*node, "t1", "inner_size"), [*node, "t1"]
+        inner.where(F.col("inner_size") > 1).select(*node, "t1", "inner_size", "inner_tokens"), [*node, "t1"]
     )
-    whole = first.join(split, node, "left_anti").select("cid", *node, F.lit(None).cast("int").alias("t1"), "size")
-    return whole.unionByName(parts.select("cid", *node, "t1", F.col("inner_size").alias("size")))
+    whole = first.join(split, node, "left_anti").withColumn("t1", F.lit(None).cast("int"))
+    sized = parts.select("cid", *node, "t1", F.col("inner_size").alias("size"), F.col("inner_tokens").alias("tokens"))
+    return whole.select("cid", *node, "t1", "size", "tokens").unionByName(sized)
 
 
 def blocks(members: DataFrame) -> DataFrame:
     """Every row once for each pair of blocks it belongs to; a bucket of one block has one."""
-    count = F.ceil(F.sqrt(F.col("size") / SMALL)).cast("int")
+    size, tokens = F.col("size"), F.col("tokens")
+    count = F.ceil(F.greatest(F.sqrt(size / SMALL), size / BLOCK_ROWS, F.least(tokens / BLOCK_TOKENS, size))).cast("int")
     block = F.pmod(F.xxhash64("cid", "run", "t0"), count).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), count - 1),
@@ -323,7 +324,7 @@ def blocks(members: DataFrame) -> DataFrame:
     )
     placed = members.select("*", block.alias("block"), F.explode(pair).alias("pair")).select("*", "pair.*").drop("pair")
     key = F.coalesce(F.col("t1").cast("bigint"), F.lit(1 << 40))
-    return placed.withColumn("t1_key", key).withColumn("place", F.xxhash64("run", "t0", "t1_key", "bi", "bj"))
+    return placed.withColumn("t1_key", key)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -364,18 +365,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     members = blocks(buckets(classes)).join(classes.select("cid", "n", *SAMPLES), "cid")
     found = stage(
-        _at_place(
-            members.drop("size"), _BUCKET, _candidates, "place bigint, cid bigint, partners array<bigint>"
-        ),
-        "join-candidates",
+        _at_place(members.drop("size", "tokens"), _BUCKET, _candidates, _MEMBER_SCHEMA), "join-candidates"
     )
-    wanted = found.select("cid").distinct().join(classes.select("cid", "least"), "cid")
-    wanted = wanted.select("cid", F.col("least.a").alias("a"), F.col("least.b").alias("b"))
+    wanted = found.select("cid").distinct().join(classes.select("cid", "least", "n", *SAMPLES), "cid")
+    wanted = wanted.select("cid", F.col("least.a").alias("a"), F.col("least.b").alias("b"), "n", *SAMPLES)
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text").select("key.*", "text")
     # Repeated rows would give a set twice; any one of them will do.
-    tokens = texts.join(wanted, ["a", "b"]).dropDuplicates(["cid"]).select("cid", shingles(F.col("text")).alias("tokens"))
+    tokens = texts.join(wanted, ["a", "b"]).dropDuplicates(["cid"])
+    tokens = tokens.select("cid", "n", *SAMPLES, shingles(F.col("text")).alias("tokens"))
     verified = stage(
-        _at_place(found.join(tokens, "cid"), ["place"], _verified, "cid bigint, links bigint, tree bigint"),
+        _at_place(found.join(tokens, "cid"), _BUCKET, _verified, "cid bigint, links bigint, tree bigint"),
         "join-links",
     )
 

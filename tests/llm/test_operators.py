@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagefacts.llm import language_id, line_dedup, mixing, ngram_join, quality_classifier, secrets, sharding, topk
+from pagefacts.plans.staging import stage
 
 
 def words_of(draw, n, vocabulary=4000):
@@ -216,6 +217,33 @@ def test_join_like_brute_force(spark, monkeypatch, small, tile):
     assert sum(r["first"] for r in rows) == len({c for c, _, _ in join_plain(texts).values()})
 
 
+def test_a_unit_of_work_is_bounded(spark):
+    """Blocks of a bucket grow neither with its rows nor with the tokens of its sets."""
+    columns = "cid bigint, run int, t0 int, t1 int, size bigint, tokens bigint"
+    many = spark.createDataFrame([(1, 0, 7, None, 10_000_000, 10**9)], columns)
+    assert 10_000_000 / ngram_join.blocks(many).count() <= 10_000
+    long = spark.createDataFrame([(1, 0, 7, None, 400, 10**9)], columns)
+    assert 10**9 / ngram_join.blocks(long).count() <= 4_000_000
+
+
+@pytest.mark.parametrize("limit, value", [("BLOCK_ROWS", 40), ("BLOCK_TOKENS", 3000), ("TILE", 32)])
+def test_no_list_of_pairs_leaves_a_task(spark, monkeypatch, limit, value):
+    staged = {}
+
+    def kept(df, label):
+        staged[label] = stage(df, label)
+        return staged[label]
+
+    monkeypatch.setattr(ngram_join, "stage", kept)
+    monkeypatch.setattr(ngram_join, limit, value)
+    texts = near_copies(random.Random(23), 1, 200)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    rows = ngram_join.near_duplicates(docs).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in rows} == join_plain(texts)
+    assert staged["join-candidates"].count() > 0
+    assert not [kind for _, kind in staged["join-candidates"].dtypes if kind.startswith("array")]
+
+
 def test_runs_reach_the_recall():
     missed = 1 - math.prod(1 - math.exp(-s) for s in ngram_join.SHARED)
     assert missed**ngram_join.RUNS <= 1 - ngram_join.RECALL + 1e-12
