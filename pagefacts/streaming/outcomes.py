@@ -102,7 +102,9 @@ def close_runs(spark: SparkSession, root: str, runs: DataFrame | None = None) ->
     latest = _read(spark, root, "open", _OPEN).agg(F.max("batch_id")).first()[0]
     if latest is None:
         return
-    waiting = _of_batch(spark, root, latest)
+    # A last batch that settles all that was open leaves no open row, and those of the batch before are found.
+    settled = _read(spark, root, "settled", _OUTCOME).select(*KEY)
+    waiting = _of_batch(spark, root, latest).join(settled, KEY, "left_anti")
     if runs is not None:
         waiting = waiting.join(runs.select("run_id"), "run_id", "left_semi")
     waiting = stage(waiting, "closing-attempts")

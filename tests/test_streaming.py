@@ -149,3 +149,15 @@ def test_stream_checks_the_parent_and_validates_like_the_batch(spark, tmp_path):
         assert sorted(r.asin for r in loaded_facts(spark, root, INFO).collect()) == expected
         built = build_tables(spark, ids, pages, f"{root}-batch", validate=validate)
         assert sorted(r.asin for r in built.product_info.collect()) == expected
+
+
+def test_a_last_batch_that_settles_all(spark, tmp_path):
+    """It writes no open row; those of the batch before must not be taken for open ones."""
+    arriving, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for attempts in ([("r0", "B1", 1, "retry"), ("r0", "B2", 2, "retry")], [("r0", "B1", 3, "ok"), ("r0", "B2", 4, "ok")]):
+        make_log(spark, attempts).coalesce(1).write.mode("append").parquet(arriving)
+        source = spark.readStream.schema(FETCH_LOG).parquet(arriving)
+        stream_outcomes(source, root, str(tmp_path / "cp")).awaitTermination()
+    close_runs(spark, root)
+    got = sorted((r.asin, r.outcome, r.attempts) for r in outcomes(spark, root).collect())
+    assert got == [("B1", "ok", 2), ("B2", "ok", 2)]
