@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from pagefacts.llm import (
-    bpe, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, topk,
+    bpe, fill_in_middle, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets,
+    sharding, topk,
 )
 from pagefacts.llm.texts import table
 
@@ -63,6 +64,10 @@ def op10_language(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_language": op10_language,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -86,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": mixing.mix_sql(),
         "op8_ngram_join": ngram_join.join_sql(),
         "op9_quality_rules": quality_rules.rules_sql(),
+        "op13_fill_in_middle": fill_in_middle.report_sql(),
     }
