@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ MARKS = {"P": b"<P>", "M": b"<M>", "S": b"<S>"}
 FORMS = {"psm": "PSM", "spm": "SPM"}
 UNITS = 4096
 PIECE_BYTES = 1 << 20
-BATCH_BYTES = 1 << 24
+# Bytes that a Python worker takes on, and hands back, at a time, besides Spark's own batches.
+BATCH_BYTES = 1 << 22
 
 _FACTS = "form string, n bigint, prefix_chars bigint, middle_chars bigint"
 _PIECES = "a bigint, b bigint, doc_id {kind}, " + _FACTS + ", pos bigint, chunk binary, plain_sha256 string"
@@ -87,6 +89,16 @@ def _keyed(id_type: pa.DataType, *columns: tuple[str, pa.DataType]) -> pa.Schema
     return pa.schema([("a", pa.int64()), ("b", pa.int64()), *_facts(id_type, *columns)])
 
 
+def _in_slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """Rows of up to ``BATCH_BYTES`` in the named column together, and never none."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        upto = max(int(np.searchsorted(ends, before + BATCH_BYTES, side="right")), at + 1)
+        yield batch.slice(at, upto - at)
+        at, before = upto, int(ends[upto - 1])
+
+
 def _unit_ends(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where runs of characters that are not white space end; ``ends`` are the ends of texts that are not empty."""
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -105,7 +117,7 @@ def _cut(plain_texts: bool, units: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        for batch in batches:
+        for batch in (some for whole in batches for some in _in_slices(whole, "text")):
             out = out or _Rows(
                 _keyed(
                     batch.schema.field("doc_id").type,
@@ -113,11 +125,12 @@ def _cut(plain_texts: bool, units: int):
                 )
             )
             column = batch.column("text").cast(pa.large_binary())
-            _, offsets, buffer = column.buffers()
-            offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            buffer = column.buffers()[2]
             data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None else np.empty(0, np.uint8)
-            starts, ends = offsets[:-1], offsets[1:]
-            unit_ends = _unit_ends(data[: offsets[-1]], ends[ends > starts])
+            data = data[offsets[0] : offsets[-1]]
+            starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+            unit_ends = _unit_ends(data, ends[ends > starts])
             first = np.searchsorted(unit_ends, starts, side="right").tolist()
             beyond = np.searchsorted(unit_ends, ends, side="right").tolist()
             others = [batch.column(c).to_pylist() for c in ("a", "b", "doc_id", "form", "h1", "h2")]

@@ -11,7 +11,7 @@ import public_tokenizers
 
 from pagefacts.llm import (
     bpe, fill_in_middle, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets,
-    sharding, topk,
+    sharding, spelling_variants, topk,
 )
 from pagefacts.llm.texts import table
 
@@ -64,6 +64,10 @@ def op10_language(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return fill_in_middle.report(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_language": op10_language,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
@@ -92,5 +97,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": mixing.mix_sql(),
         "op8_ngram_join": ngram_join.join_sql(),
         "op9_quality_rules": quality_rules.rules_sql(),
+        "op12_spelling_variants": spelling_variants.variants_sql(),
         "op13_fill_in_middle": fill_in_middle.report_sql(),
     }
