@@ -40,6 +40,8 @@ LONG = 64
 # A deletion is made in the runs whose checksum this divides.
 EVERY = 31
 LEAST_CHARS, LEAST_COUNT, AHEAD = 7, 2, 10
+# Counts grow tenfold from form to form, so 64 bits allow 19 steps; rounds that double them, in SQL.
+ROUNDS = 5
 # Numbers of a task that are made at a time.
 _CELLS = 1 << 21
 
@@ -242,8 +244,13 @@ def variants(docs: DataFrame, *, symbols: int = SYMBOLS, ahead: int = AHEAD, **l
 
 def variants_sql() -> str:
     """The rows of ``variants`` with its defaults as DuckDB SQL: equal texts after taking out a letter meet."""
+    doubled = ",\n    ".join(
+        f"""roots_{i + 1} AS MATERIALIZED (
+      SELECT a.word, coalesce(b.root, a.root) AS root FROM roots_{i} a LEFT JOIN roots_{i} b ON a.root = b.word)"""
+        for i in range(ROUNDS)
+    )
     return rf"""
-    WITH RECURSIVE bytes AS (
+    WITH bytes AS (
       SELECT list(list_reduce([b] || [0, 1, 2, 3, 4, 5, 6, 7],
         lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) AS crc FROM (SELECT range AS b FROM range(256))),
     runs AS (
@@ -268,15 +275,13 @@ def variants_sql() -> str:
       UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
       UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
     best AS (
-      SELECT word, count(*) AS n_near, min({{'n': -n, 'word': other}}) AS best FROM near GROUP BY word),
-    formed AS (
+      SELECT word, count(*) AS n_near, min({{'n': -n, 'word': other}}) AS first FROM near GROUP BY word),
+    formed AS MATERIALIZED (
       SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
-        CASE WHEN -best.n >= {AHEAD} * w.n THEN best.word END AS form,
-        CASE WHEN -best.n >= {AHEAD} * w.n THEN -best.n END AS form_n
+        CASE WHEN -first.n >= {AHEAD} * w.n THEN first.word END AS form,
+        CASE WHEN -first.n >= {AHEAD} * w.n THEN -first.n END AS form_n
       FROM words w LEFT JOIN best USING (word)),
-    steps AS (
-      SELECT word, form AS root, 1 AS step FROM formed WHERE form IS NOT NULL
-      UNION ALL SELECT s.word, f.form, s.step + 1 FROM steps s JOIN formed f ON s.root = f.word WHERE f.form IS NOT NULL),
-    roots AS (SELECT word, max_by(root, step) AS root FROM steps GROUP BY word)
+    roots_0 AS MATERIALIZED (SELECT word, form AS root FROM formed WHERE form IS NOT NULL),
+    {doubled}
     SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
-    FROM formed f LEFT JOIN roots r ON f.word = r.word"""
+    FROM formed f LEFT JOIN roots_{ROUNDS} r ON f.word = r.word"""
