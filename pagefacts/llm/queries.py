@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from pagefacts.llm import (
-    bpe, fill_in_middle, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets,
+    bpe, fill_in_middle, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, reply_trees, secrets,
     sharding, spelling_variants, topk,
 )
 from pagefacts.llm.texts import table
@@ -64,6 +64,10 @@ def op10_language(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark, sf_dir):
+    return reply_trees.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark, sf_dir):
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_language": op10_language,
+        "op11_chat_format": op11_chat_format,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
@@ -97,6 +102,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": mixing.mix_sql(),
         "op8_ngram_join": ngram_join.join_sql(),
         "op9_quality_rules": quality_rules.rules_sql(),
+        "op11_chat_format": reply_trees.report_sql(),
         "op12_spelling_variants": spelling_variants.variants_sql(),
         "op13_fill_in_middle": fill_in_middle.report_sql(),
     }
