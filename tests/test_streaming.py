@@ -10,6 +10,7 @@ from pagefacts.operators.extract import extract_facts
 from pagefacts.plans.build import build_tables
 from pagefacts.schema import FETCH_LOG, PAGE_SNAPSHOT
 from pagefacts.sources.pages import write_new_pages
+from pagefacts.streaming import outcomes as outcome_stream
 from pagefacts.streaming.outcomes import close_runs, outcomes, stream_outcomes
 from pagefacts.streaming.pages import loaded_facts, page_file_stream, page_table_stream, stream_facts
 
@@ -161,3 +162,102 @@ def test_a_last_batch_that_settles_all(spark, tmp_path):
     close_runs(spark, root)
     got = sorted((r.asin, r.outcome, r.attempts) for r in outcomes(spark, root).collect())
     assert got == [("B1", "ok", 2), ("B2", "ok", 2)]
+
+
+def arrive(spark, attempts, arriving, root, checkpoint):
+    """One micro-batch, or none."""
+    if attempts:
+        make_log(spark, attempts).coalesce(1).write.mode("append").parquet(arriving)
+    source = spark.readStream.schema(FETCH_LOG).parquet(arriving)
+    query = stream_outcomes(source, root, checkpoint)
+    query.awaitTermination()
+    return query
+
+
+def test_a_batch_reads_the_state_of_its_own_runs(spark, tmp_path, monkeypatch):
+    """Thirty batches of new runs, one old run in all of them: the state that is read stays the same."""
+    arriving, root, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    read, sizes = outcome_stream._read, []
+
+    def spied(spark, root, name, runs=None):
+        rows = read(spark, root, name, runs)
+        files = [f for f in rows.inputFiles() if "run=none" not in f]
+        assert all(any(f"run={run}" in f for run in runs) for f in files)
+        sizes.append((rows.count(), len(files)))
+        return rows
+
+    for batch in range(30):
+        name = f"r{batch}/ =é"
+        attempts = [(name, "B1", 10 * batch, "ok"), (name, "B2", 10 * batch + 1, "retry")]
+        attempts += [("old", "B7", 10 * batch + 2, "retry")] if batch < 15 else []
+        make_log(spark, attempts).coalesce(1).write.mode("append").parquet(arriving)
+    source = spark.readStream.schema(FETCH_LOG).option("maxFilesPerTrigger", 1).parquet(arriving)
+    monkeypatch.setattr(outcome_stream, "_read", spied)
+    stream_outcomes(source, root, checkpoint).awaitTermination()
+    monkeypatch.undo()
+    late = sizes[-3 * 14 :]
+    assert len(sizes) == 90 and set(late) == {(0, 0)}
+    assert max(n for _, n in sizes) <= 4
+    close_runs(spark, root)
+    got = sorted((r.run_id, r.asin, r.outcome, r.attempts) for r in outcomes(spark, root).collect())
+    expected = [(f"r{b}/ =é", *end) for b in range(30) for end in (("B1", "ok", 1), ("B2", "unscraped", 1))]
+    assert got == sorted([*expected, ("old", "B7", "unscraped", 15)])
+
+
+def test_closing_that_stops_half_way(spark, tmp_path, monkeypatch):
+    """Unscraped rows are written, the runs are not marked: closing again gives every identifier once."""
+    where = [str(tmp_path / n) for n in ("in", "out", "cp")]
+    root, mark = where[1], outcome_stream._mark_closed
+
+    def stops(over, root):
+        raise RuntimeError("stopped")
+
+    def found():
+        return sorted((r.run_id, r.asin, r.outcome, r.attempts) for r in outcomes(spark, root).collect())
+
+    arrive(spark, [("r0", "B1", 1, "retry"), ("r0", "B2", 2, "ok"), ("r1", "B1", 3, "retry")], *where)
+    monkeypatch.setattr(outcome_stream, "_mark_closed", stops)
+    with pytest.raises(RuntimeError):
+        close_runs(spark, root)
+    assert found() == [("r0", "B2", "ok", 1)]
+    # The stream goes on, and settles what had been written as unscraped.
+    arrive(spark, [("r0", "B1", 4, "ok"), ("r0", "B3", 5, "retry")], *where)
+    with pytest.raises(RuntimeError):
+        close_runs(spark, root)
+    # One of the runs is marked before the next stop.
+    monkeypatch.setattr(outcome_stream, "_mark_closed", lambda over, root: mark(over.where("run_id = 'r0'"), root))
+    close_runs(spark, root)
+    r0 = [("r0", "B1", "ok", 2), ("r0", "B2", "ok", 1), ("r0", "B3", "unscraped", 1)]
+    assert found() == r0
+    monkeypatch.setattr(outcome_stream, "_mark_closed", mark)
+    close_runs(spark, root)
+    close_runs(spark, root)
+    assert found() == [*r0, ("r1", "B1", "unscraped", 1)]
+    # Attempts of a closed run change nothing.
+    arrive(spark, [("r0", "B3", 6, "ok"), ("r2", "B1", 7, "ok")], *where)
+    assert found() == [*r0, ("r1", "B1", "unscraped", 1), ("r2", "B1", "ok", 1)]
+
+
+def test_a_batch_without_commit_is_not_there(spark, tmp_path, monkeypatch):
+    """A micro-batch stops after writing its outcomes; its run is closed; the batch runs again."""
+    where = [str(tmp_path / n) for n in ("in", "out", "cp")]
+    root, commit = where[1], outcome_stream._commit
+
+    def stops(spark, root, batch_id, *rest, **mode):
+        if batch_id == 1:
+            raise RuntimeError("stopped")
+        commit(spark, root, batch_id, *rest, **mode)
+
+    def found():
+        return sorted((r.run_id, r.asin, r.outcome, r.attempts) for r in outcomes(spark, root).collect())
+
+    arrive(spark, [("r0", "B1", 1, "retry"), ("r1", "B1", 2, "retry")], *where)
+    monkeypatch.setattr(outcome_stream, "_commit", stops)
+    with pytest.raises(StreamingQueryException):
+        arrive(spark, [("r0", "B1", 3, "ok"), ("r1", "B1", 4, "ok")], *where)
+    monkeypatch.undo()
+    assert found() == []
+    close_runs(spark, root, spark.createDataFrame([("r0",)], "run_id string"))
+    assert found() == [("r0", "B1", "unscraped", 1)]
+    arrive(spark, [], *where)
+    assert found() == [("r0", "B1", "unscraped", 1), ("r1", "B1", "ok", 2)]
