@@ -58,6 +58,13 @@ def id_ingest(spark, sf_dir):
     return identifiers.identifiers(given.id_lines(spark, sf_dir))
 
 
+def id_records(spark, sf_dir):
+    """A list whose records go over several lines, as files."""
+    path = staging.new_folder(spark, "records")
+    given.id_records(spark, sf_dir).write.text(path)
+    return identifiers.read_identifiers(spark, path)
+
+
 def cache_scan(spark, sf_dir):
     """Product pages as cached files hold them: byte order mark, Windows line ends, a file name."""
     named = pages.with_cache_file(given.product_pages(spark, sf_dir))
@@ -89,7 +96,7 @@ def schema_tables(spark, sf_dir):
     root = staging.new_folder(spark, "tables")
     tables.create_tables(spark, root)
     tables.load_ids(id_ingest(spark, sf_dir), root)
-    built = build.build_tables(spark, id_ingest(spark, sf_dir), given.all_pages(spark, sf_dir), root)
+    built = build.build_tables(spark, given.listed_ids(spark, sf_dir), given.all_pages(spark, sf_dir), root)
     counts = [
         df.agg(F.count("*").alias("n_rows")).select(
             F.lit(name).alias("table_name"), F.lit(len(schema.TABLES[name])).alias("n_columns"), "n_rows"
@@ -372,7 +379,7 @@ def stream_facts(spark, sf_dir):
     arriving, root, checkpoint = (staging.new_folder(spark, n) for n in ("arriving", "tables", "checkpoint"))
     given.all_pages(spark, sf_dir).write.parquet(arriving)
     source = stream_pages.page_table_stream(spark, arriving)
-    listed = staging.stage(id_ingest(spark, sf_dir), "listed")
+    listed = staging.stage(given.listed_ids(spark, sf_dir), "listed")
     query = stream_pages.stream_facts(
         source, listed, root, checkpoint, recorded_at=given.recorded_at(), on_unknown="drop"
     )
@@ -393,6 +400,7 @@ def stream_outcome_rows(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {
         "id_ingest": id_ingest,
+        "id_records": id_records,
         "cache_scan": cache_scan,
         "table_scan": table_scan,
         "schema_tables": schema_tables,

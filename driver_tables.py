@@ -25,10 +25,27 @@ def id_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(identifier(F.col("user_id")).alias("value"))
 
 
+def id_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV records of three columns; quoted ones have line breaks, quotes and commas. One text row per record."""
+    key = F.col("p_partkey")
+    name = F.concat(F.lit('"'), "p_name", F.lit('\n""'), "p_brand", F.lit('"", '), "p_type", F.lit('"'))
+    last = (
+        F.when(key % 3 == 0, F.concat(F.lit('"'), identifier(key), F.lit('\n""'), "p_brand", F.lit('"""')))
+        .when(key % 5 == 0, F.concat(F.lit('"'), identifier(key), F.lit('"')))
+        .otherwise(identifier(key))
+    )
+    return table(spark, sf_dir, "part").select(F.concat_ws(",", key.cast("string"), name, last).alias("value"))
+
+
 def part_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(identifier(F.col("p_partkey")).alias("asin"))
 
 
+def listed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine tenths of the parts."""
+    return part_ids(spark, sf_dir).where(~F.endswith("asin", F.lit("7")))
+
+
 def _present(absent: Column, text: Column) -> Column:
     return F.when(absent, F.lit("")).otherwise(text)
 

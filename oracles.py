@@ -10,6 +10,8 @@ from pagefacts import fixed_values as fixed
 
 _ASIN = "'B' || lpad(CAST({} AS VARCHAR), 9, '0')"
 PART_ASIN = _ASIN.format("p_partkey")
+# The identifiers of the lists that pages are selected by.
+LISTED = f"{PART_ASIN} NOT LIKE '%7'"
 USER_ASIN = _ASIN.format("user_id")
 RECORDED_AT = "TIMESTAMP '2024-01-02 03:04:05'"
 
@@ -183,13 +185,16 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         # sources
         "id_ingest": f"WITH {IDS} SELECT asin FROM ids ORDER BY asin",
+        "id_records": f"""
+SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN {PART_ASIN} || chr(10) || '"' || p_brand || '"' ELSE {PART_ASIN} END AS asin
+FROM part ORDER BY asin""",
         "cache_scan": f"WITH {INFO_HTML} SELECT asin, page_kind, html FROM info_html",
         "table_scan": f"WITH {REVIEWS} {_NUMBERED_REVIEWS} ORDER BY id",
         # sinks
-        "schema_tables": f"""WITH {IDS}
-SELECT 'asins' AS table_name, 2 AS n_columns, count(*) AS n_rows FROM ids
-UNION ALL SELECT 'product_info', 7, count(*) FROM part WHERE {PART_ASIN} IN (SELECT asin FROM ids)
-UNION ALL SELECT 'product_reviews', 6, count(*) FROM part WHERE {PART_ASIN} IN (SELECT asin FROM ids)""",
+        "schema_tables": f"""WITH listed AS (SELECT {PART_ASIN} AS asin FROM part WHERE {LISTED})
+SELECT 'asins' AS table_name, 2 AS n_columns, count(*) AS n_rows FROM listed
+UNION ALL SELECT 'product_info', 7, count(*) FROM listed
+UNION ALL SELECT 'product_reviews', 6, count(*) FROM listed""",
         "load_ids": f"WITH {IDS} SELECT asin, {RECORDED_AT} AS recorded_at FROM ids",
         "load_ids_rejected": f"""
 SELECT asin, count(*) AS n_rows
@@ -301,16 +306,16 @@ SELECT key, {", ".join(f"{_cell(c, 'w_' + c)} AS {c}" for c, _ in _DOUBLES)}
 FROM cells CROSS JOIN {_widths([c for c, _ in _DOUBLES], "cells")}""",
         "report_lines": f"WITH {INFO}, {_INFO_CELLS} {_report(_INFO_COLUMNS, 'cells', 'id')}",
         # streaming
-        "stream_facts": f"""WITH {IDS}, {INFO}, {REVIEWS}
+        "stream_facts": f"""WITH {INFO}, {REVIEWS}
 SELECT row_number() OVER (ORDER BY asin) AS id, {RECORDED_AT} AS recorded_at, asin,
        product_name, total_ratings, average_rating, answered_questions,
        CAST(NULL AS INTEGER) AS total_reviews, CAST(NULL AS INTEGER) AS positive_reviews,
        CAST(NULL AS INTEGER) AS critical_reviews
-FROM info WHERE asin IN (SELECT asin FROM ids)
+FROM info WHERE asin NOT LIKE '%7'
 UNION ALL
 SELECT row_number() OVER (ORDER BY asin), {RECORDED_AT}, asin, NULL, NULL, NULL, NULL,
        total_reviews, positive_reviews, critical_reviews
-FROM reviews WHERE asin IN (SELECT asin FROM ids)""",
+FROM reviews WHERE asin NOT LIKE '%7'""",
         "stream_outcomes": f"WITH {OUTCOME} SELECT * FROM outcome",
     }
     for field in ("product_name", "total_ratings", "average_rating", "answered_questions"):

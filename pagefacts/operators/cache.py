@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
 from pagefacts.plans.staging import stage
 
 PAGE_KEY = ["asin", "page_kind"]
-# A list of up to this many keys, some tens of megabytes, goes to the pages; beyond it, rows meet in a shuffle.
-FEW_KEYS = 500_000
 
 
 def cache_hits(requested: DataFrame, cached: DataFrame, *, use_cache: bool = True) -> DataFrame:
@@ -27,15 +26,13 @@ def cache_misses(requested: DataFrame, cached: DataFrame, *, use_cache: bool = T
 
 
 def with_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The rows whose key is listed. ``keys`` is a written table, so counting it reads no columns.
+    """The rows whose key is listed, by one plan for lists of any size.
 
-    A list of a checked size is broadcast, and no row of ``rows`` is shuffled. A longer one
-    means that much of ``rows`` is wanted; Spark then picks the join.
+    A filter of bounded size (see ``membership``) drops nearly all others in the scan, so that
+    hardly a row is shuffled that is not wanted.
     """
     listed = keys.select(*on)
-    if listed.count() <= FEW_KEYS:
-        listed = F.broadcast(listed)
-    return rows.join(listed, list(on), "left_semi")
+    return only_listed(may_be_listed(rows, key_filter(listed, on), on), listed, on)
 
 
 def new_keys(keys: DataFrame, cached: DataFrame | None) -> DataFrame:

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from pagefacts import schema
 from pagefacts.functions.rules import PAGE_KINDS, PageKind
 from pagefacts.functions.text import clean_page
-from pagefacts.operators.cache import FEW_KEYS, PAGE_KEY, cache_misses, with_keys
+from pagefacts.operators.cache import PAGE_KEY, cache_misses, with_keys
 from pagefacts.operators.crawl import (
     KEY, classify, effective_attempts, fetch_outcome, keep_effective, usable,
 )
 from pagefacts.operators.extract import extract_all, extract_errors, extract_facts, facts_of
+from pagefacts.operators.integrity import pk_violations
+from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
 from pagefacts.operators.report import report_lines
+from pagefacts.plans.manifest import Entry, new_data, publish, read_entry
 from pagefacts.plans.staging import stage
-from pagefacts.operators.integrity import pk_violations
 from pagefacts.sources.pages import append_pages
-from pagefacts.sources.tables import create_tables, empty_table, load_facts, load_ids, read_table, table_path
+from pagefacts.sources.tables import read_table, write_facts, write_ids
 
 
 def facts_from_log(log: DataFrame, kind: PageKind, **options) -> DataFrame:
@@ -79,37 +81,39 @@ def build_tables(
     recorded_at: Column | None = None,
     validate: bool = False,
 ) -> Loaded:
-    """Replace the three tables under ``root`` with the given identifiers and their facts.
+    """Replace the three tables under ``root`` with the given identifiers and their facts, in one step at the end.
+
+    A job that fails before leaves the tables as they were.
 
     ``ids`` must be distinct, as ``read_identifiers`` gives them, and ``pages`` hold one page
     per identifier and kind, as the cache does; repeated ones end the job. ``validate`` leaves out pages that
     hold one of the service's error texts; those of a cache were checked when obtained.
 
-    No page is shuffled: a list of identifiers of a checked size selects the pages before they are
-    decoded; a longer one selects among the narrow fact rows.
+    No page is shuffled, and hardly one is decoded that the list does not ask for: a filter of bounded
+    size selects the pages in the scan, and the list itself selects among the narrow fact rows.
     """
-    create_tables(spark, root)
-    load_ids(ids, root, recorded_at)
-    asins = read_table(spark, root, "asins")
-    errors_path = table_path(root, "extract_errors")
-    empty_table(spark, schema.EXTRACT_ERRORS).write.mode("overwrite").parquet(errors_path)
+    tables = {"asins": write_ids(ids, root, Entry(), recorded_at)}
+    asins = read_entry(spark, root, tables["asins"], schema.ASINS)
     # Loading, the error list and the other kind all read the facts; the pages are read once.
-    if asins.count() <= FEW_KEYS:
-        pages = with_keys(pages, asins, ["asin"])
+    pages = may_be_listed(pages, key_filter(asins, ["asin"]), ["asin"])
     if validate:
         pages = pages.where(usable(F.coalesce("html", F.lit(""))))
-    staged = stage(extract_all(pages, PAGE_KINDS).join(asins.select("asin"), "asin", "left_semi"), "facts")
+    staged = stage(only_listed(extract_all(pages, PAGE_KINDS), asins, ["asin"]), "facts")
     double = pk_violations(staged.select(F.concat_ws(" ", *PAGE_KEY).alias("page")), "page").first()
     if double is not None:
         raise ValueError(f"page {double['page']!r} occurs {double['n_rows']} times")
+    errors = Entry()
     for kind in PAGE_KINDS:
         facts = facts_of(staged, kind)
-        load_facts(facts, root, kind, recorded_at=recorded_at, checked=True)
-        extract_errors(facts, kind).write.mode("append").parquet(errors_path)
+        tables[kind.table] = write_facts(facts, root, kind, Entry(), recorded_at=recorded_at)
+        folder = new_data("extract_errors")
+        extract_errors(facts, kind).write.parquet(f"{root}/{folder}")
+        errors = errors.plus(folder, spark.read.schema(schema.EXTRACT_ERRORS).parquet(f"{root}/{folder}").count())
+    publish(spark, root, tables | {"extract_errors": errors})
     return Loaded(
         root=root,
-        extract_errors=spark.read.schema(schema.EXTRACT_ERRORS).parquet(errors_path),
-        **{name: read_table(spark, root, name) for name in schema.TABLES},
+        extract_errors=read_entry(spark, root, errors, schema.EXTRACT_ERRORS),
+        **{name: read_entry(spark, root, tables[name], columns) for name, columns in schema.TABLES.items()},
     )
 
 

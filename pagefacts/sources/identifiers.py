@@ -6,14 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A field is quoted (with "" for a quote, and perhaps text after the closing quote)
-# or runs up to the next comma. Possessive, so that long lines cannot backtrack.
-_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"[^,]*+'
-_PLAIN = r'(?!")[^,]*+'
-_FIELD = rf"(?:{_QUOTED}|{_PLAIN})"
-_WHOLE = rf"(?s)\A{_FIELD}(?:,{_FIELD})*+\z"
-_LAST = rf"(?s)\A(?:{_FIELD},)*+({_FIELD})\z"
-_UNQUOTE = r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"([^,]*+)\z'
+from pagefacts.sources.csv_records import is_whole, last_fields, last_of_whole
 
 
 def checked_path(spark: SparkSession, path: str) -> str:
@@ -29,17 +22,12 @@ def checked_path(spark: SparkSession, path: str) -> str:
 
 def last_field(line: Column) -> Column:
     """Last field of one CSV line. A quoted field that goes on in the next line is an error here."""
-    field = F.regexp_extract(line, _LAST, 1)
-    inner = F.replace(F.regexp_extract(field, _UNQUOTE, 1), F.lit('""'), F.lit('"'))
-    unquoted = F.when(
-        F.startswith(field, F.lit('"')), F.concat(inner, F.regexp_extract(field, _UNQUOTE, 2))
-    ).otherwise(field)
     open_quote = F.raise_error(F.concat(F.lit("record goes on after the end of the line: "), line))
-    return F.when(F.rlike(line, F.lit(_WHOLE)), unquoted).otherwise(open_quote.cast("string"))
+    return F.when(is_whole(line), last_of_whole(line)).otherwise(open_quote.cast("string"))
 
 
 def identifiers(lines: DataFrame, *, line: str = "value", on_blank: str = "fail") -> DataFrame:
-    """Distinct identifiers of CSV lines, in order. Nothing is trimmed or checked for form.
+    """Distinct identifiers of CSV records of one line each, in order. Nothing is trimmed or checked for form.
 
     ``on_blank`` says what a line without any character does: "fail" or "drop".
     """
@@ -55,19 +43,11 @@ def identifiers(lines: DataFrame, *, line: str = "value", on_blank: str = "fail"
     return lines.select(asin.alias("asin")).distinct().orderBy("asin")
 
 
-def read_identifiers(
-    spark: SparkSession, path: str, *, mode: str = "lines", on_blank: str = "fail"
-) -> DataFrame:
-    """Identifier list from a file or folder.
+def read_identifiers(spark: SparkSession, path: str, *, on_blank: str = "fail") -> DataFrame:
+    """Identifier list from a file or folder, in order: any number of fields, line breaks inside quotes, split anywhere.
 
-    "lines" reads one record per line: any number of fields, splits large files.
-    "records" allows line breaks inside quotes; one column only, blank lines are skipped.
+    Building the list writes the lines to a staging table (see ``csv_records``).
     """
     checked_path(spark, path)
-    if mode == "lines":
-        return identifiers(spark.read.text(path), on_blank=on_blank)
-    if mode == "records":
-        table = spark.read.schema("asin STRING").options(escape='"', multiLine=True).csv(path)
-        # An empty quoted field reads as NULL.
-        return table.select(F.coalesce("asin", F.lit("")).alias("asin")).distinct().orderBy("asin")
-    raise ValueError(f"mode: {mode!r}")
+    fields = last_fields(spark, path, on_blank=on_blank)
+    return fields.select(F.col("field").alias("asin")).distinct().orderBy("asin")

@@ -1,4 +1,4 @@
-"""The three target tables: create, load, scan. Parquet folders under one root, or JDBC."""
+"""The three target tables: create, load, scan. Versions of parquet folders under one root (``manifest``), or JDBC."""
 
 from __future__ import annotations
 
@@ -6,28 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagefacts import schema
 from pagefacts.functions.rules import PageKind
 from pagefacts.operators.integrity import fk_violations, pk_violations
+from pagefacts.operators.membership import only_listed
 from pagefacts.operators.ordered import with_dense_id
+from pagefacts.plans.manifest import Entry, entries, new_data, publish, read_entry
 from pagefacts.plans.staging import stage
 
 
-def table_path(root: str, table: str) -> str:
-    return f"{root}/{table}"
-
-
 def create_tables(spark: SparkSession, root: str) -> None:
-    """Create or replace the tables, empty. The children first, so that none is left under an empty parent."""
-    for name, columns in reversed(schema.TABLES.items()):
-        empty_table(spark, columns).write.mode("overwrite").parquet(table_path(root, name))
-
-
-def empty_table(spark: SparkSession, columns: T.StructType) -> DataFrame:
-    typed = [F.lit(None).cast(c.dataType).alias(c.name) for c in columns]
-    return spark.range(0, 0, 1, 1).select(*typed)
+    """Create or replace the tables, empty, in one step; what was there is readable until then."""
+    publish(spark, root, dict.fromkeys(schema.TABLES, Entry()))
 
 
 def scan_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -37,7 +28,14 @@ def scan_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(schema.TABLES[table]).parquet(table_path(root, table))
+    """A table as the current version has it, also for readers that are slower than the next load."""
+    return read_entry(spark, root, _entry(entries(spark, root), root, table), schema.TABLES[table])
+
+
+def _entry(tables: dict[str, Entry], root: str, table: str) -> Entry:
+    if table not in tables:
+        raise ValueError(f"no table {table} under {root}")
+    return tables[table]
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -54,17 +52,26 @@ def rejected_ids(ids: DataFrame, asins: DataFrame) -> DataFrame:
     return pk_violations(asins.select("asin").unionByName(ids.select("asin")), "asin")
 
 
-def load_ids(ids: DataFrame, root: str, recorded_at: Column | None = None) -> None:
-    """Add identifiers with the load time, one value for the whole load.
+def write_ids(ids: DataFrame, root: str, before: Entry, recorded_at: Column | None = None) -> Entry:
+    """Write identifiers to a folder of their own: the table's entry with them, to be published.
 
     An identifier that is repeated or already present ends the load before anything is written.
     """
+    spark = ids.sparkSession
     ids = stage(ids.select("asin"), "ids")
-    double = rejected_ids(ids, read_table(ids.sparkSession, root, "asins")).first()
+    double = rejected_ids(ids, read_entry(spark, root, before, schema.ASINS)).first()
     if double is not None:
         raise ValueError(f"asins: asin {double['asin']!r} would occur {double['n_rows']} times")
-    stamped = ids.select("asin", _stamp(recorded_at).alias("recorded_at"))
-    conform(stamped, "asins").write.mode("append").parquet(table_path(root, "asins"))
+    folder = new_data("asins")
+    conform(ids.select("asin", _stamp(recorded_at).alias("recorded_at")), "asins").write.parquet(f"{root}/{folder}")
+    return before.plus(folder, ids.count())
+
+
+def load_ids(ids: DataFrame, root: str, recorded_at: Column | None = None) -> None:
+    """Add identifiers with the load time, one value for the whole load; all of them or, if a key is broken, none."""
+    spark = ids.sparkSession
+    tables = entries(spark, root)
+    publish(spark, root, tables | {"asins": write_ids(ids, root, _entry(tables, root, "asins"), recorded_at)})
 
 
 def numbered_facts(
@@ -81,6 +88,23 @@ def numbered_facts(
     return conform(numbered.withColumn("recorded_at", _stamp(recorded_at)), kind.table)
 
 
+def write_facts(
+    facts: DataFrame,
+    root: str,
+    kind: PageKind,
+    before: Entry,
+    *,
+    order: Sequence[str] = ("asin",),
+    recorded_at: Column | None = None,
+) -> Entry:
+    """Write facts to a folder of their own: the table's entry with them, to be published. Ids go on after the last one."""
+    folder = new_data(kind.table)
+    path = f"{root}/{folder}"
+    numbered_facts(facts, kind, order=order, recorded_at=recorded_at, start=before.last_id + 1).write.parquet(path)
+    n_rows = facts.sparkSession.read.schema(schema.TABLES[kind.table]).parquet(path).count()
+    return before.plus(folder, n_rows, before.last_id + n_rows)
+
+
 def load_facts(
     facts: DataFrame,
     root: str,
@@ -91,7 +115,7 @@ def load_facts(
     on_unknown: str = "fail",
     checked: bool = False,
 ) -> None:
-    """Append the facts of one page kind; ids go on after the highest one present.
+    """Append the facts of one page kind; ids go on after the last one, which the manifest holds.
 
     Rows of identifiers the parent table does not know end the load before
     anything is written ("fail") or stay out ("drop", see ``fk_violations`` for
@@ -100,17 +124,17 @@ def load_facts(
     if on_unknown not in ("fail", "drop"):
         raise ValueError(f"on_unknown: {on_unknown!r}")
     spark = facts.sparkSession
+    tables = entries(spark, root)
     if not checked:
-        asins = read_table(spark, root, "asins")
+        asins = read_entry(spark, root, _entry(tables, root, "asins"), schema.ASINS)
         if on_unknown == "drop":
-            facts = facts.join(asins.select("asin"), "asin", "left_semi")
+            facts = only_listed(facts, asins, ["asin"])
         else:
             unknown = fk_violations(facts, asins).first()
             if unknown is not None:
                 raise ValueError(f"{kind.table}: asin {unknown['asin']!r} is not in asins")
-    highest = read_table(spark, root, kind.table).agg(F.max("id")).first()[0] or 0
-    rows = numbered_facts(facts, kind, order=order, recorded_at=recorded_at, start=highest + 1)
-    rows.write.mode("append").parquet(table_path(root, kind.table))
+    added = write_facts(facts, root, kind, _entry(tables, root, kind.table), order=order, recorded_at=recorded_at)
+    publish(spark, root, tables | {kind.table: added})
 
 
 def check_primary_keys(spark: SparkSession, root: str) -> None:

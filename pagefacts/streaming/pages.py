@@ -12,9 +12,10 @@ from pagefacts.functions.rules import PAGE_KINDS, PageKind
 from pagefacts.operators.crawl import usable
 from pagefacts.operators.extract import extract_all, extract_errors, facts_of
 from pagefacts.operators.integrity import fk_violations
+from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
 from pagefacts.plans.staging import scratch, stage
 from pagefacts.sources.pages import scanned_file_name, snapshot
-from pagefacts.sources.tables import numbered_facts, table_path
+from pagefacts.sources.tables import numbered_facts
 
 
 def page_table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +44,7 @@ def stream_facts(
     """Load the facts of arriving pages into the tables under ``root``.
 
     Pages of identifiers that ``asins`` does not list end the stream ("fail") or stay out
-    ("drop"). ``validate`` leaves out pages that hold one of the service's error texts, as in
+    ("drop"), nearly all of them before they are decoded. ``validate`` leaves out pages that hold one of the service's error texts, as in
     ``build_tables``. Stops when caught up, unless another trigger is given
     (``processingTime="1 minute"``). ``root`` and ``checkpoint`` belong together: start both
     anew, or neither.
@@ -61,10 +62,12 @@ def stream_facts(
         with scratch(spark):
             if validate:
                 batch = batch.where(usable(F.coalesce("html", F.lit(""))))
+            if on_unknown == "drop":
+                batch = may_be_listed(batch, key_filter(asins, ["asin"]), ["asin"])
             # Everything below reads the facts; the pages are read once.
             staged = stage(extract_all(batch, kinds), "facts")
             if on_unknown == "drop":
-                staged = staged.join(asins.select("asin"), "asin", "left_semi")
+                staged = only_listed(staged, asins, ["asin"])
             else:
                 unknown = fk_violations(staged, asins).first()
                 if unknown is not None:
@@ -72,14 +75,14 @@ def stream_facts(
             for kind in kinds:
                 facts = facts_of(staged, kind)
                 last = _last_id(spark, root, kind, batch_id)
-                path = f"{table_path(root, kind.table)}/batch_id={batch_id}"
+                path = f"{root}/{kind.table}/batch_id={batch_id}"
                 numbered_facts(facts, kind, recorded_at=recorded_at, start=last + 1).write.mode("overwrite").parquet(path)
                 loaded = spark.read.schema(schema.TABLES[kind.table]).parquet(path)
                 entry = loaded.agg(F.count("*").alias("n_rows"), F.coalesce(F.max("id"), F.lit(last)).alias("last_id"))
                 entry.coalesce(1).write.mode("overwrite").parquet(f"{_ledger(root, kind)}/batch_id={batch_id}")
                 errors = extract_errors(facts, kind).drop("page_kind")
                 errors.write.mode("overwrite").parquet(
-                    f"{table_path(root, 'extract_errors')}/page_kind={kind.name}/batch_id={batch_id}"
+                    f"{root}/extract_errors/page_kind={kind.name}/batch_id={batch_id}"
                 )
 
     return (
@@ -105,4 +108,4 @@ def _last_id(spark: SparkSession, root: str, kind: PageKind, batch_id: int) -> i
 def loaded_facts(spark: SparkSession, root: str, kind: PageKind) -> DataFrame:
     """The table a stream has loaded so far, with the batch each row came in."""
     columns = T.StructType([*schema.TABLES[kind.table], T.StructField("batch_id", T.IntegerType())])
-    return spark.read.schema(columns).parquet(table_path(root, kind.table))
+    return spark.read.schema(columns).parquet(f"{root}/{kind.table}")

@@ -1,9 +1,16 @@
+import re
+
+import pytest
 from conftest import physical_plan
 from pyspark.sql import functions as F
 
-from pagefacts.functions.rules import cache_file, parse_cache_file, target_url
-from pagefacts.operators.cache import cache_hits, cache_misses, new_pages
+from pagefacts.functions.rules import INFO, cache_file, parse_cache_file, target_url
+from pagefacts.operators.cache import PAGE_KEY, cache_hits, cache_misses, new_pages
+from pagefacts.operators.extract import extract_all, extract_facts
+from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
+from pagefacts.plans.build import build_tables
 from pagefacts.sources.pages import read_page_files, read_page_table, write_new_pages
+from pagefacts.streaming.pages import loaded_facts, page_table_stream, stream_facts
 
 
 def rows(df):
@@ -66,7 +73,7 @@ def test_cache(spark, tmp_path):
 
 
 def test_only_new_pages_cross_a_shuffle(spark, tmp_path):
-    """A nearly full cache: the few new keys select the pages, whatever Spark's own limit for broadcasts."""
+    """A nearly full cache: the filter on the few new keys selects the pages, whatever Spark's own limit for broadcasts."""
     path, limit = str(tmp_path / "pages"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     schema = "asin string, page_kind string, html string"
     spark.createDataFrame([(f"B{i}", "info", f"page {i}") for i in range(50)], schema).write.parquet(path)
@@ -76,12 +83,64 @@ def test_only_new_pages_cross_a_shuffle(spark, tmp_path):
     try:
         added = new_pages(found, held)
         once, several = physical_plan(added).split("SortAggregate", 1)
-        assert "hashpartitioning" not in once and "BroadcastHashJoin" in once
-        # Texts are grouped above the join that selects the repeated keys.
-        assert several.index("hashpartitioning") < several.index("BroadcastHashJoin")
+        # In both, what is shuffled stands above the join with the filter.
+        assert once.index("hashpartitioning(asin") < once.index("BroadcastHashJoin")
+        facts = physical_plan(only_listed(extract_facts(may_be_listed(found, key_filter(held, ["asin"]), ["asin"]), INFO), held, ["asin"]))
+        # From the bottom: the filter, the decoder, a shuffle of facts.
+        assert facts.index("hashpartitioning(asin") < facts.index("ArrowEvalPython") < facts.index("BroadcastHashJoin")
+        assert several.index("hashpartitioning(asin") < several.index("BroadcastHashJoin")
+        assert rows(may_be_listed(found, key_filter(found.where("asin = 'B7'"), PAGE_KEY), PAGE_KEY)) == [("B7", "info", "page 7")]
         assert rows(added) == [("B7", "info", "page 7")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     twice = spark.createDataFrame([("B1", "info", "b", 2), ("B1", "info", "a", 3)], f"{schema}, seq int")
     assert rows(new_pages(twice)) == [("B1", "info", "a")]
     assert rows(new_pages(twice, first_by=F.col("seq"))) == [("B1", "info", "b")]
+
+
+def test_key_filter(spark):
+    """Every listed key passes, hardly any other, and the plan does not depend on the length of the list."""
+    keys = spark.range(300_000).select(F.concat(F.lit("B"), F.col("id").cast("string")).alias("asin"), F.lit("info").alias("page_kind"))
+    rows, plans = keys.where("asin >= 'B2'").withColumn("html", F.lit("x")), set()
+    for n, share in ((10, 0), (20_000, 0.001), (120_000, 0.001)):
+        listed = keys.limit(n)
+        passed = may_be_listed(rows, key_filter(listed, PAGE_KEY), PAGE_KEY)
+        assert passed.columns == rows.columns
+        wanted = rows.join(listed, PAGE_KEY, "left_semi").count()
+        assert passed.join(listed, PAGE_KEY, "left_semi").count() == wanted
+        assert passed.count() - wanted <= share * rows.count()
+        plans.add(re.sub(r"#\d+L?|key-filter-\w+|plan_id=\d+|Location.*?\]", "", physical_plan(passed)))
+    assert len(plans) == 1
+    none = may_be_listed(rows, key_filter(keys.where("false"), PAGE_KEY), PAGE_KEY)
+    assert none.count() == 0
+    # A full filter lets everything pass, and loses nothing.
+    assert may_be_listed(rows, key_filter(keys, PAGE_KEY, blocks=1), PAGE_KEY, blocks=1).count() == rows.count()
+
+
+def test_pages_that_no_list_asks_for_are_not_decoded(spark, tmp_path):
+    """Counted where the pages go to Python, in a batch and in a stream."""
+    schema, ids = "asin string, page_kind string, html string", listed_ids(spark)
+    pages = spark.createDataFrame([(f"B{i}", "info", f"<title>{i}</title>") for i in range(2000)], schema)
+    seen = []
+
+    def counted(df, kinds, **options):
+        seen.append(df.count())
+        return extract_all(df, kinds, **options)
+
+    patch = pytest.MonkeyPatch()
+    patch.setattr("pagefacts.plans.build.extract_all", counted)
+    patch.setattr("pagefacts.streaming.pages.extract_all", counted)
+    try:
+        built = build_tables(spark, ids, pages, str(tmp_path / "db"))
+        assert built.product_info.count() == 50
+        pages.write.parquet(str(tmp_path / "in"))
+        source = page_table_stream(spark, str(tmp_path / "in"))
+        stream_facts(source, ids, str(tmp_path / "sdb"), str(tmp_path / "cp"), on_unknown="drop").awaitTermination()
+    finally:
+        patch.undo()
+    assert loaded_facts(spark, str(tmp_path / "sdb"), INFO).count() == 50
+    assert len(seen) == 2 and all(50 <= n <= 52 for n in seen)
+
+
+def listed_ids(spark):
+    return spark.createDataFrame([(f"B{i}",) for i in range(50)], "asin string")

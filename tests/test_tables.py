@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from pagefacts import schema
 from pagefacts.functions.rules import INFO, REVIEWS
-from pagefacts.operators.cache import with_keys
 from pagefacts.operators.extract import extract_facts
 from pagefacts.operators.integrity import fk_violations, pk_violations, product_360
+from pagefacts.operators.membership import key_filter, may_be_listed
+from pagefacts.plans import manifest
 from pagefacts.plans.build import build_tables, cache_from_log, facts_from_log, write_reports
 from pagefacts.schema import FETCH_LOG, PAGE_SNAPSHOT
 from pagefacts.sources import tables
@@ -87,7 +88,9 @@ def test_primary_keys(spark, tmp_path):
         tables.load_ids(ids(spark, "B3", "B2"), root)
     assert sorted(r.asin for r in tables.read_table(spark, root, "asins").collect()) == ["B1", "B2"]
     tables.check_primary_keys(spark, root)
-    ids(spark, "B1").withColumn("recorded_at", stamp()).write.mode("append").parquet(f"{root}/asins")
+    held = manifest.entries(spark, root)
+    again = tables.write_ids(ids(spark, "B1"), root, manifest.Entry(), stamp())
+    manifest.publish(spark, root, held | {"asins": held["asins"].plus(again.folders[0], 1)})
     with pytest.raises(ValueError, match="B1"):
         tables.check_primary_keys(spark, root)
 
@@ -107,7 +110,7 @@ def test_unlisted_pages_do_not_reach_the_decoder(spark, tmp_path):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        wanted = with_keys(spark.read.parquet(path), ids(spark, "B1"), ["asin"])
+        wanted = may_be_listed(spark.read.parquet(path), key_filter(ids(spark, "B1"), ["asin"]), ["asin"])
         plan = physical_plan(extract_facts(wanted, INFO))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
@@ -193,3 +196,47 @@ def test_jdbc_options():
         "url": "jdbc:postgresql://db.example.com:5432/shop", "user": "me", "password": "pw", "driver": "org.postgresql.Driver",
     }
     assert "driver" not in tables.jdbc_options(dialect="mysql", host="h", port="1", database="d", user="u", password="p")
+
+
+def test_a_build_that_fails_leaves_the_tables(spark, tmp_path):
+    root, page = str(tmp_path), ("B1", "info", "<title>Amazon.com: One</title>")
+    pages = spark.createDataFrame([page], PAGE_SNAPSHOT)
+    built = build_tables(spark, ids(spark, "B1"), pages, root)
+    assert [r.product_name for r in built.product_info.collect()] == ["One"]
+    for broken_ids, broken_pages in ((ids(spark, "B2", "B2"), pages), (ids(spark, "B1", "B2"), pages.union(pages))):
+        with pytest.raises(ValueError):
+            build_tables(spark, broken_ids, broken_pages, root)
+        assert [r.asin for r in tables.read_table(spark, root, "asins").collect()] == ["B1"]
+        assert [r.product_name for r in tables.read_table(spark, root, "product_info").collect()] == ["One"]
+    slow = tables.read_table(spark, root, "product_info")
+    build_tables(spark, ids(spark, "B3"), pages, root)
+    assert [r.product_name for r in slow.collect()] == ["One"]
+    assert tables.read_table(spark, root, "product_info").count() == 0
+    manifest.empty_old_versions(spark, root)
+    assert [r.asin for r in tables.read_table(spark, root, "asins").collect()] == ["B3"]
+    assert sum(f.stat().st_size > 1500 for f in (tmp_path / "product_info").glob("*/*.parquet")) == 0
+
+
+def test_no_load_reads_earlier_facts(spark, tmp_path):
+    root = str(tmp_path)
+    tables.create_tables(spark, root)
+    tables.load_ids(ids(spark, "B1", "B2", "B3"), root)
+    tables.load_facts(info_facts(spark, "B1", "B2"), root, INFO)
+    held = manifest.entries(spark, root)["product_info"]
+    assert (held.n_rows, held.last_id, len(held.folders)) == (2, 2, 1)
+    (tmp_path / held.folders[0]).rename(tmp_path / "away")
+    tables.load_facts(info_facts(spark, "B3"), root, INFO)
+    (tmp_path / "away").rename(tmp_path / held.folders[0])
+    got = sorted((r.id, r.asin) for r in tables.read_table(spark, root, "product_info").collect())
+    assert got == [(1, "B1"), (2, "B2"), (3, "B3")]
+
+
+def test_versions(spark, tmp_path):
+    root = str(tmp_path)
+    assert manifest.current_version(spark, root) == -1 and manifest.entries(spark, root) == {}
+    with pytest.raises(ValueError, match="no table asins"):
+        tables.read_table(spark, root, "asins")
+    tables.create_tables(spark, root)
+    # A manifest that is still being written is no version.
+    (tmp_path / "manifest" / "version=1" / "_temporary").mkdir(parents=True)
+    assert manifest.current_version(spark, root) == 0
