@@ -20,21 +20,42 @@ def snapshot(files: DataFrame, file_name: Column, text: Column, kinds=PAGE_KINDS
     )
 
 
+def plain_name(encoded: Column) -> Column:
+    """A file name as it is; Spark gives it percent-encoded, plus signs as they are."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def scanned_file_name() -> Column:
-    """Plain name of the file a row was read from; Spark gives it percent-encoded, plus signs as they are."""
-    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    """Plain name of the file a row was read from."""
+    return plain_name(F.col("_metadata.file_name"))
+
+
+def empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name) of the files of no bytes, which no scan gives a row for.
+
+    Those listed and those that can be scanned meet by path. No content is read; the listing
+    is the one Spark keeps on the driver for any scan.
+    """
+
+    def one_form(path: Column) -> Column:
+        return F.regexp_replace(path, "^file:/+", "file:/")
+
+    scan = spark.read.format("binaryFile").load(folder)
+    listed = spark.createDataFrame([(path,) for path in scan.inputFiles()], "path string").select(one_form(F.col("path")).alias("path"))
+    scanned = scan.select(one_form(F.col("_metadata.file_path")).alias("path"))
+    empty = listed.join(scanned, "path", "left_anti")
+    return empty.select(plain_name(F.element_at(F.split("path", "/"), -1)).alias("file_name"))
 
 
 def read_page_files(spark: SparkSession, folder: str, kinds=PAGE_KINDS) -> DataFrame:
     """Cached pages of a folder, one file per page.
 
     For many pages read them once and keep them with ``write_new_pages``: a table has
-    far fewer files, and its partitions by kind can be read apart.
-
-    Spark passes over files of no bytes; a cached empty page still has its byte order mark.
+    far fewer files, and its partitions by kind can be read apart. A file of no bytes is an empty page.
     """
     files = spark.read.text(folder, wholetext=True)
-    return snapshot(files, scanned_file_name(), F.col("value"), kinds)
+    found = snapshot(files, scanned_file_name(), F.col("value"), kinds)
+    return found.unionByName(snapshot(empty_files(spark, folder), F.col("file_name"), F.lit(""), kinds))
 
 
 def read_page_table(spark: SparkSession, path: str) -> DataFrame:

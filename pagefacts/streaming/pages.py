@@ -9,9 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagefacts import schema
 from pagefacts.functions.rules import PAGE_KINDS, PageKind
+from pagefacts.operators.cache import PAGE_KEY
 from pagefacts.operators.crawl import usable
 from pagefacts.operators.extract import extract_all, extract_errors, facts_of
-from pagefacts.operators.integrity import fk_violations
+from pagefacts.operators.integrity import fk_violations, pk_violations
 from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
 from pagefacts.plans.staging import scratch, stage
 from pagefacts.sources.pages import scanned_file_name, snapshot
@@ -52,7 +53,12 @@ def stream_facts(
     Every micro-batch overwrites its own folder, so a batch that is run again after a
     failure replaces its rows instead of adding them twice. Texts that did not convert
     go to ``extract_errors`` in the same way. Ids go on after those of the batch before,
-    which a ledger holds: one row per batch and table, so no batch scans earlier ones.
+    which a ledger holds: one row per batch and table, so no batch scans earlier ones for them.
+
+    A page that comes again ends the stream, as it ends ``build_tables``, in one batch or in several. The facts
+    of a batch are sorted by identifier, and the ledger knows the first and last one of every batch: only batches whose
+    range meets that of the new pages are looked at, and of these only that range. A crawl goes through
+    its list in order, so few do.
     """
     if on_unknown not in ("fail", "drop"):
         raise ValueError(f"on_unknown: {on_unknown!r}")
@@ -72,13 +78,22 @@ def stream_facts(
                 unknown = fk_violations(staged, asins).first()
                 if unknown is not None:
                     raise ValueError(f"asin {unknown['asin']!r} is not in asins")
-            for kind in kinds:
-                facts = facts_of(staged, kind)
-                last = _last_id(spark, root, kind, batch_id)
+            double = pk_violations(staged.select(F.concat_ws(" ", *PAGE_KEY).alias("page")), "page").first()
+            if double is not None:
+                raise ValueError(f"page {double['page']!r} occurs {double['n_rows']} times")
+            ledgers = {kind: _ledger_before(spark, root, kind, batch_id) for kind in kinds}
+            for kind, ledger in ledgers.items():
+                again = _loaded_before(facts_of(staged, kind), root, kind, ledger["ranges"]).first()
+                if again is not None:
+                    raise ValueError(f"page '{again['asin']} {kind.name}' was loaded before")
+            for kind, ledger in ledgers.items():
+                facts, last = facts_of(staged, kind), ledger["last_id"]
                 path = f"{root}/{kind.table}/batch_id={batch_id}"
                 numbered_facts(facts, kind, recorded_at=recorded_at, start=last + 1).write.mode("overwrite").parquet(path)
                 loaded = spark.read.schema(schema.TABLES[kind.table]).parquet(path)
-                entry = loaded.agg(F.count("*").alias("n_rows"), F.coalesce(F.max("id"), F.lit(last)).alias("last_id"))
+                n_rows, first, final = loaded.agg(F.count("*"), F.min("asin"), F.max("asin")).first()
+                ranges = [*ledger["ranges"], *([(batch_id, first, final)] if n_rows else [])]
+                entry = spark.createDataFrame([(n_rows, last + n_rows, ranges)], _LEDGER)
                 entry.coalesce(1).write.mode("overwrite").parquet(f"{_ledger(root, kind)}/batch_id={batch_id}")
                 errors = extract_errors(facts, kind).drop("page_kind")
                 errors.write.mode("overwrite").parquet(
@@ -97,12 +112,27 @@ def _ledger(root: str, kind: PageKind) -> str:
     return f"{root}/_ledger/{kind.table}"
 
 
-def _last_id(spark: SparkSession, root: str, kind: PageKind, batch_id: int) -> int:
-    """The last id of the batch before this one, from its ledger entry."""
+# The rows of a batch, the last id so far, and the range of identifiers of every batch that has any.
+_LEDGER = "n_rows long, last_id long, ranges array<struct<batch_id:long,first:string,last:string>>"
+
+
+def _ledger_before(spark: SparkSession, root: str, kind: PageKind, batch_id: int) -> dict:
+    """The ledger entry of the batch before this one."""
     if batch_id == 0:
-        return 0
-    entry = spark.read.schema("n_rows long, last_id long").parquet(f"{_ledger(root, kind)}/batch_id={batch_id - 1}")
-    return entry.first()["last_id"]
+        return {"last_id": 0, "ranges": []}
+    entry = spark.read.schema(_LEDGER).parquet(f"{_ledger(root, kind)}/batch_id={batch_id - 1}")
+    return entry.first().asDict()
+
+
+def _loaded_before(facts: DataFrame, root: str, kind: PageKind, ranges: list) -> DataFrame:
+    """(asin) of facts that an earlier batch has loaded; reads only batches and ranges of identifiers that overlap."""
+    low, high = facts.agg(F.min("asin"), F.max("asin")).first()
+    met = [batch_id for batch_id, first, last in ranges if low is not None and first <= high and low <= last]
+    if not met:
+        return facts.select("asin").where(F.lit(False))
+    folders = [f"{root}/{kind.table}/batch_id={batch_id}" for batch_id in met]
+    earlier = facts.sparkSession.read.schema(schema.TABLES[kind.table]).parquet(*folders).select("asin")
+    return earlier.where(F.col("asin").between(low, high)).join(facts.select("asin"), "asin", "left_semi")
 
 
 def loaded_facts(spark: SparkSession, root: str, kind: PageKind) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from conftest import physical_plan
 from pyspark.sql import functions as F
 
-from pagefacts.functions.rules import INFO, cache_file, parse_cache_file, target_url
+from pagefacts.functions.rules import INFO, REVIEWS, cache_file, parse_cache_file, target_url
 from pagefacts.operators.cache import PAGE_KEY, cache_hits, cache_misses, new_pages
 from pagefacts.operators.extract import extract_all, extract_facts
 from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
@@ -45,12 +45,17 @@ def test_page_files(spark, tmp_path):
     (folder / "B 2+%20ü.html").write_text("odd name", encoding="utf-8")
     (folder / "empty.html").write_bytes(b"\xef\xbb\xbf")
     (folder / "notes.txt").write_text("no page")
+    (folder / "reviews-B 3+%20ü.html").write_bytes(b"")
+    (folder / "notes2.txt").write_bytes(b"")
     got = rows(read_page_files(spark, str(folder)))
     assert ("B1", "info", "<p>\nä\n</p>\n") in got
     assert ("B1", "reviews", "r") in got
     assert ("B 2+%20ü", "info", "odd name") in got
     assert ("empty", "info", "") in got
-    assert len(got) == 4
+    assert ("B 3+%20ü", "reviews", "") in got
+    assert len(got) == 5
+    (facts,) = extract_facts(read_page_files(spark, str(folder)).where("asin = 'B 3+%20ü'"), REVIEWS).collect()
+    assert (facts.total_reviews, facts.positive_reviews, facts.critical_reviews) == (0, 0, 0)
 
 
 def test_cache(spark, tmp_path):

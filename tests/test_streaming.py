@@ -11,6 +11,7 @@ from pagefacts.plans.build import build_tables
 from pagefacts.schema import FETCH_LOG, PAGE_SNAPSHOT
 from pagefacts.sources.pages import write_new_pages
 from pagefacts.streaming import outcomes as outcome_stream
+from pagefacts.streaming import pages as page_stream
 from pagefacts.streaming.outcomes import close_runs, outcomes, stream_outcomes
 from pagefacts.streaming.pages import loaded_facts, page_file_stream, page_table_stream, stream_facts
 
@@ -261,3 +262,35 @@ def test_a_batch_without_commit_is_not_there(spark, tmp_path, monkeypatch):
     assert found() == [("r0", "B1", "unscraped", 1)]
     arrive(spark, [], *where)
     assert found() == [("r0", "B1", "unscraped", 1), ("r1", "B1", "ok", 2)]
+
+
+def test_a_page_that_comes_again_ends_the_stream(spark, tmp_path, monkeypatch):
+    """In one batch or in several, as in a batch job; only batches that overlap are looked at."""
+    arriving, root, checkpoint = (str(tmp_path / n) for n in ("in", "db", "cp"))
+    ids = listed(spark, *(f"B{i}" for i in range(10)))
+    looked = []
+    found_before = page_stream._loaded_before
+
+    def spied(*args):
+        rows = found_before(*args)
+        looked.append(len({f.split("batch_id=")[1].split("/")[0] for f in rows.inputFiles() if "/product_info/batch_id=" in f}))
+        return rows
+
+    monkeypatch.setattr(page_stream, "_loaded_before", spied)
+
+    def run(*names, again=None):
+        page_rows = pages(spark, names)
+        (page_rows if again is None else page_rows.union(page_rows)).coalesce(1).write.mode("append").parquet(arriving)
+        stream_facts(page_table_stream(spark, arriving), ids, root, checkpoint).awaitTermination()
+
+    run("B1", "B2")
+    run("B3", "B4")
+    run("B5")
+    assert looked == [0] * 6
+    with pytest.raises(StreamingQueryException, match="page 'B4 info' was loaded before"):
+        run("B4", "B6")
+    assert looked[6] == 2
+    assert sorted((r.id, r.asin) for r in loaded_facts(spark, root, INFO).collect()) == [(i, f"B{i}") for i in range(1, 6)]
+    arriving, root, checkpoint = (str(tmp_path / n) for n in ("in2", "db2", "cp2"))
+    with pytest.raises(StreamingQueryException, match="page 'B7 (info|reviews)' occurs 2 times"):
+        run("B7", again=True)
