@@ -17,12 +17,12 @@ import oracles  # noqa: E402
 from pagefacts import fixed_values as fixed  # noqa: E402
 from pagefacts import schema  # noqa: E402
 from pagefacts.functions.rules import (  # noqa: E402
-    INFO, REVIEWS, ExtractRule, cache_file, parse_cache_file, target_url,
+    INFO, PAGE_KINDS, REVIEWS, ExtractRule, PageKind, cache_file, parse_cache_file, target_url,
 )
 from pagefacts.functions.text import html_unescape, to_float, to_int  # noqa: E402
 from pagefacts.operators import cache, crawl, extract, integrity, ordered, report  # noqa: E402
-from pagefacts.plans import build, staging  # noqa: E402
-from pagefacts.sources import identifiers, pages, tables  # noqa: E402
+from pagefacts.plans import build, job, staging  # noqa: E402
+from pagefacts.sources import fetch_log, identifiers, pages, tables  # noqa: E402
 from pagefacts.streaming import outcomes as stream_outcomes  # noqa: E402
 from pagefacts.streaming import pages as stream_pages  # noqa: E402
 
@@ -73,6 +73,13 @@ def cache_scan(spark, sf_dir):
     return pages.snapshot(files, F.col("file_name"), F.col("value"))
 
 
+def fetch_log_scan(spark, sf_dir):
+    """The fetch log as a crawl leaves it: files, read with the declared schema."""
+    path = staging.new_folder(spark, "fetch-log")
+    given.fetch_log(spark, sf_dir).write.parquet(path)
+    return fetch_log.read_fetch_log(spark, path)
+
+
 def table_scan(spark, sf_dir):
     return tables.scan_table(spark, _loaded(spark, sf_dir, REVIEWS), "product_reviews")
 
@@ -149,9 +156,29 @@ def cache_new_pages(spark, sf_dir):
     return pages.read_page_table(spark, folder)
 
 
+def job_tables(spark, sf_dir):
+    """The whole job from its command line: product facts, and whether they have the load's time."""
+    ids, cached, root = (staging.new_folder(spark, n) for n in ("records", "cache", "tables"))
+    given.id_records(spark, sf_dir).write.text(ids)
+    pages.write_new_pages(given.all_pages(spark, sf_dir), cached)
+    now = "SELECT localtimestamp() AS now"
+    started = spark.sql(now).first()["now"]
+    job.run(spark, job.arguments(["-i", ids, "--pages", cached, "--tables", root]))
+    in_time = F.col("recorded_at").between(F.lit(started), F.lit(spark.sql(now).first()["now"]))
+    loaded = tables.read_table(spark, root, "product_info")
+    return loaded.withColumn("in_time", in_time).drop("recorded_at")
+
+
 # Projections
 
 
+def column_names(spark, sf_dir):
+    """Column names with their table and schema before them."""
+    name = F.concat(F.lit("public."), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("."), "p_name")
+    named = given.table(spark, sf_dir, "part").select("p_partkey", name.alias("qualified"))
+    return named.withColumn("name", report.column_name(F.col("qualified")))
+
+
 def _ids_by_kind(ids):
     return ids.select("asin", F.explode(F.array(F.lit("info"), F.lit("reviews"))).alias("page_kind"))
 
@@ -204,6 +231,26 @@ def regex_extract(spark, sf_dir):
     return extract.extract(given.table(spark, sf_dir, "pages"), rules, keep=["page_id"], on_error="null")
 
 
+def own_page_kind(spark, sf_dir):
+    """A further kind of page beside the others in one scan: its rules, addresses and cache files."""
+    crawled = PageKind(
+        "crawled", "https://example.com/crawled/{}", "crawled-{}.html",
+        (ExtractRule("lang", r'<html lang="(.*?)">'), ExtractRule("track", r"track\((\d+)\)", convert=to_int, default=0)),
+        "crawled_pages",
+    )
+    kinds = (*PAGE_KINDS, crawled)
+    asin = given.identifier(F.col("page_id")).alias("asin")
+    own = given.table(spark, sf_dir, "pages").select(asin, F.lit("crawled").alias("page_kind"), "html")
+    every = given.all_pages(spark, sf_dir).unionByName(own)
+    facts = extract.facts_of(extract.extract_all(every, kinds, on_error="null"), crawled)
+    named = facts.withColumn("kind", F.lit(crawled.name))
+    file_name = cache_file(F.col("asin"), F.col("kind"), kinds)
+    return named.select(
+        "*", target_url(F.col("asin"), F.col("kind"), kinds).alias("url"), file_name.alias("file_name"),
+        parse_cache_file(file_name, kinds)["page_kind"].alias("parsed_kind"),
+    )
+
+
 def _field(kind, name):
     def query(spark, sf_dir):
         source = given.product_pages if kind is INFO else given.review_pages
@@ -403,12 +450,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "id_records": id_records,
         "cache_scan": cache_scan,
         "table_scan": table_scan,
+        "fetch_log_scan": fetch_log_scan,
         "schema_tables": schema_tables,
         "load_ids": load_ids,
         "load_ids_rejected": load_ids_rejected,
         "load_product_info": load_product_info,
         "load_product_reviews": load_product_reviews,
         "cache_new_pages": cache_new_pages,
+        "job_tables": job_tables,
+        "column_names": column_names,
+        "own_page_kind": own_page_kind,
         "target_url": target_urls,
         "cache_key": cache_key,
         "page_quality": page_quality,

@@ -190,6 +190,13 @@ SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN {PART_ASIN} || chr(10) || '"' |
 FROM part ORDER BY asin""",
         "cache_scan": f"WITH {INFO_HTML} SELECT asin, page_kind, html FROM info_html",
         "table_scan": f"WITH {REVIEWS} {_NUMBERED_REVIEWS} ORDER BY id",
+        "fetch_log_scan": f"""WITH {LOG}, silent AS (SELECT *, user_id % 10 = 9 AS silent FROM events)
+SELECT l.run_id, l.page_kind, l.asin, l.seq,
+       CAST(CASE WHEN silent THEN 503 WHEN event_type IN ('view', 'purchase', 'click') THEN 200
+                 WHEN event_type = 'signup' THEN 404 WHEN l.class = 'retry' THEN 502 END AS INTEGER) AS status,
+       CASE WHEN silent THEN NULL WHEN event_type IN ('view', 'purchase') THEN '<html>event ' || event_id || '</html>'
+            WHEN event_type = 'click' THEN '<p>{fixed.ROBOT_CHECK.replace("'", "''")}</p>' END AS body
+FROM log AS l JOIN silent ON l.seq = event_id""",
         # sinks
         "schema_tables": f"""WITH listed AS (SELECT {PART_ASIN} AS asin FROM part WHERE {LISTED})
 SELECT 'asins' AS table_name, 2 AS n_columns, count(*) AS n_rows FROM listed
@@ -203,7 +210,18 @@ FROM (SELECT {USER_ASIN} AS asin FROM events UNION ALL SELECT {PART_ASIN} FROM p
         "load_product_reviews": f"WITH {REVIEWS} {_NUMBERED_REVIEWS}",
         "cache_new_pages": f"""WITH {INFO_HTML}, {REVIEWS_HTML}
 SELECT asin, page_kind, html FROM info_html UNION ALL SELECT asin, page_kind, html FROM reviews_html""",
+        "job_tables": f"""WITH {INFO}
+SELECT row_number() OVER (ORDER BY asin) AS id, *, TRUE AS in_time
+FROM info WHERE CAST(substr(asin, 2) AS INTEGER) % 3 <> 0""",
         # projections
+        "column_names": """
+SELECT p_partkey, qualified, list_extract(string_split(qualified, '.'), -1) AS name
+FROM (SELECT p_partkey, 'public.' || replace(p_type, ' ', '_') || '.' || p_name AS qualified FROM part)""",
+        "own_page_kind": f"""
+SELECT asin, regexp_extract(html, '<html lang="(.*?)">', 1) AS lang,
+       CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS INTEGER) AS track, 'crawled' AS kind,
+       'https://example.com/crawled/' || asin AS url, 'crawled-' || asin || '.html' AS file_name, 'crawled' AS parsed_kind
+FROM (SELECT {_ASIN.format("page_id")} AS asin, html FROM pages)""",
         "target_url": f"""WITH {IDS}
 SELECT asin, 'info' AS page_kind, 'https://www.amazon.com/dp/' || asin AS url FROM ids
 UNION ALL SELECT asin, 'reviews', 'https://www.amazon.com/product-reviews/' || asin FROM ids""",
