@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -20,10 +20,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, classes: lis
     ``labels`` has doc_id and ``label``. The documents are drawn by a hash of doc_id. The drawn
     ids, at most ``per_class`` for each class, are small enough to broadcast.
     """
-    known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled_id"), label)
-    drawn = None
-    for value in classes:
-        some = known.where(F.col(label) == value).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(per_class)
-        drawn = some if drawn is None else drawn.unionByName(some)
+    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(classes))
+    # One pass, whatever the number of classes; Spark applies the limit before the shuffle.
+    drawing = Window.partitionBy(label).orderBy(F.xxhash64("labelled_id"), "labelled_id")
+    named = known.select(F.col("doc_id").alias("labelled_id"), label)
+    drawn = named.withColumn("_nth", F.row_number().over(drawing)).where(F.col("_nth") <= per_class).drop("_nth")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", label)

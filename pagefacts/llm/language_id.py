@@ -6,8 +6,8 @@ every byte, and the mean of the bytes' probabilities over the whole text is the
 States start anew in each window, so windows of many documents form one batch.
 
 The network is trained in numpy by backpropagation through time, on windows drawn from a
-bounded sample: ``PER_LANGUAGE`` documents of each language, none of them held out,
-``WINDOWS`` windows of each. Adam steps, a fixed seed. Gates and states are bent by x / (1 + |x|)
+bounded sample: ``PER_LANGUAGE`` documents of each language and ``DOCUMENTS`` in all, none of them held out,
+``WINDOWS`` windows of each. Every language that occurs is learned. Adam steps, a fixed seed. Gates and states are bent by x / (1 + |x|)
 instead of a hyperbolic tangent, which would take most of the time of scoring.
 
 Only the text is an input of a prediction. Defined cases: a text that is null or has no letter
@@ -34,8 +34,8 @@ EPOCHS = 6
 BATCH = 256
 RATE = 0.01
 SEED = 11
-# Most languages that are learned, the most frequent ones; see ``train``.
-LANGUAGES = 200
+# Documents to train on in all; with very many languages each gets fewer than ``PER_LANGUAGE``.
+DOCUMENTS = 100_000
 UNKNOWN = "und"
 # Windows that are labelled at once.
 ROUND = 2048
@@ -172,18 +172,21 @@ def _windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return padded, mask.reshape(count, WINDOW)
 
 
-def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> tuple[list[str], Parameters]:
-    """The languages, and a network trained on at most ``per_language`` documents of each.
+def train(
+    docs: DataFrame, *, per_language: int = PER_LANGUAGE, documents: int = DOCUMENTS
+) -> tuple[list[str], Parameters]:
+    """All languages, and a network trained on at most ``per_language`` documents of each and about ``documents`` in all.
 
-    At most ``LANGUAGES`` languages are learned, those with the most documents; what comes to
-    the driver is ``WINDOWS`` windows of each drawn document.
+    What comes to the driver is the languages' names, and ``WINDOWS`` windows of each drawn document.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    counts = known.where(~held_out(F.col("doc_id"))).groupBy("lang").count()
-    languages = sorted(row["lang"] for row in counts.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    named = known.where(~held_out(F.col("doc_id"))).select("lang").distinct()
+    languages = sorted(row["lang"] for row in named.collect())
     if not languages:
         return [], {}
-    sample = labelled_sample(docs, known, "lang", languages, per_language)
+    each = min(per_language, max(1, documents // len(languages)))
+    sample = labelled_sample(docs, known, "lang", languages, each)
+    number = {name: i for i, name in enumerate(languages)}
 
     @F.pandas_udf("array<binary>")
     def drawn(texts: pd.Series) -> pd.Series:
@@ -202,7 +205,7 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> tuple[list[st
     held = [i for i, (windows, _) in enumerate(parts) if len(windows)]
     if not held:
         return [], {}
-    labels = np.array([languages.index(rows[i]["lang"]) for i in held])
+    labels = np.array([number[rows[i]["lang"]] for i in held])
     windows = np.concatenate([parts[i][0] for i in held])
     masks = np.concatenate([parts[i][1] for i in held])
     return languages, fit(windows, masks, labels, len(languages))
@@ -211,6 +214,8 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> tuple[list[st
 def pooled(p: Parameters, texts: list[str | None]) -> np.ndarray:
     """Mean probability of every language over all bytes of each text; zeros for an empty one."""
     languages = len(p["bias"])
+    # Probabilities of so many windows are held at a time, fewer of more languages.
+    at_once = min(ROUND, max(32, 16 * ROUND // languages))
     out = np.zeros((len(texts), languages))
     lengths = np.zeros(len(texts))
     waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -220,8 +225,8 @@ def pooled(p: Parameters, texts: list[str | None]) -> np.ndarray:
         windows = np.concatenate([w for _, w, _ in waiting])
         masks = np.concatenate([m for _, _, m in waiting])
         owner = np.repeat([i for i, _, _ in waiting], [len(w) for _, w, _ in waiting])
-        for start in range(0, len(windows), ROUND):
-            part = slice(start, start + ROUND)
+        for start in range(0, len(windows), at_once):
+            part = slice(start, start + at_once)
             x = np.ascontiguousarray(windows[part].T)
             mask = np.ascontiguousarray(masks[part].T, dtype=np.float32)
             forward, _ = _forward(p, "f", x, mask, False)
@@ -233,11 +238,11 @@ def pooled(p: Parameters, texts: list[str | None]) -> np.ndarray:
         raw = (text or "").encode()
         lengths[i] = len(raw)
         # A very long text is handled in portions of whole windows.
-        for start in range(0, len(raw), WINDOW * ROUND):
-            windows, masks = _windows(raw[start : start + WINDOW * ROUND])
+        for start in range(0, len(raw), WINDOW * at_once):
+            windows, masks = _windows(raw[start : start + WINDOW * at_once])
             waiting.append((i, windows, masks))
             held += len(windows)
-            if held >= ROUND:
+            if held >= at_once:
                 label_waiting()
                 waiting, held = [], 0
     if waiting:

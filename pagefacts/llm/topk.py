@@ -18,8 +18,9 @@ widened by a little, so rounding prunes nothing that belongs to the result.
 
 Defined cases: vectors that are null, hold nulls or values that are not finite, or have no vec_id
 take no part; components and scores beyond a 64-bit integer become the nearest one;
-vectors of other dimensions than the query's do not meet it; repeated rows are candidates
-of their own; equal vec_ids never meet each other; an empty table gives an empty result.
+vectors of other dimensions than the query's do not meet it; rows are told apart by a number of their own in the
+order of vec_id, so a repeated row is a query of its own, with the same query_id, and a candidate of its own, also for
+its copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -175,7 +176,11 @@ def _in_bucket(
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for rows where ``is_query`` holds, the k best of all other rows."""
-    rows = stage(scaled(vectors), "topk-vectors")
+    numbered = with_dense_id(scaled(vectors), ["vec_id", "v"], name="n", start=0)
+    named = stage(numbered.withColumn("asked", is_query), "topk-vectors")
+    names = named.select("n", "vec_id")
+    # From here on the number stands for the row; it follows vec_id, so ties go by it as well.
+    rows = named.select(F.col("n").alias("vec_id"), "v", "dim", "length", "asked")
     # A fixed number of rows, whatever the size of the table; spread by a hash.
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v", "dim").collect()
     by_dim: dict[int, list] = {}
@@ -244,7 +249,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                 )
 
     buckets = _packed(rows, BUCKET_ROWS, "topk-buckets")
-    queries = _packed(rows.where(is_query), QUERY_ROWS, "topk-queries")
+    queries = _packed(rows.where("asked"), QUERY_ROWS, "topk-queries")
     queries = stage(
         queries.select("dim", "block", "ids", "vectors").mapInArrow(
             lambda batches: one_by_one(batches, with_thresholds),
@@ -266,8 +271,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         lambda batches: one_by_one(batches, search), "query_id bigint, vec_id bigint, score bigint"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+    ranked = scored.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+    queries_named = names.select(F.col("n").alias("query_id"), F.col("vec_id").alias("asked_id"))
+    candidates_named = names.select(F.col("n").alias("vec_id"), F.col("vec_id").alias("found_id"))
+    return (
+        ranked.join(queries_named, "query_id")
+        .join(candidates_named, "vec_id")
+        .select(F.col("asked_id").alias("query_id"), "rank", F.col("found_id").alias("vec_id"), "score")
     )
 
 
@@ -276,11 +286,11 @@ def top_k_sql(k: int = K, scale: int = SCALE, every: int = 20) -> str:
     finite = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
     return f"""
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v
+      SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v
       FROM embeddings WHERE embedding IS NOT NULL AND {finite}),
     scored AS (
-      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id)
+      SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.n <> c.n)
     SELECT query_id, (row_number() OVER best)::INT AS rank, vec_id, score FROM scored
-    WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    WINDOW best AS (PARTITION BY n ORDER BY score DESC, vec_id)
     QUALIFY row_number() OVER best <= {k}"""

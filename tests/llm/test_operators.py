@@ -3,13 +3,15 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from conftest import physical_plan
 from pyspark.sql import functions as F
 
-from pagefacts.llm import language_id, line_dedup, mixing, ngram_join, quality_classifier, secrets, sharding, topk
+from pagefacts.llm import folds, language_id, line_dedup, mixing, ngram_join, quality_classifier, secrets, sharding, topk
 from pagefacts.plans.staging import stage
 
 
@@ -286,6 +288,23 @@ def test_top_k_like_brute_force(spark, monkeypatch, scale):
     assert got == top_plain(rows, lambda i: i % 20 == 0, 20)
 
 
+@pytest.mark.parametrize("copies", [2, 45])
+def test_top_k_of_repeated_rows(spark, copies):
+    """Every row is a query and a candidate of its own; only the row itself is left out."""
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(80)]
+    rows += [rows[20]] * (copies - 1) + [rows[33]] * copies + [(40, [9.0, 9.0, 9.0, 9.0])]
+    whole = [[math.floor(64 * x) for x in v] for _, v in rows]
+    expected = []
+    for at, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole[at], whole[i])), rows[i][0]) for i in range(len(rows)) if i != at)
+            expected += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:20], 1)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = topk.top_k(frame, F.col("vec_id") % 20 == 0, 20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(expected)
+
+
 def test_products_beyond_floats():
     left = np.array([[2.0**40, 1.0]])
     right = np.array([[2.0**20, 1.0], [2.0**20, 0.0]])
@@ -295,6 +314,50 @@ def test_products_beyond_floats():
 # Learned operators
 
 
+def test_held_out_is_the_checksum(spark):
+    ids = [None, 0, -5, 10**12, *range(1, 400)]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id bigint").select("doc_id", folds.held_out(F.col("doc_id")).alias("h"))
+    assert {r["doc_id"]: r["h"] for r in rows.collect()} == {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i in ids}
+
+
+def test_many_languages_in_a_fixed_number_of_scans(spark, tmp_path, monkeypatch):
+    """Three hundred languages, each of a letter pair of its own: all are learned, by one pass of the sample."""
+    letters = "abcdefghijklmnopqr"
+    pairs = [a + b for a in letters for b in letters][:300]
+    rows = [(10 * i + j, f"{pair} " * (30 + j), f"l{i:03}") for i, pair in enumerate(pairs) for j in range(8)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    names, network = language_id.train(docs)
+    assert names == sorted({r[2] for r in rows}) and len(network["bias"]) == 300
+    for n in (2, 300):
+        known = docs.select("doc_id", "lang")
+        plan = physical_plan(folds.labelled_sample(docs, known, "lang", names[:n], 5))
+        assert plan.count("FileScan") == 2 and "WindowGroupLimit" in plan
+    sample = folds.labelled_sample(docs, docs.select("doc_id", "lang"), "lang", names, 3).groupBy("lang").count()
+    assert {r["count"] for r in sample.collect()} == {3}
+
+
+def test_pooled_probabilities(monkeypatch):
+    """Means over all bytes, whatever the portions in which windows are labelled."""
+    network = language_id._initial(40)
+    draw = np.random.default_rng(3)
+    texts = ["", None, "a", "word " * 700, "é" * 64, *("".join(draw.choice(list("abcé "), n)) for n in (63, 64, 65, 4000))]
+    whole = language_id.pooled(network, texts)
+    plain = np.zeros_like(whole)
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        for start in range(0, len(raw), language_id.WINDOW):
+            part = np.frombuffer(raw[start : start + language_id.WINDOW], dtype=np.uint8)[:, None]
+            mask = np.ones(part.shape, dtype=np.float32)
+            forward, _ = language_id._forward(network, "f", part, mask, False)
+            reverse, _ = language_id._forward(network, "b", part[::-1], mask, False)
+            plain[i] += language_id._probabilities(network, forward, reverse[::-1]).sum(axis=(1, 2)) / max(1, len(raw))
+    assert np.allclose(whole, plain, atol=1e-5)
+    assert np.allclose(whole.sum(axis=1), [0.0, 0.0, *[1.0] * (len(texts) - 2)], atol=1e-4)
+    monkeypatch.setattr(language_id, "ROUND", 3)
+    assert np.allclose(language_id.pooled(network, texts), whole, atol=1e-5)
+
+
 def test_quality_of_held_out_documents(spark):
     path = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels"))
