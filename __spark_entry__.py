@@ -22,7 +22,7 @@ from pagefacts.functions.rules import (  # noqa: E402
 from pagefacts.functions.text import html_unescape, to_float, to_int  # noqa: E402
 from pagefacts.operators import cache, crawl, extract, integrity, ordered, report  # noqa: E402
 from pagefacts.plans import build, job, staging  # noqa: E402
-from pagefacts.sources import fetch_log, identifiers, pages, tables  # noqa: E402
+from pagefacts.sources import fetch_log, identifiers, page_buckets, pages, tables  # noqa: E402
 from pagefacts.streaming import outcomes as stream_outcomes  # noqa: E402
 from pagefacts.streaming import pages as stream_pages  # noqa: E402
 
@@ -156,6 +156,14 @@ def cache_new_pages(spark, sf_dir):
     return pages.read_page_table(spark, folder)
 
 
+def cache_buckets(spark, sf_dir):
+    """A bucketed cache filled in two steps, and the pages in it of a list of keys."""
+    folder = staging.new_folder(spark, "buckets")
+    page_buckets.add_to_buckets(given.product_pages(spark, sf_dir), folder, buckets=16)
+    page_buckets.add_to_buckets(given.all_pages(spark, sf_dir), folder)
+    return page_buckets.pages_of(spark, folder, _ids_by_kind(given.listed_ids(spark, sf_dir)))
+
+
 def job_tables(spark, sf_dir):
     """The whole job from its command line: product facts, and whether they have the load's time."""
     ids, cached, root = (staging.new_folder(spark, n) for n in ("records", "cache", "tables"))
@@ -457,6 +465,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_product_info": load_product_info,
         "load_product_reviews": load_product_reviews,
         "cache_new_pages": cache_new_pages,
+        "cache_buckets": cache_buckets,
         "job_tables": job_tables,
         "column_names": column_names,
         "own_page_kind": own_page_kind,

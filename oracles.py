@@ -210,6 +210,9 @@ FROM (SELECT {USER_ASIN} AS asin FROM events UNION ALL SELECT {PART_ASIN} FROM p
         "load_product_reviews": f"WITH {REVIEWS} {_NUMBERED_REVIEWS}",
         "cache_new_pages": f"""WITH {INFO_HTML}, {REVIEWS_HTML}
 SELECT asin, page_kind, html FROM info_html UNION ALL SELECT asin, page_kind, html FROM reviews_html""",
+        "cache_buckets": f"""WITH {INFO_HTML}, {REVIEWS_HTML}
+SELECT asin, page_kind, html FROM info_html WHERE asin NOT LIKE '%7'
+UNION ALL SELECT asin, page_kind, html FROM reviews_html WHERE asin NOT LIKE '%7'""",
         "job_tables": f"""WITH {INFO}
 SELECT row_number() OVER (ORDER BY asin) AS id, *, TRUE AS in_time
 FROM info WHERE CAST(substr(asin, 2) AS INTEGER) % 3 <> 0""",

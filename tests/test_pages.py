@@ -9,6 +9,7 @@ from pagefacts.operators.cache import PAGE_KEY, cache_hits, cache_misses, new_pa
 from pagefacts.operators.extract import extract_all, extract_facts
 from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
 from pagefacts.plans.build import build_tables
+from pagefacts.sources.page_buckets import add_to_buckets, pages_of, read_page_buckets
 from pagefacts.sources.pages import read_page_files, read_page_table, write_new_pages
 from pagefacts.streaming.pages import loaded_facts, page_table_stream, stream_facts
 
@@ -149,3 +150,29 @@ def test_pages_that_no_list_asks_for_are_not_decoded(spark, tmp_path):
 
 def listed_ids(spark):
     return spark.createDataFrame([(f"B{i}",) for i in range(50)], "asin string")
+
+
+@pytest.mark.parametrize("partitions", ["4", "50"])
+def test_no_bucketed_page_is_shuffled(spark, tmp_path, partitions):
+    """With few and with many partitions, and no broadcast."""
+    path, settings = str(tmp_path / "it's a cache"), {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": partitions}
+    old = {key: spark.conf.get(key) for key in settings}
+    pages = spark.createDataFrame(
+        [(f"B{i % 90}", "info" if i < 90 else "reviews", f"page {i}") for i in range(180)], "asin string, page_kind string, html string"
+    )
+    with pytest.raises(ValueError, match="no page buckets"):
+        read_page_buckets(spark, path)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        add_to_buckets(pages.where("asin < 'B5'"), path, buckets=8)
+        add_to_buckets(pages.union(pages), path, buckets=99)
+        assert rows(read_page_buckets(spark, path)) == rows(pages)
+        keys = pages.where("html like '%3'").select("asin", "page_kind").unionByName(pages.limit(1).select("asin", "page_kind"))
+        found = pages_of(spark, path, keys)
+        above_scan = [line for line in physical_plan(found).split("FileScan")[0].splitlines() if "Exchange" in line]
+        assert not above_scan and "Bucketed: true" in physical_plan(found)
+        assert rows(found) == rows(pages.where("html like '%3' or html = 'page 0'"))
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
