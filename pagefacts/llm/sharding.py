@@ -4,15 +4,16 @@
    with a probability in proportion to their size (decided by a hash of the row, so a rerun
    draws the same), and quantiles of the sampled keys cut the keys into ranges.
 2. The bytes of every range are added up. Ranges of more than their fair share are subdivided
-   by a second hash of the text, and those that a hot text overfills by a hash of the row,
-   each into as many parts as it needs.
+   by a second hash of the text, and a text that overfills one by itself by a hash of the row,
+   each into as many parts as it needs. Other texts beside a hot one stay whole.
 3. Rows are sorted within the parts; the running bytes, with the bytes of all parts before,
    give a row's place in the whole order, and that its shard: the n-th shard is the n-th
    equal portion of the bytes. Equal texts whose group is at most ``whole_part`` of a shard go where
    the group starts; larger groups are split where the portion ends.
 
 So a shard's size is off by at most one row and that part of a shard. Only keys, sizes and hashes are
-shuffled. The sample has a fixed size; the totals of the parts are one row per part.
+shuffled. There is a range for every million rows, and 80 sampled keys for every range: 80,000 numbers
+on the driver for a billion rows; the totals of the parts are one row per part.
 
 Defined cases: a null text has size 1 (no bytes, plus 1) and the hash of no text; an empty
 table has no rows; rows equal in doc_id and text are interchangeable; a null doc_id is a
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from pagefacts.plans.staging import stage
 
 SHARDS = 16
-SAMPLE = 20_000
+# Ranges at least, rows that one stands for, and sampled keys for each.
 RANGES = 256
+RANGE_ROWS = 1_000_000
+RANGE_KEYS = 80
 # A group of equal texts of up to this part of a shard stays in one shard.
 WHOLE_PART = 0.05
 _UNIT = 2.0**-63
@@ -65,10 +68,11 @@ def splitters(rows: DataFrame, total: int, *, ranges: int, sample: int) -> list[
     return sorted(cuts)
 
 
-def _subdivided(rows: DataFrame, group: list[str], hashed: Column, name: str, fair: int, most: int) -> DataFrame:
-    """Add ``name``: groups of more than ``most`` bytes get as many parts by ``hashed`` as they have fair shares."""
-    sums = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
-    # At most total / most groups: their number is set by the number of ranges.
+def _subdivided(rows: DataFrame, sums: DataFrame, group: list[str], hashed: Column, name: str, fair: int) -> DataFrame:
+    """Add ``name``: the groups in ``sums`` (group, bytes) get as many parts by ``hashed`` as they have fair shares.
+
+    They are few enough to broadcast: each has at least a fair share, so there are no more than ranges.
+    """
     parts = sums.select(*group, F.ceil(F.col("bytes") / fair).alias("parts"))
     return (
         rows.join(F.broadcast(parts), group, "left")
@@ -77,6 +81,10 @@ def _subdivided(rows: DataFrame, group: list[str], hashed: Column, name: str, fa
     )
 
 
+def _over(rows: DataFrame, group: list[str], most: int) -> DataFrame:
+    return rows.groupBy(*group).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
+
+
 def _with_parts(rows: DataFrame, cuts: list[float], total: int) -> DataFrame:
     """Add range, part and piece. Overfull ranges are cut by text, and if a text is too large by itself, by row."""
     bounds = [float("-inf"), *cuts, float("inf")]
@@ -86,21 +94,26 @@ def _with_parts(rows: DataFrame, cuts: list[float], total: int) -> DataFrame:
         ranged = rows.withColumn("range", F.lit(0.0))
     ranged = ranged.withColumn("range", F.col("range").cast("int"))
     fair = max(1, math.ceil(total / (len(cuts) + 1)))
-    by_text = _subdivided(ranged, ["range"], _unit(F.lit("part"), "text_hash"), "part", fair, fair)
-    return _subdivided(by_text, ["range", "part"], F.col("second"), "piece", fair, 2 * fair)
+    by_text = _subdivided(ranged, _over(ranged, ["range"], fair), ["range"], _unit(F.lit("part"), "text_hash"), "part", fair)
+    # What is still overfull holds a text of more than a fair share, or a long document; only such texts are cut.
+    part, text = ["range", "part"], ["range", "part", "key", "text_hash"]
+    still = by_text.join(F.broadcast(_over(by_text, part, 2 * fair).select(*part)), part, "left_semi")
+    return _subdivided(by_text, _over(still, text, fair), text, F.col("second"), "piece", fair)
 
 
 def shard_by_bytes(
     docs: DataFrame,
     shards: int = SHARDS,
     *,
-    ranges: int = RANGES,
-    sample: int = SAMPLE,
+    ranges: int | None = None,
+    sample: int | None = None,
     whole_part: float = WHOLE_PART,
 ) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot; shards 0 to ``shards`` - 1, slots gapless from 0."""
     rows = stage(keyed(docs), "shard-keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = ranges or max(RANGES, -(-n_rows // RANGE_ROWS))
+    sample = sample or ranges * RANGE_KEYS
     parted = _with_parts(rows, splitters(rows, total, ranges=ranges, sample=sample), total)
     group = ["range", "part", "piece"]
     sums = parted.groupBy(*group).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))

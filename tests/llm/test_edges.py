@@ -89,7 +89,8 @@ def test_near_duplicates_values(docs):
     assert (found[1]["n_links"], found[1]["n_copies"], found[3]["n_links"]) == (1, 3, 1)
     assert found[6]["class_id"] == 6 and found[7]["class_id"] == 7 and found[8]["n_links"] == 0
     kept = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
-    assert sorted(i for i in kept if i is not None) == [1, 4, *range(5, 14)] or 5 not in kept
+    # 5 shares 32 of 36 shingles with 4, and 2 and 3 are copies of 1 but for three words.
+    assert sorted(i for i in kept if i is not None) == [1, 4, *range(6, 14)]
 
 
 def test_vectors(spark):

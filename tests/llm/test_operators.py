@@ -149,6 +149,34 @@ def test_shards(spark, hot):
         assert len({r["shard"] for r in rows if texts[r["doc_id"]] == text}) == 1
 
 
+def test_small_groups_beside_a_hot_text(spark):
+    """The hot text is cut by row; the groups of copies that share its range are not."""
+    texts = ["the same text " * 20] * 4000 + [f"small {i % 300} " * 9 for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = sharding.shard_by_bytes(docs, ranges=8, sample=400).collect()
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r["doc_id"]]].add(r["shard"])
+    assert len(shards.pop(texts[0])) > 8 and {len(found) for found in shards.values()} == {1}
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 2)
+    asked, cut = [], sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda *a, **k: asked.append(k) or cut(*a, **k))
+    for n in (100, 2000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+        assert sharding.shard_by_bytes(docs).count() == n
+    assert asked == [{"ranges": 256, "sample": 256 * 80}, {"ranges": 1000, "sample": 80_000}]
+
+
+def test_sizes_and_checksums(spark):
+    texts = {1: None, 2: "", 3: "é𝔸 a", 4: "plain", None: "no id"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard_by_bytes(docs).collect()}
+    assert got == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts.items()}
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id int, text string")
     placed = sharding.shard_by_bytes(docs, 4)
