@@ -7,8 +7,9 @@ occurrences cover go. A line that goes has an equal line that stays, at or befor
 first place of its window.
 
 Windows travel as hashes and positions; counting combines before the shuffle, so a
-window in a third of all documents is a row per task. Texts are shuffled once, to meet
-the positions to remove.
+window in a third of all documents is a row per task. When the occurrences meet the first place of
+their window, those of hot windows (at most ``HOT``, by their share of all) are dealt over ``SALTS`` tasks by document.
+Texts are shuffled once, to meet the positions to remove.
 
 Defined cases: a null text stays null with no lines; texts of under three lines that are
 not blank are left as they are; rows equal in doc_id and text are one document and get
@@ -22,8 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts.llm.texts import NOT_SPACE, let, row_key
+from pagefacts.plans.staging import stage
 
 LINES = 3
+# A window with more than this part of all repeated occurrences is hot, so there are no more than so many.
+HOT = 512
+SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -60,18 +65,28 @@ def windows(docs: DataFrame) -> DataFrame:
 def later_windows(docs: DataFrame) -> DataFrame:
     """key and start of every occurrence of a window but its first."""
     found = windows(docs)
-    place = F.struct("doc_id", "key", "at")
-    repeated = (
-        found.groupBy("h1", "h2")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    place, window = F.struct("doc_id", "key", "at"), ["h1", "h2"]
+    repeated = stage(
+        found.groupBy(*window)
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
         .where(F.col("first") != F.col("last"))
-        .select("h1", "h2", "first")
-    )
-    return (
-        found.join(repeated, ["h1", "h2"])
-        .where(place != F.col("first"))
-        .select("key", "at")
+        .select(*window, "first", "n"),
+        "repeated-windows",
     )
+    return _placed(found, repeated).where(place != F.col("first")).select("key", "at")
+
+
+def _placed(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Occurrences of repeated windows with the ``first`` place of their window."""
+    window = ["h1", "h2"]
+    occurrences = repeated.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > occurrences / HOT
+    # Fewer than HOT rows, whatever the table.
+    hot = repeated.where(is_hot).select(*window, F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = found.join(F.broadcast(hot), window, "left").select("doc_id", "key", "at", *window, salt)
+    return dealt.join(repeated.select(*window, "first", F.explode(salts).alias("salt")), [*window, "salt"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

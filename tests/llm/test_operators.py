@@ -125,6 +125,28 @@ def test_a_source_without_weight(spark):
         mixing.schedule(docs, weights={"a": 1.0}).collect()
 
 
+# Line dedup
+
+
+def test_a_hot_passage_is_dealt_over_tasks(spark):
+    """A passage in half of all documents: no task holds more than a few fair shares of its occurrences."""
+    passage = "\n".join(f"shared line {i}" for i in range(3))
+    rows = [(i, f"{passage}\nown {i}" if i % 2 else f"own {i}\nown too {i}\nand {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        sizes = [r["count"] for r in line_dedup.later_windows(docs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == 1999 and max(sizes) < 4 * 1999 / 16
+    out = {r["row"]["doc_id"]: r["row"]["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert out[1] == rows[1][1] and all(out[i] == f"own {i}" for i in range(3, 4000, 2))
+
+
 # Sharding
 
 
