@@ -37,7 +37,7 @@ SEED = 11
 DOCUMENTS = 100_000
 UNKNOWN = "und"
 # Windows that are labelled at once.
-ROUND = 2048
+ROUND = 1024
 
 Parameters = dict[str, np.ndarray]
 
@@ -76,6 +76,49 @@ def _forward(p: Parameters, side: str, x: np.ndarray, mask: np.ndarray, keep: bo
     return states, kept
 
 
+def _states(p: Parameters, side: str, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The states of ``_forward``, for scoring: time x hidden x window, so that every step works on whole rows in place.
+
+    A gate is half of a tangent plus a half; that of the reset is taken into the candidate's weights.
+    """
+    table = np.ascontiguousarray(p[f"in_{side}"].T)
+    gates_of = np.ascontiguousarray(p[f"gates_{side}"].T)
+    candidate = np.ascontiguousarray(p[f"cand_{side}"].T) * p["bias"].dtype.type(0.5)
+    hidden = candidate.shape[0]
+    states = np.empty((len(x), hidden, x.shape[1]), dtype=table.dtype)
+    state, gates = np.zeros(states.shape[1:], dtype=table.dtype), np.empty((2 * hidden, x.shape[1]), dtype=table.dtype)
+    for t in range(len(x)):
+        given = np.take(table, x[t], axis=1)
+        np.matmul(gates_of, state, out=gates)
+        gates += given[: 2 * hidden]
+        _bent(gates)
+        gates += 1
+        update, reset = gates[:hidden], gates[hidden:]
+        reset *= state
+        following = np.matmul(candidate, reset, out=states[t])
+        following += given[2 * hidden :]
+        _bent(following)
+        update *= 0.5
+        following -= state
+        following *= update
+        following += state
+        following *= mask[t]
+        state = following
+    return states
+
+
+def _label_probabilities(p: Parameters, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """time x language x window, from states as ``_states`` gives them."""
+    hidden = forward.shape[1]
+    logits = np.matmul(np.ascontiguousarray(p["out"][:hidden].T), forward)
+    logits += np.matmul(np.ascontiguousarray(p["out"][hidden:].T), backward)
+    logits += p["bias"][:, None]
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
 def _backward(p: Parameters, side: str, x: np.ndarray, mask: np.ndarray, kept: list, back: np.ndarray) -> Parameters:
     """Gradients of one direction by backpropagation through time; ``back`` is that of the states."""
     weights, candidate = p[f"gates_{side}"], p[f"cand_{side}"]
@@ -227,9 +270,8 @@ def pooled(p: Parameters, texts: list[str | None]) -> np.ndarray:
             part = slice(start, start + at_once)
             x = np.ascontiguousarray(windows[part].T)
             mask = np.ascontiguousarray(masks[part].T, dtype=np.float32)
-            forward, _ = _forward(p, "f", x, mask, False)
-            reverse, _ = _forward(p, "b", x[::-1], mask[::-1], False)
-            found = (_probabilities(p, forward, reverse[::-1]) * mask).sum(axis=1)
+            forward, reverse = _states(p, "f", x, mask), _states(p, "b", x[::-1], mask[::-1])
+            found = np.einsum("tln,tn->ln", _label_probabilities(p, forward, reverse[::-1]), mask)
             np.add.at(out, owner[part], found.T)
 
     for i, text in enumerate(texts):
