@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from pagefacts.fixed_values import DEFAULT_IDENTIFIERS
 from pagefacts.plans.build import build_tables, write_reports
+from pagefacts.plans.staging import scratch
 from pagefacts.sources.identifiers import checked_path, read_identifiers
 from pagefacts.sources.pages import read_page_files, read_page_table
 
@@ -36,11 +37,13 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     checked_path(spark, options.identifiers)
     checked_path(spark, options.pages)
     on_blank = "drop" if options.drop_blank_lines else "fail"
-    ids = read_identifiers(spark, options.identifiers, on_blank=on_blank)
     read_pages = read_page_files if options.pages_as == "files" else read_page_table
-    build_tables(spark, ids, read_pages(spark, options.pages), options.tables)
-    if options.reports:
-        write_reports(spark, options.tables, options.reports)
+    # What the job stages is emptied when its tables and reports are written.
+    with scratch(spark):
+        ids = read_identifiers(spark, options.identifiers, on_blank=on_blank)
+        build_tables(spark, ids, read_pages(spark, options.pages), options.tables)
+        if options.reports:
+            write_reports(spark, options.tables, options.reports)
 
 
 if __name__ == "__main__":
