@@ -95,7 +95,7 @@ def generated(seed, n):
     return texts + tidy + fixed
 
 
-@pytest.mark.parametrize("cut,n", [(1, 8), (3, 24), (7, 80), (1 << 20, 400)])
+@pytest.mark.parametrize("cut,n", [(1, 4), (3, 16), (7, 40), (1 << 20, 400)])
 def test_records_as_the_csv_module_reads_them(spark, tmp_path, cut, n):
     """Files of quotes, commas and line ends of all kinds, split after every ``cut`` bytes."""
     expected = {}
