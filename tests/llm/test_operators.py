@@ -382,11 +382,22 @@ def test_many_languages_in_a_fixed_number_of_scans(spark, tmp_path, monkeypatch)
     for n in (2, 300):
         known = docs.select("doc_id", "lang")
         plan = physical_plan(folds.labelled_sample(docs, known, "lang", names[:n], 5))
-        assert plan.count("FileScan") == 2 and "WindowGroupLimit" in plan
+        assert plan.count("FileScan") == 3 and "WindowGroupLimit" in plan
     sample = folds.labelled_sample(docs, docs.select("doc_id", "lang"), "lang", names, 3).groupBy("lang").count()
     assert {r["count"] for r in sample.collect()} == {3}
 
 
+def test_the_sample_is_of_the_smallest_hashes(spark):
+    """Also of a class that is far larger than the sample, of which only a share is looked at."""
+    ids = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("label"))
+    docs = ids.select("doc_id", F.concat(F.lit("t"), "doc_id").alias("text"), F.lit(1).alias("label"))
+    found = folds.labelled_sample(docs.drop("label"), ids, "label", ["rare", "hot"], 100).collect()
+    drawn = ids.where(~folds.held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")).collect()
+    for label in ("rare", "hot"):
+        smallest = sorted((r["h"], r["doc_id"]) for r in drawn if r["label"] == label)[:100]
+        assert sorted(r["doc_id"] for r in found if r["label"] == label) == sorted(i for _, i in smallest)
+
+
 def test_pooled_probabilities(monkeypatch):
     """Means over all bytes, whatever the portions in which windows are labelled."""
     network = language_id._initial(40)
