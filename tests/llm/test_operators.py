@@ -377,7 +377,7 @@ def test_many_languages_in_a_fixed_number_of_scans(spark, tmp_path, monkeypatch)
     rows = [(10 * i + j, f"{pair} " * (30 + j), f"l{i:03}") for i, pair in enumerate(pairs) for j in range(8)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    names, network = language_id.train(docs)
+    names, network = language_id.train(docs, documents=300)
     assert names == sorted({r[2] for r in rows}) and len(network["bias"]) == 300
     for n in (2, 300):
         known = docs.select("doc_id", "lang")
