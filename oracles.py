@@ -77,7 +77,7 @@ EFFECTIVE = f"""{ATTEMPTS},
 effective AS (
   SELECT run_id, page_kind, asin, seq, class, iteration
   FROM attempts AS a
-  WHERE iteration <= 20 AND NOT EXISTS (
+  WHERE iteration <= {fixed.MAX_ITERATIONS} AND NOT EXISTS (
     SELECT 1 FROM attempts AS b
     WHERE b.run_id = a.run_id AND b.page_kind = a.page_kind AND b.asin = a.asin
       AND b.seq < a.seq AND b.class <> 'retry'))"""
@@ -124,10 +124,10 @@ TITLES = f"""titles AS (
 
 def _cell(column: str, width: str) -> str:
     shown = (
-        f"CASE WHEN {width} > 26 AND length({column}) > 26 "
-        f"THEN substr({column}, 1, 26) || '...' ELSE {column} END"
+        f"CASE WHEN {width} > {fixed.TRUNCATE_AFTER} AND length({column}) > {fixed.TRUNCATE_AFTER} "
+        f"THEN substr({column}, 1, {fixed.TRUNCATE_AFTER}) || '...' ELSE {column} END"
     )
-    room = f"(CASE WHEN {width} > 26 THEN 29 ELSE {width} END)"
+    room = f"(CASE WHEN {width} > {fixed.TRUNCATE_AFTER} THEN {fixed.TRUNCATE_AFTER + 3} ELSE {width} END)"
     left = f"CAST(floor(({room} - length({shown})) / 2.0) AS INTEGER)"
     right = f"({room} - length({shown}) - {left})"
     return f"repeat(' ', {left}) || {shown} || repeat(' ', {right})"
@@ -226,8 +226,8 @@ SELECT asin, regexp_extract(html, '<html lang="(.*?)">', 1) AS lang,
        'https://example.com/crawled/' || asin AS url, 'crawled-' || asin || '.html' AS file_name, 'crawled' AS parsed_kind
 FROM (SELECT {_ASIN.format("page_id")} AS asin, html FROM pages)""",
         "target_url": f"""WITH {IDS}
-SELECT asin, 'info' AS page_kind, 'https://www.amazon.com/dp/' || asin AS url FROM ids
-UNION ALL SELECT asin, 'reviews', 'https://www.amazon.com/product-reviews/' || asin FROM ids""",
+SELECT asin, 'info' AS page_kind, '{fixed.INFO_URL.format('')}' || asin AS url FROM ids
+UNION ALL SELECT asin, 'reviews', '{fixed.REVIEWS_URL.format('')}' || asin FROM ids""",
         "cache_key": f"""WITH {IDS}
 SELECT asin, 'info' AS page_kind, asin || '.html' AS file_name, asin AS parsed_asin, 'info' AS parsed_kind FROM ids
 UNION ALL SELECT asin, 'reviews', 'reviews-' || asin || '.html', asin, 'reviews' FROM ids""",
@@ -276,7 +276,7 @@ WHERE {PART_ASIN} NOT IN (SELECT asin FROM ids) GROUP BY 1""",
         "cache_hits": f"WITH {CACHED} SELECT asin, page_kind FROM requested INTERSECT SELECT asin, page_kind FROM cached",
         "cache_misses": f"WITH {CACHED} SELECT asin, page_kind FROM requested EXCEPT SELECT asin, page_kind FROM cached",
         "retry_worklist": f"""WITH {OUTCOME}
-SELECT run_id, page_kind, asin FROM outcome WHERE outcome = 'unscraped' AND attempts < 20""",
+SELECT run_id, page_kind, asin FROM outcome WHERE outcome = 'unscraped' AND attempts < {fixed.MAX_ITERATIONS}""",
         "product_360": f"""WITH {OUTCOME}, {INFO}, {REVIEWS},
 obtained AS (SELECT DISTINCT asin FROM outcome WHERE outcome = 'ok' AND page_kind = 'info')
 SELECT r.asin, i.product_name, i.total_ratings, i.average_rating, i.answered_questions,
