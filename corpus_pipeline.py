@@ -8,7 +8,7 @@ What each stage decides: the quality classifier drops the documents it rejects;
 later occurrences of three-line windows out of the texts, and drops a text that loses all its
 words; the n-gram join keeps one document of each group; mixing brings all documents into the
 order of its schedule and drops none; encoding returns the ids and digests per document, with
-its place in the schedule, as rows of Parquet read again have no order.
+the places that this order gives it, as rows of Parquet read again have no order.
 """
 
 from __future__ import annotations
@@ -48,15 +48,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256, and slot, place and in_mix of the schedule.
+    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256, and position, slot, place and in_mix.
 
-    The schedule follows from the rows, not from their order, so it is that of the stage before.
+    Position is that of the row in the order which the stage before wrote; slot, place and in_mix follow from
+    this order too, so rows in another order get other places.
     Rows equal in doc_id and text take the first of their places, as they do there.
     """
     path = public_tokenizers.path(VOCABULARY)
     keyed = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).select("doc_id", "text", "key.*")
     found = bpe.digests(bpe.encode_documents(keyed, path, public_tokenizers.PATTERN, "a", "b"), "ids", "a", "b")
-    places = mixing.schedule(docs).groupBy("key.a", "key.b").agg(F.min(F.struct("slot", "place", "in_mix")).alias("at"))
+    placed = mixing.schedule_of_order(docs)
+    places = placed.groupBy("key.a", "key.b").agg(F.min(F.struct("position", "slot", "place", "in_mix")).alias("at"))
     return found.join(places, ["a", "b"]).drop("a", "b").select("*", "at.*").drop("at")
 
 

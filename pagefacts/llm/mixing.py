@@ -24,6 +24,8 @@ gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,19 +100,39 @@ def template(shares: DataFrame) -> DataFrame:
     return placed.select("s.source", "s.share", "period", nth.alias("nth"), "slot")
 
 
-def schedule(
-    docs: DataFrame,
+def schedule(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, key, slot, place (in the block), in_mix: one row per row of ``docs``."""
+    narrow = docs.select("doc_id", "source", row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    narrow = narrow.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return _placed(narrow, ["mark", "doc_id", "key"], **options).drop("mark")
+
+
+def schedule_of_order(docs: DataFrame, **options) -> DataFrame:
+    """The columns of ``schedule`` and position (from 0), by the order in which the rows of ``docs`` come.
+
+    The order inside each source is that of the rows as they were written: by file, then by row, however a scan packs the
+    files. Rows that do not come from files are in the order of their partitions.
+    """
+    file = F.input_file_name()
+    # Part numbers of more digits come later.
+    order = {"_length": F.length(file), "_file": file, "_block": F.input_file_block_start(), "_row": F.monotonically_increasing_id()}
+    narrow = docs.select("doc_id", "source", row_key(F.col("doc_id"), F.col("text")).alias("key"), *[c.alias(n) for n, c in order.items()])
+    numbered = with_dense_id(narrow, list(order), name="position", start=0)
+    return _placed(numbered.drop(*order), ["position"], **options)
+
+
+def _placed(
+    narrow: DataFrame,
+    order: Sequence[str],
     *,
     weights: dict[str | None, float] | None = None,
     alpha: float = ALPHA,
     shares: int = SHARES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """doc_id, source, key, slot, place (in the block), in_mix: one row per row of ``docs``."""
-    narrow = docs.select("doc_id", "source", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    narrow = narrow.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    # A dense id over (source, mark) cuts a hot source into as many tasks as it needs.
-    numbered = stage(with_dense_id(narrow, ["source", "mark", "doc_id", "key"], name="n", start=0), "mix-order")
+    """``narrow`` with slot, place and in_mix; ``order`` is that of the rows of a source."""
+    # A dense id over (source, order) cuts a hot source into as many tasks as it needs.
+    numbered = stage(with_dense_id(narrow, ["source", *order], name="n", start=0), "mix-order")
     sources = numbered.groupBy("source").agg(F.min("n").alias("first"), F.count("*").alias("n_rows"))
     sources = stage(sources, "mix-sources")
     plan = stage(
@@ -136,9 +158,7 @@ def schedule(
         .withColumn("block", F.floor(F.col("rank") / block_rows))
         .join(places, at)
         .select(
-            "doc_id",
-            "source",
-            "key",
+            *narrow.columns,
             _slot().alias("slot"),
             F.pmod(F.col("rank"), F.lit(block_rows)).cast("int").alias("place"),
             (_slot() < F.lit(end)).alias("in_mix"),

@@ -115,3 +115,29 @@ def test_run_returns_the_schedule(spark):
     found = {r["doc_id"]: (r["slot"], r["place"], r["in_mix"]) for r in rows}
     assert len(found) == len(rows) > 100 and {kept for _, _, kept in found.values()} == {True, False}
     assert found == schedule_plain({i: source[i] for i in found})
+
+
+def test_places_follow_the_order_of_the_stage_before(spark):
+    """The last stage takes positions, slots and places from the order that was written, in files of any size."""
+    source = {i: "abc"[i % 7 % 3] for i in range(300)}
+    rows = [(i, f"text {i}", None, s, i) for i, s in source.items()]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, n_chars int")
+    found = {}
+    orders = {"rising": F.col("doc_id"), "falling": -F.col("doc_id"), "uneven": F.col("doc_id") * 7 % 300}
+    for name, order in orders.items():
+        folder = new_folder(spark, name)
+        # Parts of growing size, which a scan would not read in their order.
+        part = F.floor(F.sqrt((order + 300) % 300))
+        docs.repartitionByRange(18, part).sortWithinPartitions(part, order).write.parquet(folder)
+        out = corpus_pipeline.encoded(spark, spark.read.parquet(folder), folder)
+        found[name] = {r["doc_id"]: (r["position"], r["slot"], r["place"], r["in_mix"]) for r in out.collect()}
+    expected = {"rising": sorted(source), "falling": [0, *range(299, 0, -1)], "uneven": sorted(source, key=lambda i: i * 7 % 300)}
+    plan = schedule_plain(source)
+    by_source = {s: sorted(plan[i][:2] for i in source if source[i] == s) for s in "abc"}
+    end = min(slot for slot, _, inside in plan.values() if not inside)
+    for name, ids in expected.items():
+        taken = dict.fromkeys("abc", 0)
+        for position, i in enumerate(ids):
+            slot, place = by_source[source[i]][taken[source[i]]]
+            taken[source[i]] += 1
+            assert found[name][i] == (position, slot, place, slot < end), (name, i)
