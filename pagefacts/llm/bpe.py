@@ -5,10 +5,11 @@ token waits in the bucket of that token's rank. A bitmap of several levels marks
 buckets in use: find-first-set from the top gives the lowest rank, whose pairs merge from the left;
 an entry whose pair has changed meanwhile is stale and skipped. A merge costs
 two look-ups and at most two new entries whatever the length of the pre-token, so very long ones
-take time in proportion to their length, and many short ones can share one queue.
+take time in proportion to their length, and many short ones can share one queue. A bucket of many pairs
+is merged on whole arrays, unless that brings up a lower rank.
 
 Spark reads and splits the documents; each is encoded and decoded whole in its task, which keeps
-a bounded table of the ids of recent pieces of text. There is no shuffle.
+bounded tables of the ids of recent pieces of text and pre-tokens. There is no shuffle.
 
 Defined cases: a null text is an empty one, with no ids; repeated rows each get their result;
 an empty table gives an empty result; a vocabulary lacking a single byte is refused.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The tables of recent pieces of text hold up to this many each, and no piece of more bytes of ids.
+# The tables of recent pieces and pre-tokens hold up to this many each, and none of more bytes of ids.
 RECENT = 250_000
 RECENT_BYTES = 128
 # Short pre-tokens share a queue, and short texts a round, up to this many characters.
-SHARED_CHARS = 1 << 18
-TEXTS_CHARS = 1 << 19
+SHARED_CHARS = 1 << 20
+TEXTS_CHARS = 1 << 21
+# A bucket of so many pairs is merged on whole arrays.
+MANY = 32
 
 _BLANK_AFTER_SPACE = re.compile(r"\s ").search
 
@@ -75,6 +79,130 @@ class RankQueue:
         return rank, positions
 
 
+class Links:
+    """The tokens of many pre-tokens as linked lists. What has no neighbour is linked to the last place, which no token joins with.
+
+    ``ranks`` has the rank that waits at each position; another one in a bucket is stale.
+    """
+
+    def __init__(self, coder: Bpe, raw: np.ndarray, ends: np.ndarray):
+        self.coder, n = coder, len(raw)
+        self.ids = np.append(coder.of_byte[raw], np.int32(coder.size))
+        self.following = np.arange(1, n + 2, dtype=np.int32)
+        self.before = np.arange(-1, n, dtype=np.int32)
+        self.ranks = np.full(n + 1, -1, dtype=np.int32)
+        if n > 1:
+            self.ranks[: n - 1] = coder.of_bytes[raw[:-1], raw[1:]]
+        last = ends[ends > 0] - 1
+        self.ranks[last] = -1
+        self.following[last] = n
+        self.before[last + 1] = n
+        if n:
+            self.before[0] = n
+        # Rank of the popped token's pair with each token, while that bucket is merged.
+        self.with_right = np.full(coder.size + 1, -1, dtype=np.int32)
+        self.with_left = self.with_right.copy()
+
+    def merge_each(self, queue: RankQueue, rank: int, positions: list[int]) -> None:
+        """Merge the pairs of a bucket from the left, up to one that gives a pair of a lower rank."""
+        ids, following, before, ranks = (memoryview(a) for a in (self.ids, self.following, self.before, self.ranks))
+        pairs, buckets, put = self.coder.pairs, queue.buckets, queue.put
+        with_left = pairs[rank].get
+        for done, at in enumerate(positions, 1):
+            if ranks[at] != rank:
+                continue
+            right = following[at]
+            after = following[right]
+            ids[at], ids[right], ranks[right] = rank, -1, -1
+            following[at] = after
+            before[after] = at
+            lower = False
+            left = before[at]
+            for place, joined in ((at, with_left(ids[after], -1)), (left, pairs[ids[left]].get(rank, -1))):
+                ranks[place] = joined
+                if joined >= 0:
+                    if (bucket := buckets[joined]) is None:
+                        put(joined, [place])
+                    else:
+                        bucket.append(place)
+                    lower = lower or joined < rank
+            if lower:  # that rank comes first
+                if done < len(positions):
+                    rest = positions[done:]
+                    put(rank, rest if buckets[rank] is None else buckets[rank] + rest)
+                break
+
+    def merge_many(self, queue: RankQueue, rank: int, positions: list[int]) -> bool:
+        """The same on whole arrays; False, with nothing done, if a pair of a lower rank would come up."""
+        ids, following, before, ranks = self.ids, self.following, self.before, self.ranks
+        at = np.array(positions)
+        at = at[ranks[at] == rank]
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+        if not len(at):
+            return True
+        # Of pairs that overlap, every other one from the left.
+        overlaps = following[at[:-1]] == at[1:]
+        if overlaps.any():
+            places = np.arange(len(at))
+            starts = np.maximum.accumulate(np.where(np.append(False, overlaps), 0, places))
+            at = at[(places - starts) % 2 == 0]
+        right = following[at]
+        after, left = following[right], before[at]
+        (rights, their), (lefts, its) = self.coder.followers(rank), self.coder.leaders(rank)
+        with_right, with_left = self.with_right, self.with_left
+        with_right[rights], with_left[lefts] = their, its
+        try:
+            joined, joined_left = with_right[ids[after]], with_left[ids[left]]
+            # As unsigned numbers, no rank is the highest one.
+            least = min(joined.view(np.uint32).min(), joined_left.view(np.uint32).min(), with_right[rank : rank + 1].view(np.uint32)[0])
+            if least < rank:
+                return False
+            ids[at], ids[right], ranks[right] = rank, -1, -1
+            following[at] = after
+            before[after] = at
+            # Neighbours may have been merged as well.
+            left = before[at]
+            joined, joined_left = with_right[ids[after]], with_left[ids[left]]
+        finally:
+            with_right[rights] = with_left[lefts] = -1
+        ranks[at], ranks[left] = joined, joined_left
+        buckets, put = queue.buckets, queue.put
+        for places, found in ((at, joined), (left, joined_left)):
+            waits = found >= 0
+            for place, new in zip(places[waits].tolist(), found[waits].tolist()):
+                if (bucket := buckets[new]) is None:
+                    put(new, [place])
+                else:
+                    bucket.append(place)
+        return True
+
+
+class Recent:
+    """Ids of recent texts in two generations: when the younger is full, the older one goes."""
+
+    def __init__(self):
+        self.young: dict[str | tuple[str], bytes] = {}
+        self.old: dict[str | tuple[str], bytes] = {}
+
+    def found(self, texts: set) -> dict:
+        young, old = self.young.get, self.old.get
+        return {t: i for t in texts if (i := young(t) or old(t)) is not None}
+
+    def remember(self, own: dict) -> None:
+        if len(self.young) + len(own) > RECENT:
+            self.old, self.young = self.young, {}
+        if len(own) <= RECENT:
+            self.young.update((t, packed) for t, packed in own.items() if len(packed) <= RECENT_BYTES)
+
+
+def _by_token(token: np.ndarray, other: np.ndarray, rank: np.ndarray, size: int):
+    """What gives, for a token, the tokens it makes a pair with and the ranks of these pairs."""
+    order = np.argsort(token, kind="stable")
+    other, rank = other[order], rank[order]
+    bounds = np.searchsorted(token[order], np.arange(size + 1)).tolist()
+    return lambda t: (other[bounds[t] : bounds[t + 1]], rank[bounds[t] : bounds[t + 1]])
+
+
 class Bpe:
     """Encoder and decoder for a rank file: lines of a token in base 64 and its rank."""
 
@@ -93,12 +221,15 @@ class Bpe:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left][right] = rank
-        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.pairs.append({})  # for the end of a pre-token, which stands for a token that joins with none
+        cuts = [(left, right, rank) for left, rights in enumerate(self.pairs) for right, rank in rights.items()]
+        left, right, rank = np.array(cuts, dtype=np.int32).reshape(-1, 3).T
+        self.followers, self.leaders = _by_token(left, right, rank, self.size), _by_token(right, left, rank, self.size)
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         single = self.of_byte.tolist()
         self.of_bytes = np.array([[self.pairs[x].get(y, -1) for y in single] for x in single], dtype=np.int32)
         self.split = regex.compile(pattern).findall
-        self.recent: dict[str | tuple[str], bytes] = {}
-        self.older: dict[str | tuple[str], bytes] = {}
+        self.recent_pieces, self.recent_tokens = Recent(), Recent()
         lengths = [len(token) for token in self.tokens]
         self.lengths = np.array(lengths, dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -108,62 +239,21 @@ class Bpe:
         """Ids of each piece as little-endian 32-bit integers; pieces are merged separately."""
         raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
-        n = len(raw)
-        ids = self.of_byte[raw].tolist()
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.of_bytes[raw[:-1], raw[1:]] if n > 1 else np.empty(0, dtype=np.int32)
-        first = np.append(first, -1)
-        first[ends - 1] = -1
-        for end in ends.tolist():
-            following[end - 1] = -1
-            if end < n:
-                before[end] = -1
-
+        links = Links(self, raw, ends)
         queue = RankQueue(self.size)
-        waiting = np.flatnonzero(first >= 0)
-        waiting = waiting[np.argsort(first[waiting], kind="stable")]
-        in_use, starts = np.unique(first[waiting], return_index=True)
+        waiting = np.flatnonzero(links.ranks >= 0)
+        waiting = waiting[np.argsort(links.ranks[waiting], kind="stable")]
+        in_use, starts = np.unique(links.ranks[waiting], return_index=True)
         for rank, positions in zip(in_use.tolist(), np.split(waiting, starts[1:])):
             queue.put(rank, positions.tolist())
 
-        # The rank that waits at each position; another one in a bucket is stale.
-        ranks, pairs, buckets, put = first.tolist(), self.pairs, queue.buckets, queue.put
         while (lowest := queue.pop()) is not None:
             rank, positions = lowest
             positions.sort()
-            with_left = pairs[rank].get
-            for done, at in enumerate(positions, 1):
-                if ranks[at] != rank:
-                    continue
-                right = following[at]
-                ids[at], ids[right], ranks[right] = rank, -1, -1
-                after = following[at] = following[right]
-                joined = -1
-                if after >= 0:
-                    before[after] = at
-                    joined = with_left(ids[after], -1)
-                    if joined >= 0:
-                        if (bucket := buckets[joined]) is None:
-                            put(joined, [at])
-                        else:
-                            bucket.append(at)
-                ranks[at] = joined
-                lower = 0 <= joined < rank
-                left = before[at]
-                if left >= 0:
-                    ranks[left] = joined = pairs[ids[left]].get(rank, -1)
-                    if joined >= 0:
-                        if (bucket := buckets[joined]) is None:
-                            put(joined, [left])
-                        else:
-                            bucket.append(left)
-                        lower = lower or joined < rank
-                if lower:  # that rank comes first
-                    if done < len(positions):
-                        put(rank, positions[done:])
-                    break
-
-        merged = np.array(ids, dtype="<i4")
+            if len(positions) < MANY or not links.merge_many(queue, rank, positions):
+                links.merge_each(queue, rank, positions)
+
+        merged = links.ids[:-1].astype("<i4")
         kept = merged >= 0
         packed = merged[kept].tobytes()
         cuts = [0, *(np.cumsum(kept)[ends - 1] * 4).tolist()]
@@ -192,30 +282,42 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text, packed like those of ``merge``."""
         cut = [self.pieces(text) for text in texts]
-        known = [list(map(self._find, pieces)) for pieces in cut]
-        fresh = {p for pieces, ids in zip(cut, known) if None in ids for p, i in zip(pieces, ids) if i is None}
-        split = {piece: self.split(piece[0] if isinstance(piece, tuple) else " " + piece) for piece in fresh}
-        ids = self._merged({token for tokens in split.values() for token in tokens})
-        own = {piece: b"".join([ids[t] for t in tokens]) for piece, tokens in split.items()}
+        recent = self.recent_pieces.young.get
+        known = [list(map(recent, pieces)) for pieces in cut]
+        missing = {p for pieces, ids in zip(cut, known) if None in ids for p, i in zip(pieces, ids) if i is None}
+        own = self.recent_pieces.found(missing)
+        self._encode_pieces([p for p in missing if p not in own], own)
         for pieces, found in zip(cut, known):
             if None in found:
                 found[:] = [own[p] if i is None else i for p, i in zip(pieces, found)]
-        self._remember(own)
+        self.recent_pieces.remember(own)
         return [b"".join(found) for found in known]
 
-    def _find(self, piece) -> bytes | None:
-        return self.recent.get(piece) or self.older.get(piece)
-
-    def _remember(self, own: dict) -> None:
-        """Two generations: when the younger is full, the older one goes."""
-        if len(self.recent) + len(own) > RECENT:
-            self.older, self.recent = self.recent, {}
-        if len(own) <= RECENT:
-            self.recent.update((p, packed) for p, packed in own.items() if len(packed) <= RECENT_BYTES)
+    def _encode_pieces(self, pieces: list, own: dict) -> None:
+        """Adds the ids of pieces to ``own``. Those that end in no white space are split as one text, as they can follow each other."""
+        whole = [p[0] if isinstance(p, tuple) else " " + p for p in pieces]
+        closed = [isinstance(p, str) and not (p[-1:] or " ").isspace() for p in pieces]
+        joint = "".join(compress(whole, closed))
+        tokens = self.split(joint)
+        if sum(map(len, tokens)) != len(joint):  # the pattern passes over something
+            closed, tokens = [False] * len(pieces), []
+        apart = [() if joined else self.split(text) for text, joined in zip(whole, closed)]
+        ids = self._merged(set(tokens).union(*apart))
+        packed = map(ids.__getitem__, tokens)
+        lengths = map(len, tokens)
+        for piece, text, joined, split in zip(pieces, whole, closed, apart):
+            if not joined:
+                own[piece] = b"".join([ids[token] for token in split])
+                continue
+            size, found = next(lengths), next(packed)
+            while size < len(text):
+                size += next(lengths)
+                found += next(packed)
+            own[piece] = found
 
     def _merged(self, tokens: set[str]) -> dict[str, bytes]:
         """Pre-tokens share a queue, up to a size that only a single long one exceeds."""
-        ids: dict[str, bytes] = {}
+        ids = self.recent_tokens.found(tokens)
         group: list[str] = []
         held = 0
 
@@ -223,13 +325,14 @@ class Bpe:
             if group:
                 ids.update(zip(group, self.merge([t.encode() for t in group])))
 
-        for token in tokens:
+        for token in tokens - ids.keys():
             group.append(token)
             held += len(token)
             if held >= SHARED_CHARS:
                 merge_group()
                 group, held = [], 0
         merge_group()
+        self.recent_tokens.remember(ids)
         return ids
 
     def decode(self, packed: bytes) -> bytes:

@@ -92,6 +92,37 @@ def test_a_full_table_of_recent_pieces(coder, library, monkeypatch):
     assert [np.frombuffer(p, "<u4").tolist() for p in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_whole_buckets_like_the_plain_rule(seed, monkeypatch):
+    """Every bucket on arrays where its ranks allow it, also runs of one symbol, whose pairs overlap."""
+    monkeypatch.setattr(bpe, "MANY", 1)
+    draw = random.Random(seed)
+    tokens = {bytes([b]) for b in range(256)}
+    while len(tokens) < 256 + 40:
+        tokens.add(bytes(draw.choice(b"aab") for _ in range(draw.randint(2, 6))))
+    order = draw.sample(sorted(tokens), len(tokens)) if seed % 2 else sorted(tokens, key=lambda t: (len(t), t))
+    coder = bpe.Bpe(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(order)), r"(?s).+")
+    pieces = [bytes(draw.choice(b"aaab") for _ in range(draw.randint(1, 60))) for _ in range(20)]
+    merged = [np.frombuffer(m, "<u4").tolist() for m in coder.merge(pieces)]
+    assert merged == [plain(coder.ranks, piece) for piece in pieces]
+
+
+def test_a_recent_pre_token_is_not_merged_again(coder, library, monkeypatch):
+    """Neither in another piece nor in a later call."""
+    merged, merge = [], coder.merge
+    monkeypatch.setattr(coder, "merge", lambda pieces: merged.extend(pieces) or merge(pieces))
+    texts = ["a zqxv; zqxv! zqxv", "the zqxv? zqxv)", "zqxv  zqxv \n"]
+    for text in texts:
+        assert ids(coder, text) == library.encode_ordinary(text)
+    assert merged.count(b" zqxv") == 1
+
+
+def test_a_pattern_that_passes_over_something(coder):
+    with open(PATH, "rb") as file:
+        own = bpe.Bpe(file.read(), r" ?[a-z]+")
+    assert own.decode(own.encode(["ab 12 cd, ef"])[0]) == b"ab cd ef"
+
+
 def test_vocabulary_without_a_byte():
     with pytest.raises(ValueError):
         bpe.Bpe(base64.b64encode(b"a") + b" 0", ".")
