@@ -81,7 +81,8 @@ def strip(text: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """``'1,234'`` -> 1234. NULL for anything that is not a plain 32-bit integer."""
-    digits = strip(F.replace(text, F.lit(","), F.lit("")))
+    plain = F.replace(text, F.lit(","), F.lit(""))
+    digits = F.when(F.rlike(plain, F.lit(_INT_TEXT)), plain).otherwise(strip(plain))
     return F.when(F.rlike(digits, F.lit(_INT_TEXT)), digits.try_cast("int"))
 
 

@@ -45,14 +45,24 @@ def key_filter(keys: DataFrame, on: Sequence[str], *, blocks: int = BLOCKS) -> D
 
 def may_be_listed(rows: DataFrame, listed: DataFrame, on: Sequence[str], *, blocks: int = BLOCKS) -> DataFrame:
     """``rows`` without most of those whose key is not in the list that ``listed`` was made of."""
+    return _tested(rows, listed, on, blocks, "inner").where("_met").select(*rows.columns)
+
+
+def never_listed(rows: DataFrame, listed: DataFrame, on: Sequence[str], *, blocks: int = BLOCKS) -> DataFrame:
+    """The rows that ``may_be_listed`` leaves out: their keys are not in the list for sure."""
+    return _tested(rows, listed, on, blocks, "left").where("NOT coalesce(_met, false)").select(*rows.columns)
+
+
+def _tested(rows: DataFrame, listed: DataFrame, on: Sequence[str], blocks: int, how: str) -> DataFrame:
+    """``rows`` with ``_met``: whether the bits of the key are set; null if no listed key has its block."""
 
     def is_set(at: Column) -> Column:
         byte = F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))
         return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), at.bitwiseAND(F.lit(7)).cast("int")) == 1
 
     bounded = F.broadcast(listed.select(F.col("block").alias("_block"), F.col("bits").alias("_bits")))
-    met = rows.withColumn("_block", _block(on, blocks)).join(bounded, "_block")
-    return met.where(reduce(Column.__and__, map(is_set, _bits(on)))).select(*rows.columns)
+    met = rows.withColumn("_block", _block(on, blocks)).join(bounded, "_block", how)
+    return met.select(*rows.columns, reduce(Column.__and__, map(is_set, _bits(on))).alias("_met"))
 
 
 def only_listed(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

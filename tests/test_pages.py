@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagefacts.functions.rules import INFO, REVIEWS, cache_file, parse_cache_file, target_url
 from pagefacts.operators.cache import PAGE_KEY, cache_hits, cache_misses, new_pages
 from pagefacts.operators.extract import extract_all, extract_facts
-from pagefacts.operators.membership import key_filter, may_be_listed, only_listed
+from pagefacts.operators.membership import key_filter, may_be_listed, never_listed, only_listed
 from pagefacts.plans.build import build_tables
 from pagefacts.sources.page_buckets import add_to_buckets, pages_of, read_page_buckets
 from pagefacts.sources.pages import read_page_files, read_page_table, write_new_pages
@@ -104,6 +104,20 @@ def test_only_new_pages_cross_a_shuffle(spark, tmp_path):
     assert rows(new_pages(twice, first_by=F.col("seq"))) == [("B1", "info", "b")]
 
 
+def test_pages_of_a_new_cache_are_not_joined(spark):
+    """Only pages whose key may occur more than once meet the list of these keys; rows without a whole key stay out."""
+    schema = "asin string, page_kind string, html string"
+    once = [(f"B{i}", kind, f"page {i}") for i in range(200) for kind in ("info", "reviews")]
+    several = [("C1", "info", "b"), ("C1", "info", "a"), ("C2", "info", None), ("C2", "info", "x"), ("C2", "info", "x")]
+    found = spark.createDataFrame(once + several + [(None, "info", "y"), ("B1", None, "z"), ("D1", "info", None)], schema)
+    added = new_pages(found)
+    assert rows(added) == rows(spark.createDataFrame([*once, ("C1", "info", "a"), ("C2", "info", None), ("D1", "info", None)], schema))
+    listed = key_filter(found.where("asin LIKE 'C%'"), PAGE_KEY)
+    never = never_listed(found, listed, PAGE_KEY)
+    assert never.count() + may_be_listed(found, listed, PAGE_KEY).count() == found.count()
+    assert never.where("asin LIKE 'C%'").count() == 0 < never.count()
+
+
 def test_key_filter(spark):
     """Every listed key passes, hardly any other, and the plan does not depend on the length of the list."""
     keys = spark.range(300_000).select(F.concat(F.lit("B"), F.col("id").cast("string")).alias("asin"), F.lit("info").alias("page_kind"))
